@@ -7,8 +7,8 @@ made on the driver from a histogram of at most ``capacity`` numbers, whatever th
 input's size:
 
 1. lengths above an eighth of the capacity are large. They are dealt, longest
-   first, into ``GROUPS`` groups of equal cardinality (fewer while a group would
-   have under 20 pieces) and rounded up to their group's longest;
+   first, into ``GROUPS`` groups of equal cardinality and
+   rounded up to their group's longest;
 2. with these few sizes, the number of sequences of each configuration is
    optimised by linear programming (columns by a knapsack, as in cutting stock) and
    rounded down;
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm import tokens
 from tessera.llm.common import saved, scratch_dir, text_blocks
 
-CAPACITY, END_ID, GROUPS, LARGE_PART = 2048, 0, 160, 8
+CAPACITY, END_ID, GROUPS, LARGE_PART, SLACK = 2048, 0, 128, 8, 5e-4
 
 
 # ---------------------------------------------------------------- the plan
@@ -50,9 +50,9 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse, value = np.diag(1 / np.diag(basis)), demand / np.diag(basis)
-    for turn in range(6 * k):  # any stop leaves a feasible basis
+    for turn in range(8 * k):  # any stop leaves a feasible basis
         pattern, worth = _knapsack(sizes, inverse.sum(0), capacity)
-        if worth <= 1 + 1e-6:
+        if worth <= 1 + SLACK:  # the optimum is at least the value divided by the worth
             break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, np.maximum(value, 0) / np.where(step > 1e-9, step, 1), np.inf)
@@ -164,7 +164,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS)
     runs = [_Run(counts[capacity], [(capacity, 0)], 0)] if counts.get(capacity) else []
     large = [(n, counts[n]) for n in sorted(counts, reverse=True) if capacity // LARGE_PART < n < capacity and counts[n]]
     total = sum(c for _, c in large)
-    groups = max(1, min(groups, total // 20))
+    groups = max(1, min(groups, total))
     pools: list[list[tuple[int, int, int]]] = []  # per group: (length, first rank, count)
     edges = [round(total * (i + 1) / groups) for i in range(groups)] if total else []
     seen, g = 0, 0
