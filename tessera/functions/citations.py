@@ -93,8 +93,8 @@ _GROUPS = r"([\p{L}\p{N}]?)\[([^\]]*)\](?=([\p{L}\p{N}]?))"
 def check_citations(answers: DataFrame) -> DataFrame:
     """cited, unknown, uncited, malformed and citations of (answer_id, answer, known: array of labels).
 
-    Labels in any bracket group count; a group without one is malformed unless it is
-    glued to a letter or digit. Arrays are distinct and ordered by number;
+    Labels in any bracket group count; the text of a group without one is malformed
+    unless it is glued to a letter or digit. Arrays are distinct and ordered;
     ``citations`` counts mentions of known labels with repeats.
     """
     before, inside, after = (F.regexp_extract_all("answer", F.lit(_GROUPS), i) for i in (1, 2, 3))
@@ -107,7 +107,7 @@ def check_citations(answers: DataFrame) -> DataFrame:
         named(F.array_intersect("_l", "_k")).alias("cited"),
         named(F.array_except("_l", "_k")).alias("unknown"),
         named(F.array_except("_k", "_l")).alias("uncited"),
-        F.transform(F.filter("_z", lambda g: ~g["1"].rlike(r"S\d") & (g["0"] == "") & (g["2"] == "")), lambda g: F.concat(F.lit("["), g["1"], F.lit("]"))).alias("malformed"),
+        F.array_sort(F.array_distinct(F.transform(F.filter("_z", lambda g: ~g["i"].rlike(r"S\d") & (g["b"] == "") & (g["a"] == "")), lambda g: F.regexp_replace(g["i"], r"(?U)^\s+|\s+$", "")))).alias("malformed"),
         F.size(F.filter("_l", lambda x: F.array_contains("_k", x))).cast("long").alias("citations"),
     )
 

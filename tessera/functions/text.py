@@ -89,7 +89,7 @@ def join_wrapped(lines: Column) -> Column:
 
 def plain(c: Column) -> Column:
     """Escape ``$``, and ``#`` at line starts, for a Markdown view."""
-    return F.regexp_replace(F.regexp_replace(c, r"\$", r"\\\\\$"), r"(?m)^(#+)", r"\\\\$1")
+    return F.regexp_replace(F.replace(c, F.lit("$"), F.lit("\\$")), r"(?m)^(#+)", r"\\$1")
 
 
 def strip_overlap(previous: Column, text: Column) -> Column:
