@@ -243,7 +243,7 @@ def _pieces(path: str, end: int, capacity: int):
         counts = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             key = batch.column(0)
-            for lo, hi, data, docs in text_blocks(batch):
+            for lo, hi, data, docs in text_blocks(batch, limit=tokens.BLOCK_BYTES):
                 ids, off = tokens.append_end(*tokens.encode_block(data, docs, path), end)
                 n = np.diff(off)
                 pieces = -(-n // capacity)

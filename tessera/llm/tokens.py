@@ -1,8 +1,8 @@
 """Exact byte-level BPE ids of many texts with the tokenizers library.
 
 The vocabulary's pre-tokenizer never carries a piece over certain places: before a
-space that a visible character follows, and after a single newline between visible
-characters. Texts are cut there, each distinct piece of a block goes through the
+space that a visible character follows, after a single newline between visible
+characters, and between a Latin letter and an ASCII mark or digit. Texts are cut there, each distinct piece of a block goes through the
 library once, and its ids are put in place for every occurrence.
 """
 
@@ -13,9 +13,16 @@ import functools
 import numpy as np
 import pyarrow as pa
 
+#: Bytes of text that are encoded as one block: the more, the more often a piece repeats.
+BLOCK_BYTES = 24 << 20
+
 _SEEN = np.zeros(256, bool)  # bytes that begin no white space
 _SEEN[0x21:0x7F] = True
 _SEEN[[0xC3, *range(0xC4, 0xE0), 0xE0, *range(0xE4, 0xF5)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(0x21, 0x7F) if not chr(c).isalpha()]] = True
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91], _ALPHA[97:123] = True, True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[0x21:0x7F] = True
 
@@ -50,6 +57,11 @@ def cut_places(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
     line[1:] &= _PLAIN[data[:-1]]
     at = np.flatnonzero(line)
     cut[at[at > 0] + 1] = True
+    # a letter's run ends before an ASCII mark or digit
+    mark = np.flatnonzero(_MARK[data[1:]] & ~_MARK[data[:-1]]) + 1
+    last = data[mark - 1]
+    wide = (data[np.maximum(mark - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (mark > 1)
+    cut[mark[_ALPHA[last] | wide]] = True
     starts = docs[:-1]
     cut[starts[starts < n]] = True
     return np.flatnonzero(cut)
@@ -81,7 +93,7 @@ def _encode_distinct(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarra
     texts = pieces.take(pa.array(which)).cast(pa.large_string())
     for lo in range(0, len(which), 5_000):
         part = which[lo : lo + 5_000]
-        got = np.array(tok.encode("".join(texts[lo : lo + 5_000].to_pylist()), add_special_tokens=False).ids, np.uint32)
+        got = np.array(tok.encode_batch_fast(["".join(texts[lo : lo + 5_000].to_pylist())], add_special_tokens=False)[0].ids, np.uint32)
         ends, wanted = np.cumsum(_id_bytes(path)[got]), np.cumsum(size[part])
         place = np.searchsorted(ends, wanted)
         if not np.array_equal(ends[place], wanted):
