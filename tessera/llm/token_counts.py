@@ -47,7 +47,7 @@ def _blocks(path: str, end: int, block: int):
             key = batch.column(0)
             null = key.is_null().to_numpy(zero_copy_only=False)
             key = key.fill_null(0).to_numpy()
-            for lo, hi, data, docs in text_blocks(batch):
+            for lo, hi, data, docs in text_blocks(batch, limit=tokens.BLOCK_BYTES):
                 ids, _ = tokens.append_end(*tokens.encode_block(data, docs, path), end)
                 docs_of.append(key[lo:hi])
                 null_of.append(null[lo:hi])
@@ -66,10 +66,11 @@ def _blocks(path: str, end: int, block: int):
 
 
 def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int = END_ID, block: int = BLOCK_IDS) -> DataFrame:
-    """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; ``doc_ids`` lists the documents in order, without places."""
-    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    rows = ordered.withColumn("shard", F.spark_partition_id()).mapInArrow(_blocks(vocabulary, end, block), "shard int, block int, data binary, doc_ids array<long>")
+    """Write the ids of ``docs`` (doc_id, text); ``doc_ids`` lists the documents in order, without places.
+
+    A shard is an input partition in its own order, so nothing is shuffled.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().alias("shard")).mapInArrow(_blocks(vocabulary, end, block), "shard int, block int, data binary, doc_ids array<long>")
     return saved(rows, folder)
 
 
