@@ -211,4 +211,4 @@ def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no test item contaminates; columns as given."""
     bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")

@@ -31,6 +31,8 @@ from tessera.llm.common import crc32_text, lower_ascii, mix64, saved, scratch_di
 #: Distinct digests that a shard is meant to hold.
 SHARD_DIGESTS = 50_000
 _LEVELS = 64
+#: A column name that no table has.
+_OWN = "__tessera_sha256__"
 
 
 @dataclass
@@ -219,7 +221,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, columns as given."""
     stay = saved(groups(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), f"{scratch_dir(docs.sparkSession)}/kept")
     repeated = stay.groupBy("_id").count().filter("count > 1").limit(1).count() > 0
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    same = docs["doc_id"].cast("long").eqNullSafe(stay["_id"])
     if not repeated:
         out = docs.join(stay, same, "left_semi")
         # an id may also stand on rows whose text goes
@@ -227,8 +229,9 @@ def deduped(docs: DataFrame) -> DataFrame:
         if not twice:
             return out
     sha = F.sha2(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    out = docs.withColumn("_sha256", sha)
-    return out.join(stay, same & (F.col("_sha256") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_sha256"]).drop("_sha256")
+    out = docs.withColumn(_OWN, sha)
+    same = out["doc_id"].cast("long").eqNullSafe(stay["_id"])
+    return out.join(stay, same & (out[_OWN] == stay["_sha"]), "left_semi").dropDuplicates(["doc_id", _OWN]).drop(_OWN)
 
 
 #: DuckDB SQL for ``op6`` by definition, without the column that tells of the history.

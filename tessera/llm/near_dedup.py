@@ -241,4 +241,4 @@ def op7(docs: DataFrame) -> DataFrame:
 def deduped(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stays (the smallest id of its component); columns as given."""
     gone = groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
