@@ -54,20 +54,34 @@ def _configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> lis
         pattern, worth = _knapsack(sizes, inverse.sum(0), capacity)
         if worth <= 1 + SLACK:  # the optimum is at least the value divided by the worth
             break
-        step = inverse @ pattern
+        step = (inverse * pattern).sum(1)
         ratio = np.where(step > 1e-9, np.maximum(value, 0) / np.where(step > 1e-9, step, 1), np.inf)
         j = int(ratio.argmin())
         basis[:, j] = pattern
         if turn % 50 == 49:
-            inverse = np.linalg.inv(basis)
+            inverse = _inverse(basis)
         else:  # one column of the basis has changed
             row = inverse[j] / step[j]
             inverse -= np.outer(step, row)
             inverse[j] = row
-        value = inverse @ demand
+        value = (inverse * demand).sum(1)
     return [(int(np.floor(v + 1e-6)), basis[:, j].round().astype(np.int64)) for j, v in enumerate(value) if v >= 1]
 
 
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan; threaded linear algebra libraries stall beside a busy JVM."""
+    k = len(m)
+    a = np.concatenate([m, np.eye(k)], 1)
+    for i in range(k):
+        p = i + int(np.abs(a[i:, i]).argmax())
+        a[[i, p]] = a[[p, i]]
+        a[i] /= a[i, i]
+        factor = a[:, i].copy()
+        factor[i] = 0
+        a -= factor[:, None] * a[i]
+    return a[:, k:]
+
+
 def _knapsack(sizes: np.ndarray, dual: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
     """The most valuable set of sizes, each any number of times."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
