@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The required refusal and its test.
-REFUSAL = "The sources provided do not answer this question."
+REFUSAL = "Not covered by the retrieved sources."
 
 
 class Generator(Protocol):
@@ -25,7 +25,7 @@ def extractive(prompts: DataFrame) -> DataFrame:
 
 
 RESPONSE = "candidates array<struct<content:struct<parts:array<struct<text:string,thought:boolean>>>,finishReason:string>>, usageMetadata map<string,bigint>"
-LOCAL_RESPONSE = "message struct<content:string>, done_reason string, prompt_eval_count bigint, eval_count bigint"
+LOCAL_RESPONSE = "response string, done boolean, prompt_eval_count bigint, eval_count bigint"
 
 
 def read_response(answers: DataFrame) -> DataFrame:
@@ -41,6 +41,15 @@ def read_response(answers: DataFrame) -> DataFrame:
     )
 
 
+def read_local_response(answers: DataFrame) -> DataFrame:
+    """Like :func:`read_response` for a local server's replies: empty_answer, bad_json."""
+    own = answers.withColumn("_j", F.from_json("response", LOCAL_RESPONSE))
+    text = F.trim(F.coalesce("_j.response", F.lit("")))
+    category = F.when(F.col("response").isNull() | ~F.coalesce(F.col("response").rlike(r"^\s*\{"), F.lit(False)), "bad_json").when(text == "", "empty_answer")
+    usage = F.map_filter(F.create_map(F.lit("promptTokenCount"), F.col("_j.prompt_eval_count"), F.lit("candidatesTokenCount"), F.col("_j.eval_count")), lambda k, v: v.isNotNull())
+    return own.select(*answers.columns, F.when(category.isNull(), text).alias("answer"), F.when(F.coalesce("_j.done", F.lit(False)), "STOP").otherwise("").alias("finish"), usage.alias("usage"), category.alias("degraded_category"))
+
+
 def status(row: dict[str, Column] | None = None) -> Column:
     """FAIL without an answer; flag for unknown or malformed citations and truncation; decl for the refusal; else ok."""
     c = row or {k: F.col(k) for k in ("answer", "unknown", "malformed", "truncated", "refused_verbatim")}

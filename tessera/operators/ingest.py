@@ -54,4 +54,4 @@ def indexable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tags(docs: DataFrame) -> DataFrame:
     """barrier, n: documents of every tag in the comma list."""
-    return docs.select(F.explode(F.split("barrier", r",\s*")).alias("barrier")).groupBy("barrier").agg(F.count(F.lit(1)).alias("n"))
+    return docs.select(F.explode(F.split("barrier", ",")).alias("barrier")).groupBy("barrier").agg(F.count(F.lit(1)).alias("n"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 # What the walk does with tags.
 HEADINGS = {"h2": "##", "h3": "###", "h4": "####"}
 CONTAINERS, IGNORED = {"div", "section"}, {"hr"}
-ALERT_CLASS, ALERT = "usa-alert", "[ALERT] "
+ALERT_CLASS, ALERT = "alert-message", "[ALERT] "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS = {"ul", "ol", "table", "div", "section", "h1", "h2", "h3", "h4", "h5", "h6", "article", "footer", "nav", "hr", "blockquote"}
@@ -144,25 +144,60 @@ def extract(pages: DataFrame, parse: Callable = parse_page) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(_extracted(parse), "page_id long, lines array<string>, unhandled array<string>, error string")
 
 
-def contents(html: str, volume: str, parts: list[str] | None = None) -> list[tuple[str, str, str, str | None]]:
-    """(volume, part, chapter title, url or None) below a volume's heading in a table of contents, up to the next volume.
+class StructureChanged(ValueError):
+    """A table of contents isn't built as expected."""
 
-    ``parts`` picks parts by their exact label; None takes all.
+
+def _label(title: str) -> str | None:
+    m = re.match(r"(Volume\s+\d+|Part\s+[A-Z])\b", title)
+    return re.sub(r"\s+", " ", m[1]) if m else None
+
+
+def _first(node: Node, name: str, cls: str | None = None) -> Node | None:
+    return next((n for n in node.walk() if n.name == name and (cls is None or cls in _classes(n))), None)
+
+
+def contents(html: str, volume: str, parts: list[str] | None = None) -> list[tuple[str, str, str, str, str]]:
+    """(volume, volume title, part title, chapter title, chapter path) of a volume in a table of contents.
+
+    A volume is a ``level--2`` block; its parts are the ``level--3`` siblings up to the
+    next volume. ``parts`` picks parts by their exact label, None takes all; a wanted
+    part that isn't there raises. Parts and chapters without a link are left out.
     """
-    label = lambda s: re.sub(r"\s+", " ", m[1]) if (m := re.match(r"(Volume\s+\d+|Part\s+[A-Z])\b", s)) else None
-    out, at_volume, part = [], None, None
-    for n in parse_html(html).walk():
-        if n.name in ("h1", "h2", "h3", "h4", "li", "a", "span"):
-            text = clean(n)
-            own = label(text)
-            if own and own.startswith("Volume") and n.name != "li":
-                at_volume, part = own, None
-            elif at_volume == volume and own and own.startswith("Part") and n.name != "li":
-                part = own
-            elif at_volume == volume and part and n.name == "li" and text.startswith("Chapter") and (parts is None or part in parts):
-                url = next((a.attrs.get("href") for a in n.walk() if a.name == "a"), None)
-                out.append((volume, part, text, url))
-    return out
+    root = parse_html(html)
+    for holder in (root, *root.walk()):
+        kids = holder.elements()
+        for i, block in enumerate(kids):
+            if block.name != "div" or "level--2" not in _classes(block):
+                continue
+            head = _first(block, "div", "level__title")
+            link = head and _first(head, "a")
+            if link is None or _label(clean(link)) != volume:
+                continue
+            out, seen = [], []
+            for part in kids[i + 1 :]:
+                if "level--2" in _classes(part):
+                    break
+                if "level--3" not in _classes(part):
+                    continue
+                item = _first(part, "li", "level__item--3")
+                if item is None:
+                    raise StructureChanged(f"{volume}: a part has no title element")
+                anchor = _first(item, "a")
+                title = clean(anchor or item)
+                seen.append(_label(title))
+                chapters = _first(part, "ul", "level--4")
+                if (parts is not None and seen[-1] not in parts) or anchor is None or chapters is None:
+                    continue
+                for chapter in (n for n in chapters.walk() if n.name == "li" and "level__item--4" in _classes(n)):
+                    to = _first(chapter, "a")
+                    if to is not None:
+                        out.append((volume, clean(link), title, clean(to), to.attrs.get("href", "")))
+            missing = [p for p in parts or [] if p not in seen]
+            if missing:
+                raise StructureChanged(f"{volume}: no such part(s): {', '.join(missing)}")
+            return out
+    raise StructureChanged(f"{volume} not found in the table of contents")
 
 
 # ---------------------------------------------------------------- XML opinions

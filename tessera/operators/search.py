@@ -79,7 +79,7 @@ def metadata_filter(source_type: str | None = None, tag: str | None = None) -> C
     if source_type is not None:
         parts.append(F.col("source_type") == source_type)
     if tag is not None:
-        parts.append(F.array_contains(F.split("barrier", r",\s*"), tag))
+        parts.append(F.array_contains(F.split("barrier", ","), tag))
     return reduce(Column.__and__, parts) if parts else None
 
 

@@ -394,8 +394,8 @@ query("search_drift", f"SELECT s.name, s.expected, c.found, s.expected IS DISTIN
 query("selection_incomplete", f"SELECT id FROM {values('selection')} WHERE opinion_id IS NULL OR coalesce(len(barrier), 0) = 0 OR coalesce(why, '') = ''")(lambda spark, d: ingest.incomplete(frame(spark, "selection")).select("id"))
 query("manifest_join", f"SELECT f.id, s.opinion_id, s.opinion_id IS NULL AS missing FROM {values('fetched')} f LEFT JOIN {values('selection')} s USING (id)")(lambda spark, d: ingest.with_sidecar(frame(spark, "fetched"), frame(spark, "selection").select("id", "opinion_id", F.lit(1).alias("x")), "id").select("id", "opinion_id", F.col("opinion_id").isNull().alias("missing")))
 query("excluded_documents", f"SELECT source_id, CASE WHEN court_id IN ('bia', 'olc') THEN 'excluded court ' || court_id ELSE 'no content' END AS reason FROM {values('tagged')} WHERE court_id IN ('bia', 'olc') OR NOT coalesce(regexp_matches(text, '\\S'), false)")(lambda spark, d: ingest.indexable(frame(spark, "tagged"))[1])
-query("tag_filter", f"SELECT source_id FROM {values('tagged')} WHERE source_type = 'caselaw' AND list_contains(regexp_split_to_array(barrier, ',\\s*'), 'delay')")(lambda spark, d: frame(spark, "tagged").filter(search.metadata_filter("caselaw", "delay")).select("source_id"))
-query("tag_counts", f"SELECT barrier, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(barrier, ',\\s*')) AS barrier FROM {values('tagged')}) GROUP BY 1")(lambda spark, d: ingest.tags(frame(spark, "tagged")))
+query("tag_filter", f"SELECT source_id FROM {values('tagged')} WHERE source_type = 'caselaw' AND list_contains(string_split(barrier, ','), 'delay')")(lambda spark, d: frame(spark, "tagged").filter(search.metadata_filter("caselaw", "delay")).select("source_id"))
+query("tag_counts", f"SELECT barrier, count(*) AS n FROM (SELECT unnest(string_split(barrier, ',')) AS barrier FROM {values('tagged')}) GROUP BY 1")(lambda spark, d: ingest.tags(frame(spark, "tagged")))
 
 # ---------------------------------------------------------------- answers and runs
 
@@ -435,10 +435,15 @@ query("question_select", "SELECT CAST(item_id AS BIGINT) AS position, CAST(item_
 query("question_unknown", "SELECT 'nope' AS id")(lambda spark, d: evaluation.unknown_ids(_t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id")), spark.sql("select explode(array('0', 'nope', 'nope')) as id")))
 query(
     "read_response",
-    "SELECT * FROM (VALUES (1, 'Answer [S1].', NULL, false, false), (2, NULL, 'no_candidate', false, false), (3, NULL, 'empty_answer', false, true), (4, NULL, 'bad_json', false, false), (5, NULL, 'bad_json', false, false), (6, 'The sources provided do not answer this question. Sorry', NULL, true, true)) v(id, answer, degraded_category, refused_verbatim, truncated)",
+    "SELECT * FROM (VALUES (1, 'Answer [S1].', NULL, false, false), (2, NULL, 'no_candidate', false, false), (3, NULL, 'empty_answer', false, true), (4, NULL, 'bad_json', false, false), (5, NULL, 'bad_json', false, false), (6, 'Not covered by the retrieved sources. Sorry', NULL, true, true)) v(id, answer, degraded_category, refused_verbatim, truncated)",
 )(lambda spark, d: answers.read_response(frame(spark, "responses")).select("id", "answer", "degraded_category", "refused_verbatim", "truncated"))
 
 
+query("read_local_response", "SELECT * FROM (VALUES (1, 'Yes [S1].', 'STOP', NULL), (2, NULL, 'STOP', 'empty_answer'), (3, NULL, '', 'bad_json'), (4, NULL, '', 'bad_json'), (5, 'cut', '', NULL)) v(id, answer, finish, degraded_category)")(
+    lambda spark, d: answers.read_local_response(frame(spark, "local_responses")).select("id", "answer", "finish", "degraded_category")
+)
+
+
 @query(
     "answer_scores",
     """WITH s AS (SELECT conv_id AS qid, 'S' || turn AS label, turn % 3 AS source_id, text FROM conversations), c AS (SELECT *, label IN ('S0', 'S1') AS cited FROM s),

@@ -120,12 +120,13 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         "id string, expected array<string>, acceptable array<string>",
         [("q1", ["d1", "d2"], ["d3"]), ("q2", ["d1"], ["d1"]), ("q3", ["d9"], []), ("q1", ["d2"], [])],
     ),
+    "local_responses": ("id int, response string", [(1, '{"response":" Yes [S1]. ","done":true,"prompt_eval_count":4,"eval_count":2}'), (2, '{"response":"","done":true}'), (3, "oops"), (4, None), (5, '{"response":"cut"}')]),
     "responses": (
         "id int, response string",
         [
             (1, '{"candidates":[{"content":{"parts":[{"text":"thinking","thought":true},{"text":"Answer [S1]."}]},"finishReason":"STOP"}],"usageMetadata":{"promptTokenCount":5}}'),
             (2, '{"candidates":[]}'), (3, '{"candidates":[{"content":{"parts":[]},"finishReason":"MAX_TOKENS"}]}'), (4, "not json"), (5, None),
-            (6, '{"candidates":[{"content":{"parts":[{"text":"The sources provided do not answer this question. Sorry"}]},"finishReason":"MAX_TOKENS"}]}'),
+            (6, '{"candidates":[{"content":{"parts":[{"text":"Not covered by the retrieved sources. Sorry"}]},"finishReason":"MAX_TOKENS"}]}'),
         ],
     ),
 }

@@ -127,7 +127,7 @@ def test_pages_match_the_distributed_heads(spark):
         assert sorted(heads.get(r.source_id, [])) == r.running_heads
 
 
-HTML = '<div id="guidance"><div class="x field--name-body"><h2>A  title</h2><p>One <b>bold</b> , two<p>open<ul><li>a<ul><li>b</ul></ul><table><caption>Cap</caption><tr><th>h<td>1</table><div class="usa-alert"><div><p>Beware</p></div></div><hr><video></video></div></div>'
+HTML = '<div id="guidance"><div class="x field--name-body"><h2>A  title</h2><p>One <b>bold</b> , two<p>open<ul><li>a<ul><li>b</ul></ul><table><caption>Cap</caption><tr><th>h<td>1</table><div class="alert-message"><div><p>Beware</p></div></div><hr><video></video></div></div>'
 
 
 def test_chapter_html():
@@ -138,10 +138,25 @@ def test_chapter_html():
     assert markup.parse_chapter(None)[2] == "structure_changed"
 
 
+def part(title, chapters, link=True):
+    items = "".join(f'<li class="level__item--4">{c}</li>' for c in chapters)
+    head = f'<a href="/p">{title}</a>' if link else title
+    return f'<div class="level--3"><ul><li class="level__item--3">{head}</li></ul><ul class="level--4">{items}</ul></div>'
+
+
+def volume(title):
+    return f'<div class="level--2"><div class="level__title"><a href="/v">{title}</a></div></div>'
+
+
 def test_contents():
-    toc = '<h2>Volume 1 - A</h2><h3>Part B - x</h3><ul><li><a href="/c1">Chapter 1</a></li><li>Chapter 2</li></ul><h3>Part C</h3><ul><li><a href="/c3">Chapter 1</a></li></ul><h2>Volume 12 - B</h2><h3>Part A</h3><ul><li><a href="/z">Chapter 1</a></li></ul>'
-    assert markup.contents(toc, "Volume 1", ["Part B"]) == [("Volume 1", "Part B", "Chapter 1", "/c1"), ("Volume 1", "Part B", "Chapter 2", None)]
-    assert [x[1] for x in markup.contents(toc, "Volume 1")] == ["Part B", "Part B", "Part C"]
+    toc = "<main>" + volume("Volume 12 - B") + part("Part A", ['<a href="/z">Chapter 1</a>']) + volume("Volume 1 - A") + part("Part B - x", ['<a href="/c1">Chapter 1</a>', "Chapter 2"]) + part("Part C", ['<a href="/c3">Chapter 1</a>']) + part("Part D", [], link=False) + "</main>"
+    assert markup.contents(toc, "Volume 1", ["Part B"]) == [("Volume 1", "Volume 1 - A", "Part B - x", "Chapter 1", "/c1")]
+    assert [x[4] for x in markup.contents(toc, "Volume 1")] == ["/c1", "/c3"]
+    assert [x[4] for x in markup.contents(toc, "Volume 12")] == ["/z"]
+    with pytest.raises(markup.StructureChanged):
+        markup.contents(toc, "Volume 1", ["Part Z"])
+    with pytest.raises(markup.StructureChanged):
+        markup.contents(toc, "Volume 2")
 
 
 def test_opinion_xml(spark):
