@@ -227,10 +227,7 @@ def groups(docs: DataFrame) -> DataFrame:
     doubles = own.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("c")).filter("b < c")
     if doubles.limit(1).count():
         comps = saved(components(comps.selectExpr("id as a", "component as b").union(joined), f"{folder}/c4"), f"{folder}/comps4")
-        class_of = F.coalesce("component", "class_id")
-    else:
-        class_of = F.coalesce("component", "class_id")
-    out = own.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", class_of)
+    out = own.join(comps.withColumnRenamed("id", "class_id"), "class_id", "left").withColumn("component_id", F.coalesce("component", "class_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
 
 
@@ -242,3 +239,26 @@ def deduped(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document stays (the smallest id of its component); columns as given."""
     gone = groups(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+
+#: DuckDB SQL for ``op7`` by definition.
+ORACLE = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) end as s from w
+), e as (
+  select doc_id, len(s) as n, unnest(s) as g from s
+), p as (
+  select a.doc_id as x, b.doc_id as y from e a join e b on a.g = b.g and a.doc_id <> b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), c as (
+  select doc_id as d, doc_id as r from documents union select p.y, c.r from c join p on p.x = c.d
+), m as (
+  select d, min(r) as component_id from c group by d
+)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, component_id, s.doc_id = component_id as kept,
+  case when len(s.s) = 0 then s.doc_id else min(s.doc_id) over (partition by s.s) end as class_id
+from s join m on m.d = s.doc_id
+"""

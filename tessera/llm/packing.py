@@ -304,7 +304,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     before = saved(by_part.selectExpr("length", "part", "n", "coalesce(sum(n) over (partition by length order by part rows between unbounded preceding and 1 preceding), 0) as before"), f"{folder}/before")
     counts = {r.length: r.n for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     table = places(plan(counts, capacity))
-    ranked = pieces.join(before.select("length", "part", "before"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    # the table grows with the partitions and packs well on disk: never broadcast by its file size
+    ranked = pieces.join(before.select("length", "part", "before").hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(_placed(table), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

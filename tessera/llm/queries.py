@@ -32,5 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Where SQL can express a query: by its definition, not by its method.
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_near_dedup": near_dedup.ORACLE,
     "op8_chat_format": chat.ORACLE,
 }

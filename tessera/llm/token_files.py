@@ -94,7 +94,7 @@ def _frames(path: str, end: int, frame_ids: int):
             key = batch.column(0).cast(pa.int64())
             null = key.is_null().to_numpy(zero_copy_only=False)
             key = key.fill_null(0).to_numpy()
-            for lo, hi, data, docs in text_blocks(batch, limit=frame_ids * 3):
+            for lo, hi, data, docs in text_blocks(batch, limit=min(frame_ids * 3, tokens.BLOCK_BYTES)):
                 ids, off = tokens.append_end(*tokens.encode_block(data, docs, path), end)
                 held.append((ids, np.diff(off), key[lo:hi], null[lo:hi].astype(np.uint8)))
                 n += len(ids)
