@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased (A-Z) runs without white space and ASCII punctuation. Every
+Words are lower-cased (A-Z, À-Þ) runs without white space and ASCII punctuation. Every
 three-word window of a test item is a possible seed. A first pass over all
 documents counts in how many each window occurs; an item's seeds are its windows
 of at most ``RARE`` times its median count, so at least half of an item's windows
@@ -38,7 +38,10 @@ _PLAIN[[c for c in range(0x21, 0x7F) if not chr(c).isalnum()]] = 32
 
 
 def words_of(data: np.ndarray, docs: np.ndarray) -> Words:
-    return Words(_PLAIN[lower_ascii(data)], docs)
+    plain = _PLAIN[lower_ascii(data)]
+    latin = (plain[1:] >= 0x80) & (plain[1:] <= 0x9E) & (plain[1:] != 0x97) & (plain[:-1] == 0xC3)
+    plain[1:][latin] += 0x20  # À to Þ in UTF-8
+    return Words(plain, docs)
 
 
 class Items:

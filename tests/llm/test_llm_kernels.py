@@ -295,3 +295,9 @@ def test_gram_hashes_of_short_documents():
     assert off.tolist() == [0, 1, 2, 4, 4]
     assert g[0] == g[1]
     assert zlib.crc32(b"") == 0
+
+
+def test_decontamination_words_fold_case():
+    a, b, c = (decontaminate.words_of(*block([t])).hashes.tolist() for t in ("ÑOS UEÍOS, ×", "ños ueíos ×", "nos ueios ×"))
+    assert a == b != c
+    assert len(decontaminate.words_of(*block([""])).hashes) == 0
