@@ -18,11 +18,16 @@ DIM = 384
 def hashing(texts: list[str], dim: int = DIM) -> np.ndarray:
     """Unit vectors of hashed words and word pairs; a text without words is the zero vector."""
     out = np.zeros((len(texts), dim), np.float32)
+    known: dict[str, int] = {}
     for row, text in zip(out, texts, strict=True):
         words = re.findall(r"\w+", (text or "").lower())
-        for w in (*words, *(a + " " + b for a, b in zip(words, words[1:], strict=False))):
-            h = zlib.crc32(w.encode())
-            row[h % dim] += 1 if h >> 31 else -1
+        for w in words:
+            if w not in known:
+                known[w] = zlib.crc32(w.encode())
+        one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(32)
+        h = np.concatenate([one, two])
+        row += np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(31), 1.0, -1.0), dim)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return out / np.where(norm == 0, 1, norm)
 
@@ -34,4 +39,4 @@ def encoder(encode: Callable[[list[str]], np.ndarray] = hashing) -> Callable[[Co
         for s in batches:
             yield pd.Series(list(encode(s.tolist())))
 
-    return F.pandas_udf(run, T.ArrayType(T.FloatType()), F.PandasUDFType.SCALAR_ITER)
+    return F.pandas_udf(run, T.ArrayType(T.FloatType()))

@@ -35,10 +35,15 @@ def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
             v = flat.reshape(len(keys), -1)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             s = np.round(matrix @ (v / np.where(norm == 0, 1, norm)).T, 9)
-            s = np.concatenate([top_s, s], 1)
-            i = np.concatenate([top_i, np.broadcast_to(keys, (len(ids), len(keys)))], 1)
-            order = np.lexsort((i, -s), axis=1)[:, :k]
-            top_s, top_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+            least = top_s[:, -1]
+            if s.shape[1] > k:  # ties with the k-th stay in
+                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
+            for q in range(len(ids)):
+                at = np.flatnonzero(s[q] >= least[q])
+                if len(at):
+                    some_s, some_i = np.concatenate([top_s[q], s[q, at]]), np.concatenate([top_i[q], keys[at]])
+                    order = np.lexsort((some_i, -some_s))[:k]
+                    top_s[q], top_i[q] = some_s[order], some_i[order]
         use = np.isfinite(top_s)
         q = np.broadcast_to(ids[:, None], top_s.shape)
         yield pa.RecordBatch.from_arrays([pa.array(q[use]), pa.array(top_i[use]), pa.array(top_s[use])], ["qid", "vec_id", "score"])
