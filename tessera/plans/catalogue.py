@@ -60,7 +60,7 @@ query(
     r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?;:])["''”’)\]]*\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAST(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS longest FROM s""",
 )(lambda spark, d: chunking.sentence_stats(_t(spark, d, "documents")))
-query("chunk_greedy", _CHUNKS + "SELECT * FROM c")(lambda spark, d: chunking.greedy_chunks(_t(spark, d, "documents")))
+query("chunk_greedy", _CHUNKS + "SELECT * FROM c")(lambda spark, d: chunking.greedy_chunks(_t(spark, d, "documents")).drop("chunk_total"))
 query("chunk_meta", _CHUNKS + "SELECT doc_id || '_' || chunk_index AS chunk_id, doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_total, tokens FROM c")(lambda spark, d: chunking.chunk_positions(chunking.greedy_chunks(_t(spark, d, "documents"))))
 query(
     "chunk_size_stats",
@@ -73,7 +73,7 @@ query("flagship_retrieve")(retrieve)
 @query("chunks_by_source", _CHUNKS + "SELECT source, CAST(count(*) AS BIGINT) AS chunks, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c JOIN documents USING (doc_id) GROUP BY source")
 def _chunks_by_source(spark, d):
     docs = _t(spark, d, "documents")
-    n = chunking.greedy_chunks(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
+    n = chunking.greedy_chunks(docs, keep=("source",)).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
     return n.withColumn("share", F.round(F.col("chunks") / F.sum("chunks").over(Window.partitionBy()), 6))
 
 
@@ -87,7 +87,7 @@ def _longest3(spark, d):
 @query("corpus_numbers", _CHUNKS + "SELECT CAST(count(*) AS BIGINT) AS chunks, count(DISTINCT doc_id) AS documents, count(DISTINCT CASE WHEN lang = 'en' THEN doc_id END) AS documents_en FROM c JOIN documents USING (doc_id)")
 def _corpus(spark, d):
     docs = _t(spark, d, "documents")
-    return chunking.greedy_chunks(docs).join(docs.select("doc_id", "lang"), "doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("lang") == "en", F.col("doc_id"))).alias("documents_en"))
+    return chunking.greedy_chunks(docs, keep=("lang",)).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("lang") == "en", F.col("doc_id"))).alias("documents_en"))
 
 
 @query("metadata_left_join", "SELECT d.doc_id, d.source, l.quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
