@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, gram_hashes, lower_ascii, mix64, saved, scratch_dir, text_blocks
+from tessera.llm.common import Words, gram_hashes, lower_ascii, mix64, release, saved, scratch_dir, text_blocks
 from tessera.llm.components import components
 
 SHINGLE_WORDS, BANDS, ROWS = 5, 48, 5
@@ -175,6 +175,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, folder: str) -> DataFrame
     links = saved(verify(tested, sets), f"{folder}/verified1")
     comps = saved(components(links, f"{folder}/c1"), f"{folder}/comps1")
 
+    release(docs.sparkSession)
     # 2: leaders of several orders, where a bucket spans components; again as long as that finds links
     mixed, orders = buckets_only, F.pmod(F.col("band"), F.lit(ORDERS))
     for turn in range(TURNS):
@@ -188,6 +189,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, folder: str) -> DataFrame
             break
         links = links.union(new)
         comps = saved(components(links, f"{folder}/c2_{turn}"), f"{folder}/comps2_{turn}")
+        release(docs.sparkSession)
 
     # 3: the rest, one by one, where the shingles shared with other components leave room for a link
     mixed = saved(_labels(mixed.select("key", "band", "id"), comps), f"{folder}/mixed3")
@@ -198,6 +200,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, folder: str) -> DataFrame
     screen = sets.join(room, "id").select("id", "s").mapInArrow(_screens, "id long, bits array<long>")
     banded = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one key for each band
     mixed = saved(_mixed(mixed.join(room.join(screen, "id").join(banded, "id"), "id")), f"{folder}/room")
+    release(docs.sparkSession)
     sizes = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
     main = sizes.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
     odd = mixed.join(main, "key").filter("comp <> main").selectExpr("key", "id as a", "comp as ca", "n as na", "c as sa", "bits as xa", "keys as ka")
@@ -221,6 +224,7 @@ def groups(docs: DataFrame) -> DataFrame:
     own = saved(base.select("doc_id", "part", "n", "sig").join(classes, ["sig", "part"], "left").select("doc_id", "n", "sig", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), f"{folder}/classes")
     others = own.filter("doc_id <> class_id").select("doc_id").distinct()
     nodes = real.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "keys")
+    release(docs.sparkSession)
     comps = link_components(docs, nodes, folder)
     # an id that stands on rows of several classes joins them
     joined = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
