@@ -1,21 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are lower-cased (A-Z, À-Þ) runs without white space and ASCII punctuation. Every
-three-word window of a test item is a possible seed. A first pass over all
-documents counts in how many each window occurs; an item's seeds are its windows
-of at most ``RARE`` times its median count, so at least half of an item's windows
-always remain, and an item that is itself common keeps its own. A second pass
-joins the documents' windows with the seeds by hash; where seeds of an item fall on
-near diagonals, the item is aligned with that stretch of the document by
-Smith-Waterman on words (match 2, mismatch and gap -1). The score is the best
-alignment's, divided by the score of the item with itself; a document is
-contaminated by an item at ``LEAST`` or more.
-
-Items come in blocks of at most ``BLOCK_WORDS`` words, so what a task holds is
-bounded, whatever the benchmark's size. Items with fewer than three words are one
-window of their own length. Null and empty items and texts match nothing; null
-ids stay null. Repeated documents are scored apart; repeated (doc_id, item_id)
-results are merged to their best.
+"""Benchmark decontamination: word-pair seeds that lose nothing, then Smith-Waterman alignment.
+
+Words are lower-cased (A-Z, À-Þ) runs without white space and ASCII punctuation. An item
+contaminates a document if their best local alignment on words (match 2, mismatch and
+gap -1), divided by the score of the item with itself, is ``LEAST`` or more.
+
+Documents to align are found by a condition that every such alignment meets. With m
+matches and x edits it scores 2m - x >= T, and it starts and ends with a match. Of the
+m - 1 steps from match to match at most x / 2 hold two edits or more, so ceil(T / 2) - 1
+steps at least hold one or none. These join words one or two places apart in the item and
+one or two places apart in the document. The alignment covers at most m + x <= 3L - T
+words of the document, L being the item's words. So a document is aligned with an item
+where ceil(T / 2) - 1 of its places start such a word pair of the item within that many
+words, over all the words that such an alignment can reach. How common a pair is doesn't
+matter: nothing is dropped, and scores are those of plain alignment with the whole document.
+
+Items come in blocks of at most ``BLOCK_WORDS`` words and pairs in blocks of about
+``BLOCK_HITS`` (or one document's), so what a task holds is bounded, whatever the
+benchmark's size. Items with fewer than three words match only as a whole. Null and
+empty items and texts match nothing; null ids stay null. Repeated documents are scored
+apart; repeated (doc_id, item_id) results are merged to their best.
 """
 
 from __future__ import annotations
@@ -28,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, gram_hashes, lower_ascii, text_blocks
+from tessera.llm.common import Words, lower_ascii, text_blocks
 
-SEED_WORDS, RARE, LEAST, BLOCK_WORDS = 3, 10, 0.5, 2_000_000
+LEAST, BLOCK_WORDS, BLOCK_HITS = 0.5, 2_000_000, 4_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -44,45 +47,68 @@ def words_of(data: np.ndarray, docs: np.ndarray) -> Words:
     return Words(plain, docs)
 
 
+def _pair(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
+    """Hashes of word pairs; ``kind`` 0 for seeds, 1 and 2 for whole items of so many words."""
+    return (a * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(kind)) + b
+
+
+def _shifted(words: np.ndarray, places: int, kind: int) -> np.ndarray:
+    return _pair(words[: len(words) - places], words[places:], kind) if len(words) > places else np.zeros(0, np.uint64)
+
+
 class Items:
-    """A block of test items: their words, and the windows that occur in them."""
+    """A block of test items: their words, and the word pairs that occur in them."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], least: float = LEAST):
         raw = [(t or "").encode() for t in texts]
         docs = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)])
         w = words_of(np.frombuffer(b"".join(raw), np.uint8), docs)
         self.words = [w.hashes[a:b] for a, b in zip(w.offsets[:-1], w.offsets[1:], strict=True)]
         self.sizes = np.array([len(x) for x in self.words], np.int64)
-        grams, item, pos = [], [], []
-        for n in range(1, SEED_WORDS + 1):  # short items have windows of their own length
-            g, off, first = gram_hashes(w, n)
-            own = np.repeat(np.arange(len(raw)), np.diff(off))
-            use = self.sizes[own] == n if n < SEED_WORDS else self.sizes[own] >= n
-            grams.append(g[use])
-            item.append(own[use])
-            pos.append((first - w.offsets[own])[use])
-        self.gram, self.item, self.pos = (np.concatenate(x) for x in (grams, item, pos))
-        self.distinct, self.which = np.unique(self.gram, return_inverse=True)
-        self.lengths = [n for n in range(1, SEED_WORDS + 1) if ((self.sizes == n).any() if n < SEED_WORDS else (self.sizes >= n).any())]
-
-    def hits(self, w: Words, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, word position in the block, index into sorted ``grams``) of every window found."""
+        score = np.ceil(MATCH * self.sizes * least - 1e-9).astype(np.int64)
+        self.need = np.maximum(1, -(-score // 2) - 1)
+        self.reach = np.maximum(3 * self.sizes - score, self.sizes)
+        #: (places apart, kind) of the pairs to look up in documents
+        self.looks = [look for look, any_ in (((0, 1), self.sizes == 1), ((1, 2), self.sizes == 2), ((1, 0), self.sizes > 2), ((2, 0), self.sizes > 2)) if any_.any()]
+        keys = [np.unique(np.concatenate([_shifted(x, places, kind) for places, kind in ([(len(x) - 1, len(x))] if len(x) < 3 else [(1, 0), (2, 0)])])) if len(x) else np.zeros(0, np.uint64) for x in self.words]
+        item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        order = np.argsort(key, kind="stable")
+        self.keys, self.lo = np.unique(key[order], return_index=True)
+        self.hi = np.append(self.lo[1:], len(order))
+        self.item = item[order]
+
+    def screen(self) -> np.ndarray:
+        """Which upper 22 bits a pair of the items can have."""
+        out = np.zeros(1 << 22, bool)
+        out[self.keys >> np.uint64(42)] = True
+        return out
+
+    def hits(self, w: Words, screen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, word in it, index into ``keys``) of every pair found, by document."""
         out = []
-        for n in self.lengths:
-            g, off, first = gram_hashes(w, n)
-            at = np.minimum(np.searchsorted(grams, g), max(len(grams) - 1, 0))
-            hit = np.flatnonzero(grams[at] == g) if len(grams) else np.zeros(0, np.int64)
-            out.append((np.searchsorted(off, hit, "right") - 1, first[hit], at[hit]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        for places, kind in self.looks:
+            key = _shifted(w.hashes, places, kind)
+            word = np.flatnonzero(screen[key >> np.uint64(42)])
+            key = key[word]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            doc = np.searchsorted(w.offsets, word, "right") - 1
+            hit = (self.keys[at] == key) & (word + places < w.offsets[doc + 1])
+            out.append((doc[hit], (word - w.offsets[doc])[hit], at[hit]))
+        doc, word, at = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(doc, kind="stable")
+        return doc[order], word[order], at[order]
 
 
 def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> np.ndarray:
     """Best local alignment score of each item with its window, all at once."""
     score = np.zeros(len(items), np.int32)
-    order = np.argsort([len(x) for x in windows], kind="stable")
+    size = np.array([len(x) for x in windows], np.int64)
+    order = np.argsort(size, kind="stable")
     at = 0
     while at < len(order):
-        some = order[at : at + max(1, min(len(order) - at, 400_000 // max(1, len(windows[order[min(len(order) - 1, at + 256)]]))))]
+        ahead = size[order[at : at + 400_000]]
+        some = order[at : at + max(1, int(np.searchsorted(ahead * np.arange(1, len(ahead) + 1), 400_000, "right")))]
         at += len(some)
         rows, cols = max(len(items[i]) for i in some), max(len(windows[i]) for i in some)
         a, b = np.zeros((len(some), rows), np.uint64), np.ones((len(some), cols), np.uint64)
@@ -102,74 +128,52 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> np.nda
     return score
 
 
-def _windows(items: Items, w: Words, doc: np.ndarray, word: np.ndarray, gram: np.ndarray, seeds: dict[str, np.ndarray]):
-    """Stretches (document, item, from, to, seeds) where seeds of an item fall on near diagonals."""
-    lo, hi = seeds["lo"][gram], seeds["hi"][gram]
-    n = hi - lo
-    each = np.repeat(np.arange(len(gram)), n)
-    src = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    item, pos = seeds["item"][src], seeds["pos"][src]
-    doc, at = doc[each], word[each] - w.offsets[doc[each]]
-    diagonal = at - pos
-    order = np.lexsort((diagonal, item, doc))
-    doc, item, diagonal = doc[order], item[order], diagonal[order]
-    size = items.sizes[item]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(4, size[1:] // 4))
+def _stretches(items: Items, w: Words, doc: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches (document, item, from, to, seeds) that can hold an alignment of enough score."""
+    n = items.hi[at] - items.lo[at]
+    each = np.repeat(np.arange(len(at)), n)
+    item = items.item[np.repeat(items.lo[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+    both = np.sort((doc[each] * len(items.sizes) + item) << 32 | word[each])
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    own, word = both >> 32, both & 0xFFFFFFFF
+    item = own % len(items.sizes)
+    last = np.arange(len(own)) + items.need[item] - 1
+    end = np.minimum(last, len(own) - 1)
+    i = np.flatnonzero((last == end) & (own[end] == own) & (word[end] - word <= items.reach[item]))
+    own, item, end, reach = own[i], item[i], end[i], items.reach[item[i]]
+    doc = own // len(items.sizes)
+    a, b = np.maximum(word[end] - reach, 0), np.minimum(word[i] + reach + 2, np.diff(w.offsets)[doc])
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (a[1:] > b[:-1])
     start = np.flatnonzero(new)
-    count = np.diff(np.append(start, len(doc)))
-    last = start + count - 1
-    slack = size[start] // 3 + 3
-    words = np.diff(w.offsets)[doc[start]]
-    return doc[start], item[start], np.maximum(diagonal[start] - slack, 0), np.minimum(diagonal[last] + size[start] + slack, words), count
-
-
-def _document_counts(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.distinct), np.int64)
-        for batch in batches:
-            for _, _, data, docs in text_blocks(batch):
-                doc, _, gram = items.hits(words_of(data, docs), items.distinct)
-                pair = np.unique(doc * len(items.distinct) + gram)
-                total += np.bincount(pair % len(items.distinct), minlength=len(items.distinct))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
-
-    return run
-
-
-def rare_seeds(items: Items, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Seeds sorted by hash: distinct grams, ranges of (item, position) entries."""
-    df = counts[items.which]
-    keep = np.zeros(len(df), bool)
-    for i in np.unique(items.item):
-        own = np.flatnonzero(items.item == i)
-        keep[own] = df[own] <= RARE * max(1, float(np.median(df[own])))
-    which = items.which[keep]
-    order = np.argsort(which, kind="stable")
-    used, start = np.unique(which[order], return_index=True)
-    return {"grams": items.distinct[used], "lo": start, "hi": np.append(start[1:], len(order)), "item": items.item[keep][order], "pos": items.pos[keep][order]}
+    stop = np.append(start[1:], len(own))[: len(start)] - 1
+    return doc[start], item[start], a[start], b[stop], end[stop] - i[start] + 1
 
 
-def _aligned(items: Items, ids: list, seeds: dict[str, np.ndarray], least: float):
+def _aligned(items: Items, ids: list, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        screen = items.screen()
         for batch in batches:
             key = batch.column(0)
             for lo, hi, data, docs in text_blocks(batch):
                 w = words_of(data, docs)
-                doc, word, gram = items.hits(w, seeds["grams"])
-                if not len(doc):
-                    continue
-                doc, item, a, b, n = _windows(items, w, doc, word, gram, seeds)
-                use = (n >= 2) | (items.sizes[item] < 8)
-                doc, item, a, b, n = doc[use], item[use], a[use], b[use], n[use]
-                if not len(doc):
-                    continue
-                base = w.offsets[doc]
-                score = smith_waterman([items.words[i] for i in item], [w.hashes[s + x : s + y] for s, x, y in zip(base.tolist(), a.tolist(), b.tolist(), strict=True)]) / (MATCH * items.sizes[item])
-                hit = score >= least
-                own = key.slice(lo, hi - lo).take(pa.array(doc[hit]))
-                yield pa.RecordBatch.from_arrays([own, pa.array([ids[i] for i in item[hit]], pa.int64()), pa.array(score[hit]), pa.array(n[hit]), pa.array(a[hit]), pa.array(b[hit])], ["doc_id", "item_id", "score", "seeds", "first_word", "last_word"])
+                found = items.hits(w, screen)
+                total = np.cumsum(items.hi[found[2]] - items.lo[found[2]])
+                at = 0
+                while at < len(total):
+                    to = int(np.searchsorted(total, (total[at - 1] if at else 0) + BLOCK_HITS, "right"))
+                    if to < len(total):  # only whole documents
+                        cut = int(np.searchsorted(found[0], found[0][to]))
+                        to = cut if cut > at else int(np.searchsorted(found[0], found[0][at], "right"))
+                    doc, item, a, b, n = _stretches(items, w, *(x[at:to] for x in found))
+                    at = to
+                    if not len(doc):
+                        continue
+                    base = w.offsets[doc]
+                    score = smith_waterman([items.words[i] for i in item], [w.hashes[s + x : s + y] for s, x, y in zip(base.tolist(), a.tolist(), b.tolist(), strict=True)]) / (MATCH * items.sizes[item])
+                    hit = score >= least
+                    own = key.slice(lo, hi - lo).take(pa.array(doc[hit]))
+                    yield pa.RecordBatch.from_arrays([own, pa.array([ids[i] for i in item[hit]], pa.int64()), pa.array(score[hit]), pa.array(n[hit]), pa.array(a[hit]), pa.array(b[hit])], ["doc_id", "item_id", "score", "seeds", "first_word", "last_word"])
 
     return run
 
@@ -194,13 +198,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
     schema = "doc_id long, item_id long, score double, seeds long, first_word long, last_word long"
     found = []
     for ids, texts in _blocks(benchmark):
-        items = Items(texts)
-        if not len(items.distinct):
-            continue
-        counts = np.zeros(len(items.distinct), np.int64)
-        for r in rows.mapInArrow(_document_counts(items), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # at most one row for each window of the block
-            counts[r.gram] = r.n
-        found.append(rows.mapInArrow(_aligned(items, ids, rare_seeds(items, counts), least), schema))
+        items = Items(texts, least)
+        if len(items.keys):
+            found.append(rows.mapInArrow(_aligned(items, ids, least), schema))
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
     best = reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "seeds", F.col("first_word").alias("a"), F.col("last_word").alias("b"))).alias("m"))

@@ -261,6 +261,21 @@ def test_decontamination(spark, odd, docs):
     assert decontaminate.cleaned(odd, bench).columns == odd.columns
 
 
+@pytest.mark.parametrize("copies", [11, 1000])
+@pytest.mark.parametrize("verbatim", [0, 3, 40])
+def test_decontamination_of_one_edited_copy_in_many_documents(spark, copies, verbatim):
+    bench = spark.createDataFrame([(1, long_text(900, 40)), (2, long_text(901, 40))], "item_id long, text string")
+    item = long_text(900, 40).split()
+    for every in (4, 5):
+        copy = " ".join(f"x{k}" if k % every == every - 1 else w for k, w in enumerate(item))
+        rows = [(i, f"{long_text(20_000 + i, 30)} {copy} {long_text(40_000 + i, 30)}") for i in range(copies)]
+        rows += [(5000 + i, f"{long_text(60_000 + i, 30)} {' '.join(item)}") for i in range(verbatim)]
+        clean = [(9000 + i, long_text(70_000 + i, 100)) for i in range(20)]
+        df = spark.createDataFrame(rows + clean, "doc_id long, text string").repartition(4)
+        assert {(r.doc_id, r.item_id) for r in decontaminate.op9(df, bench).collect()} == {(d, 1) for d, _ in rows}
+        assert {r.doc_id for r in decontaminate.cleaned(df, bench).collect()} == {d for d, _ in clean}
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.op10(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
