@@ -301,3 +301,40 @@ def test_decontamination_words_fold_case():
     a, b, c = (decontaminate.words_of(*block([t])).hashes.tolist() for t in ("ÑOS UEÍOS, ×", "ños ueíos ×", "nos ueios ×"))
     assert a == b != c
     assert len(decontaminate.words_of(*block([""])).hashes) == 0
+
+
+def aligned(items, texts):
+    """Best score of each (document, item) that decontamination finds."""
+    found = decontaminate.Items(items)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = {}
+    for b in decontaminate._aligned(found, list(range(len(items))), 0.5)([batch]):
+        for r in b.to_pylist():
+            got[r["doc_id"], r["item_id"]] = max(r["score"], got.get((r["doc_id"], r["item_id"]), 0))
+    return got
+
+
+@pytest.mark.parametrize("hits", [4_000_000, 5])
+def test_decontamination_is_plain_alignment(monkeypatch, hits):
+    monkeypatch.setattr(decontaminate, "BLOCK_HITS", hits)
+    R = random.Random(5)
+    for _ in range(60):
+        words = [f"v{i}" for i in range(R.choice([2, 3, 6, 30]))]
+        some = lambda a, b, w=words: [R.choice([*w, "q"]) for _ in range(R.randint(a, b))]
+        items = [" ".join(R.choice(words) for _ in range(R.randint(3, 14))) for _ in range(5)]
+        texts = []
+        for _ in range(8):
+            copy = " ".join(R.choice([x, x, x, f"{x} z", "y", ""]) for x in R.choice(items).split())
+            texts.append(" ".join([*some(0, 30), copy, *some(0, 30)]))
+        want = {(d, i): s for d, t in enumerate(texts) for i, x in enumerate(items) if (s := plain_alignment(x.split(), t.split()) / (2 * len(x.split()))) >= 0.5}
+        assert aligned(items, texts) == want
+
+
+def test_decontamination_of_heavy_edits():
+    item = [f"w{i}" for i in range(35)]
+    third = [f"x{k}" if k % 3 == 2 else w for k, w in enumerate(item)]
+    spread = " y ".join(item[:8])
+    got = aligned([" ".join(item), " ".join(item[:8])], ["a b " + " ".join(third) + " c", " ".join(third[:8]), f"a {spread} b"])
+    assert {(0, 0), (1, 1), (2, 1)} <= set(got)
+    assert got[0, 0] == plain_alignment(item, third) / 70
+    assert got[1, 1] == plain_alignment(item[:8], third[:8]) / 16
