@@ -23,6 +23,7 @@ apart; repeated (doc_id, item_id) results are merged to their best.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -173,7 +174,8 @@ def _aligned(items: Items, ids: list, least: float):
                     score = smith_waterman([items.words[i] for i in item], [w.hashes[s + x : s + y] for s, x, y in zip(base.tolist(), a.tolist(), b.tolist(), strict=True)]) / (MATCH * items.sizes[item])
                     hit = score >= least
                     own = key.slice(lo, hi - lo).take(pa.array(doc[hit]))
-                    yield pa.RecordBatch.from_arrays([own, pa.array([ids[i] for i in item[hit]], pa.int64()), pa.array(score[hit]), pa.array(n[hit]), pa.array(a[hit]), pa.array(b[hit])], ["doc_id", "item_id", "score", "seeds", "first_word", "last_word"])
+                    sha = pa.array([hashlib.sha256(data[docs[d] : docs[d + 1]]).hexdigest() for d in doc[hit].tolist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([own, sha, pa.array([ids[i] for i in item[hit]], pa.int64()), pa.array(score[hit]), pa.array(n[hit]), pa.array(a[hit]), pa.array(b[hit])], ["doc_id", "text_sha256", "item_id", "score", "seeds", "first_word", "last_word"])
 
     return run
 
@@ -192,10 +194,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, list[str]]]:
         yield ids, texts
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
-    """doc_id, item_id, score, seeds, first_word, last_word of contaminated documents, best stretch of each pair."""
+def _found(docs: DataFrame, benchmark: DataFrame, least: float) -> DataFrame:
+    """Every contaminated stretch, with the digest of its row's text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    schema = "doc_id long, item_id long, score double, seeds long, first_word long, last_word long"
+    schema = "doc_id long, text_sha256 string, item_id long, score double, seeds long, first_word long, last_word long"
     found = []
     for ids, texts in _blocks(benchmark):
         items = Items(texts, least)
@@ -203,7 +205,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> Data
             found.append(rows.mapInArrow(_aligned(items, ids, least), schema))
     if not found:
         return docs.sparkSession.createDataFrame([], schema)
-    best = reduce(DataFrame.unionAll, found).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "seeds", F.col("first_word").alias("a"), F.col("last_word").alias("b"))).alias("m"))
+    return reduce(DataFrame.unionAll, found)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """doc_id, item_id, score, seeds, first_word, last_word of contaminated documents, best stretch of each pair."""
+    best = _found(docs, benchmark, least).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "seeds", F.col("first_word").alias("a"), F.col("last_word").alias("b"))).alias("m"))
     return best.select("doc_id", "item_id", "m.score", "m.seeds", F.col("m.a").alias("first_word"), F.col("m.b").alias("last_word"))
 
 
@@ -212,6 +219,10 @@ def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no test item contaminates; columns as given."""
-    bad = matches(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that no test item contaminates; columns as given.
+
+    Rows with null or repeated doc_id are told apart by their text's digest, so only contaminated ones go.
+    """
+    bad = _found(docs, benchmark, LEAST).select(F.col("doc_id").alias("_bad"), F.col("text_sha256").alias("_bad_sha")).distinct()
+    sha = F.sha2(F.coalesce(docs["text"].cast("string"), F.lit("")), 256)
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad"]) & (sha == bad["_bad_sha"]), "left_anti")

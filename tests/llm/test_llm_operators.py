@@ -276,6 +276,15 @@ def test_decontamination_of_one_edited_copy_in_many_documents(spark, copies, ver
         assert {r.doc_id for r in decontaminate.cleaned(df, bench).collect()} == {d for d, _ in clean}
 
 
+def test_decontamination_keeps_clean_rows_of_null_and_repeated_ids(spark):
+    bench = spark.createDataFrame([(1, long_text(900, 40))], "item_id long, text string")
+    bad = f"Ñ é {long_text(900, 40)} tail"
+    rows = [(None, bad), (None, long_text(1)), (None, None), (7, bad), (7, long_text(2)), (7, long_text(2)), (7, ""), (8, bad), (9, long_text(3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = collections.Counter((d, t) for d, t in rows if t != bad)
+    assert collections.Counter(map(tuple, decontaminate.cleaned(df, bench).collect())) == want
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.op10(docs).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
