@@ -12,7 +12,7 @@ from tessera.session import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without letters, and those of which no language makes up half."""
+    """Drop documents without letters; mixtures of languages stay."""
     ship(spark)
     return langid.accepted(docs)
 

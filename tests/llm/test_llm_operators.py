@@ -299,6 +299,17 @@ def test_language(spark, odd):
     assert langid.accepted(odd).columns == odd.columns
 
 
+def test_documents_in_three_languages_are_accepted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    words = {lang: [w for r in docs.filter(F.col("lang") == lang).orderBy("doc_id").limit(20).collect() for w in r.text.split()] for lang in ("de", "en", "es", "fr")}
+    mixed = " ".join(words["de"][:80] + words["es"][:70] + words["fr"][:50])
+    df = docs.union(spark.createDataFrame([(-1, mixed, None), (-2, "123 !", None)], docs.schema))
+    r = langid.op10(df).filter("doc_id = -1").first()
+    assert r.mixture.count("=") == 3
+    assert r.score < 0.5
+    assert [x.doc_id for x in langid.accepted(df).filter("doc_id < 0").collect()] == [-1]
+
+
 # ---------------------------------------------------------------- empty tables, the pipeline, the registry
 
 
