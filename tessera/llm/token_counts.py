@@ -7,8 +7,9 @@ ids of each block with one vectorised comparison; a prefix scan over the blocks'
 summaries (ids, end ids, place of the last end id) stitches the documents that
 cross blocks. ``flat_files`` reads the same bytes from plain files.
 
-The end id must not occur in a text's own ids; 50256 of the 50k vocabulary never
-does, as the tokenizer takes its string as ordinary text. Ids after a file's last
+The end id must not occur in a text's own ids, so it lies above the vocabulary
+(65535; a text may hold the string of the vocabulary's own end token, which then
+counts as one id). Ids after a file's last
 end id are an unfinished document: it gets a row with ``ended`` false. Null and
 empty texts count 0 ids. An empty table gives no rows.
 """
@@ -27,7 +28,7 @@ from tessera.llm.common import saved, scratch_dir, text_blocks
 
 #: Ids in a block.
 BLOCK_IDS = 1 << 19
-END_ID = 50256
+END_ID = 65535
 
 
 def _blocks(path: str, end: int, block: int):
@@ -70,6 +71,8 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int = END_ID,
 
     A shard is an input partition in its own order, so nothing is shuffled.
     """
+    if tokens.load(vocabulary).get_vocab_size() > end:
+        raise ValueError("the end id is one of the vocabulary's")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().alias("shard")).mapInArrow(_blocks(vocabulary, end, block), "shard int, block int, data binary, doc_ids array<long>")
     return saved(rows, folder)
 

@@ -3,18 +3,26 @@
 The vocabulary's pre-tokenizer never carries a piece over certain places: before a
 space that a visible character follows, after a single newline between visible
 characters, and between a Latin letter and an ASCII mark or digit. Texts are cut there, each distinct piece of a block goes through the
-library once, and its ids are put in place for every occurrence.
+library once, and its ids are put in place for every occurrence. A worker remembers
+the ids of the first ``KNOWN_PIECES`` pieces that it meets.
+
+The strings of the vocabulary's own tokens (``<|endoftext|>``) become their ids wherever they stand
+in a text, as the library does it by default.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are encoded as one block: the more, the more often a piece repeats.
 BLOCK_BYTES = 16 << 20
+#: Pieces that a worker remembers.
+KNOWN_PIECES = 300_000
 
 _SEEN = np.zeros(256, bool)  # bytes that begin no white space
 _SEEN[0x21:0x7F] = True
@@ -40,9 +48,24 @@ def load(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(2)
+def _own_strings(path: str) -> re.Pattern | None:
+    """The strings that the vocabulary takes out of a text before anything else."""
+    own = list(load(path).get_added_tokens_decoder().values())
+    if any(t.lstrip or t.rstrip or t.single_word for t in own):
+        raise ValueError("tokens that take neighbouring white space or stand only between words are not supported")
+    return re.compile(b"|".join(re.escape(t.content.encode()) for t in sorted(own, key=lambda t: -len(t.content)))) if own else None
+
+
+def own_places(data: np.ndarray, docs: np.ndarray, path: str) -> np.ndarray:
+    """(k, 2) bytes from and to of the vocabulary's own strings in a block's texts."""
+    pattern = _own_strings(path)
+    found = [m.span() for m in pattern.finditer(memoryview(np.ascontiguousarray(data)))] if pattern else []
+    spans = np.array(found, np.int64).reshape(-1, 2)
+    return spans[np.searchsorted(docs, spans[:, 0], "right") == np.searchsorted(docs, spans[:, 1] - 1, "right")]
 
 
 def cut_places(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -119,17 +142,54 @@ def _encode_distinct(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarra
     return out, sizes
 
 
+class _Known:
+    """Pieces and their ids."""
+
+    def __init__(self):
+        self.pieces, self.sizes, self.ids = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def add(self, pieces: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = max(0, min(len(pieces), KNOWN_PIECES - len(self.pieces)))
+        if n:
+            self.pieces = pa.concat_arrays([self.pieces, pieces.slice(0, n)])
+            self.sizes = np.append(self.sizes, sizes[:n])
+            self.ids = np.append(self.ids, ids[: int(sizes[:n].sum())])
+
+
+@functools.lru_cache(2)
+def _known(path: str) -> _Known:
+    return _Known()
+
+
+def _encode_pieces(pieces: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where the ids of each piece begin among them, their number)."""
+    known = _known(path)
+    at = pc.fill_null(pc.index_in(pieces, value_set=known.pieces), -1).to_numpy().astype(np.int64)
+    new = np.flatnonzero(at < 0)
+    fresh = pieces.take(pa.array(new))
+    ids, sizes = _encode_distinct(fresh, path)
+    all_sizes = np.append(known.sizes, sizes)
+    starts = np.cumsum(all_sizes) - all_sizes
+    at[new] = len(known.sizes) + np.arange(len(new))
+    source = np.append(known.ids, ids)
+    known.add(fresh, sizes, ids)
+    return source, starts[at], all_sizes[at]
+
+
 def encode_block(data: np.ndarray, docs: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all documents, document offsets into them) of a block of UTF-8 texts."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint32), np.zeros(len(docs), np.int64)
-    cuts = cut_places(data, docs)
+    own = own_places(data, docs, path)
+    cuts = cut_places(data, np.union1d(docs, own) if len(own) else docs)
+    if len(own):
+        i = np.searchsorted(own[:, 0], cuts, "left") - 1  # the last own string that begins before the cut
+        cuts = cuts[(i < 0) | (cuts >= own[np.maximum(i, 0), 1])]
     offsets = np.append(cuts, n).astype(np.int64)
     pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
     coded = pieces.dictionary_encode()
-    source, sizes = _encode_distinct(coded.dictionary, path)
-    where = np.concatenate([[0], np.cumsum(sizes)])
+    source, where, sizes = _encode_pieces(coded.dictionary, path)
     index = coded.indices.to_numpy()
     size = sizes[index]
     out = np.concatenate([[0], np.cumsum(size)])
