@@ -1,4 +1,4 @@
-"""Benchmark decontamination: word-pair seeds that lose nothing, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word-pair seeds that lose nothing, then Smith-Waterman alignment.
 
 Words are lower-cased (A-Z, À-Þ) runs without white space and ASCII punctuation. An item
 contaminates a document if their best local alignment on words (match 2, mismatch and
@@ -11,8 +11,14 @@ steps at least hold one or none. These join words one or two places apart in the
 one or two places apart in the document. The alignment covers at most m + x <= 3L - T
 words of the document, L being the item's words. So a document is aligned with an item
 where ceil(T / 2) - 1 of its places start such a word pair of the item within that many
-words, over all the words that such an alignment can reach. How common a pair is doesn't
-matter: nothing is dropped, and scores are those of plain alignment with the whole document.
+words, over all the words that such an alignment can reach.
+
+Seeds are the rare ones of these pairs. Steps begin at different words of the item, so if
+an item's most common pairs (in the block of texts at hand) begin at fewer of its words
+than steps are needed, every alignment also has a step of the others: these are its
+seeds. They join documents to items, and only for the documents and items joined are
+the common pairs looked at. So nothing is lost, however common all of an item's pairs
+are, and scores are those of plain alignment with the whole document.
 
 Items come in blocks of at most ``BLOCK_WORDS`` words and pairs in blocks of about
 ``BLOCK_HITS`` (or one document's), so what a task holds is bounded, whatever the
@@ -71,13 +77,26 @@ class Items:
         self.reach = np.maximum(3 * self.sizes - score, self.sizes)
         #: (places apart, kind) of the pairs to look up in documents
         self.looks = [look for look, any_ in (((0, 1), self.sizes == 1), ((1, 2), self.sizes == 2), ((1, 0), self.sizes > 2), ((2, 0), self.sizes > 2)) if any_.any()]
-        keys = [np.unique(np.concatenate([_shifted(x, places, kind) for places, kind in ([(len(x) - 1, len(x))] if len(x) < 3 else [(1, 0), (2, 0)])])) if len(x) else np.zeros(0, np.uint64) for x in self.words]
-        item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        pairs = [np.unique(np.concatenate([_shifted(x, places, kind) for places, kind in ([(len(x) - 1, len(x))] if len(x) < 3 else [(1, 0), (2, 0)])]), return_counts=True) if len(x) else none for x in self.words]
+        item = np.repeat(np.arange(len(pairs)), [len(k) for k, _ in pairs])
+        key, begins = (np.concatenate([none[i], *(p[i] for p in pairs)]) for i in (0, 1))
         order = np.argsort(key, kind="stable")
         self.keys, self.lo = np.unique(key[order], return_index=True)
         self.hi = np.append(self.lo[1:], len(order))
         self.item = item[order]
+        #: words of the item at which the pair begins
+        self.begins = begins[order]
+
+    def seeds(self, often: np.ndarray) -> np.ndarray:
+        """Which of the pairs of each item (as in ``item``) are its seeds, where its key is found ``often``."""
+        order = np.lexsort((-np.repeat(often, self.hi - self.lo), self.item))
+        item, total = self.item[order], np.cumsum(self.begins[order])
+        first = np.searchsorted(item, np.arange(len(self.sizes)))
+        before = np.append(0, total)[first]
+        seed = np.empty(len(order), bool)
+        seed[order] = total - before[item] >= self.need[item]
+        return seed
 
     def screen(self) -> np.ndarray:
         """Which upper 22 bits a pair of the items can have."""
@@ -129,12 +148,20 @@ def smith_waterman(items: list[np.ndarray], windows: list[np.ndarray]) -> np.nda
     return score
 
 
-def _stretches(items: Items, w: Words, doc: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Stretches (document, item, from, to, seeds) that can hold an alignment of enough score."""
-    n = items.hi[at] - items.lo[at]
+def _joined(doc: np.ndarray, word: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, n_items: int) -> np.ndarray:
+    """(document * n_items + item) << 32 | word of every pair found and item that has it."""
+    n = hi[at] - lo[at]
     each = np.repeat(np.arange(len(at)), n)
-    item = items.item[np.repeat(items.lo[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    both = np.sort((doc[each] * len(items.sizes) + item) << 32 | word[each])
+    return (doc[each] * n_items + item[np.repeat(lo[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())]) << 32 | word[each]
+
+
+def _stretches(items: Items, seed: np.ndarray, w: Words, doc: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches (document, item, from, to, pairs) that can hold an alignment of enough score."""
+    ends = np.append(0, np.cumsum(seed))
+    seeded = np.unique(_joined(doc, word, at, ends[items.lo], ends[items.hi], items.item[seed], len(items.sizes)) >> 32)
+    use = np.isin(doc, seeded // len(items.sizes))
+    both = _joined(doc[use], word[use], at[use], items.lo, items.hi, items.item, len(items.sizes))
+    both = np.sort(both[np.isin(both >> 32, seeded)])
     both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     own, word = both >> 32, both & 0xFFFFFFFF
     item = own % len(items.sizes)
@@ -159,6 +186,7 @@ def _aligned(items: Items, ids: list, least: float):
             for lo, hi, data, docs in text_blocks(batch):
                 w = words_of(data, docs)
                 found = items.hits(w, screen)
+                seed = items.seeds(np.bincount(found[2], minlength=len(items.keys)))
                 total = np.cumsum(items.hi[found[2]] - items.lo[found[2]])
                 at = 0
                 while at < len(total):
@@ -166,7 +194,7 @@ def _aligned(items: Items, ids: list, least: float):
                     if to < len(total):  # only whole documents
                         cut = int(np.searchsorted(found[0], found[0][to]))
                         to = cut if cut > at else int(np.searchsorted(found[0], found[0][at], "right"))
-                    doc, item, a, b, n = _stretches(items, w, *(x[at:to] for x in found))
+                    doc, item, a, b, n = _stretches(items, seed, w, *(x[at:to] for x in found))
                     at = to
                     if not len(doc):
                         continue

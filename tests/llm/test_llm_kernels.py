@@ -332,6 +332,34 @@ def test_decontamination_is_plain_alignment(monkeypatch, hits):
         assert aligned(items, texts) == want
 
 
+@pytest.mark.parametrize("length", [7, 8, 9, 10, 12, 16, 24, 40, 60])
+def test_decontamination_loses_no_edited_copy(length):
+    """Items with 1/8 to 1/3 of their words edited, among common phrases, against plain alignment over all pairs."""
+    R = random.Random(length)
+    items = [[R.choice(["the", "of", "and", f"w{R.randint(0, 300)}", f"w{R.randint(0, 300)}"]) for _ in range(length)] for _ in range(12)]
+    texts = []
+    for k, item in enumerate(items * 3):
+        copy, edits = list(item), max(1, length // (8, 4, 3)[k // 12])
+        for i in R.sample(range(length), edits):
+            copy[i] = R.choice([f"x{i}", "", f"{copy[i]} y"])
+        around = [R.choice(["the", "of", "and", f"u{R.randint(0, 300)}"]) for _ in range(40)]
+        texts.append(" ".join([*around[:20], *copy, *around[20:]]))
+    want = {(d, i): s for d, t in enumerate(texts) for i, x in enumerate(items) if (s := plain_alignment(x, t.split()) / (2 * length)) >= 0.5}
+    assert len(want) >= 0.6 * len(texts)
+    assert aligned([" ".join(x) for x in items], texts) == want
+
+
+def test_seeds_are_the_rare_pairs():
+    items = decontaminate.Items(["a b c d e f g h i j k l", "one two"])
+    often = np.zeros(len(items.keys), np.int64)
+    often[:5] = 100
+    seed = items.seeds(often)
+    assert seed[items.item == 1].all()
+    assert 0 < seed.sum() < len(seed)
+    rare = np.repeat(often, items.hi - items.lo)
+    assert rare[~seed].min() >= rare[seed & (items.item == 0)].min()
+
+
 def test_decontamination_of_heavy_edits():
     item = [f"w{i}" for i in range(35)]
     third = [f"x{k}" if k % 3 == 2 else w for k, w in enumerate(item)]
