@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,10 +30,27 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished queries; its cleaner acts only when the driver's JVM collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Tasks to which the rows of a very frequent key are dealt.
+SALTS = 32
+#: A key with more rows than this, and than one in ``HOT_SHARE`` of all, is very frequent; there are at most ``HOT_SHARE`` such keys.
+HOT_ROWS, HOT_SHARE = 256, 10_000
+
+
+def salted(keys: DataFrame, hot: Column) -> DataFrame:
+    """``keys`` with a column ``salt``: those that are ``hot`` once for each salt, the others with 0."""
+    return keys.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def dealt(rows: DataFrame, keys: DataFrame, key: str, total: int, by: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, keys) with a column ``salt``, to be joined on ``key`` and salt without all rows of a frequent key in one task.
+
+    ``keys`` has a column ``rows``, the number of rows of each key out of ``total``; the
+    frequent keys are broadcast, ``HOT_SHARE`` at most. ``by`` tells the rows of a key apart.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    hot = keys.filter(F.col("rows") > limit).select(key, F.lit(SALTS).alias("_salts"))
+    spread = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_salts")
+    return spread, salted(keys, F.col("rows") > limit)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

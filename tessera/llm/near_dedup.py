@@ -13,17 +13,22 @@ of a band are candidates; with five rows in each of 48 bands a pair at similarit
 Links are never listed within a bucket pair by pair. Documents with equal sets
 become one class. Then, over class representatives:
 
-1. every document is compared with one leader of its buckets, exactly, on full sets;
-2. where a bucket still spans components, with the leaders of eight other orders;
-3. what then still spans components is compared one by one, except members of the
-   bucket's largest component among themselves. A shingle that no other component
-   holds can't be in an intersection, so the count of the others bounds a pair's
-   similarity; pairs that can't reach the threshold are left out, and so are pairs
-   whose longer sketches (1024 coordinates) differ too much for 0.75, with a chance
-   below one in a million to lose a link. What remains is compared exactly.
-
-After each step components are merged, so only pairs that could still join two
-components are looked at, and no link between components is lost.
+1. Each bucket's leader is its most central member, the one with the most company
+   in all its buckets: in a group of edited copies that is the text they come from.
+   Every document is compared with the leaders of its buckets, and components are formed.
+2. Documents of buckets that still span components are joined on their shingles. No pair is
+   dropped unless it can't be a link. With n shingles in a set, a link has
+   ``i >= 3/7 (n_a + n_b)`` in common; c of a document's shingles are held by another
+   component too, and i is at most the lesser c. A shingle is common if more than ``SMALL``
+   of these documents hold it. A link either shares an uncommon shingle, which is
+   found by joining the prefixes of the uncommon ones (the rarest first), or lies
+   within the common ones, h of each, and then i is at most the lesser h. Pairs of that
+   kind are formed within buckets. They depend on nothing but the common shingles and n, so
+   one document stands for all of its component with the same ones, and few pairs are
+   within the bound.
+
+All comparisons are exact, on full sets. Keys with a share of all rows (buckets,
+leaders, shingles) are dealt out to ``SALTS`` tasks.
 
 Defined results: null and empty texts, and texts of white space, have an empty set
 and link with nothing. Rows with null doc_id link with nothing and have a null
@@ -40,16 +45,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, gram_hashes, lower_ascii, mix64, release, saved, scratch_dir, text_blocks
+from tessera.llm.common import SALTS, Words, dealt, gram_hashes, lower_ascii, mix64, salted, saved, scratch_dir, text_blocks
 from tessera.llm.components import components
 
 SHINGLE_WORDS, BANDS, ROWS = 5, 48, 5
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-ORDERS, TURNS = 8, 3
-#: The screen before the last exact comparisons: two bits of each of so many coordinates. At
-#: similarity 0.75 they agree in 832 on average, with a deviation of 12.5; five deviations less pass.
-SCREEN, SCREEN_LEAST = 1024, 769
+#: Holders of a shingle up to which pairs are formed among all of them.
+SMALL = 128
 
 _U = np.uint64
 
@@ -121,96 +124,86 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["id", "s"])
 
 
-def _screens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, s -> id, bits: the lowest bit of every coordinate, then the next, packed into longs."""
-    for batch in batches:
-        lists = batch.column(1)
-        off = lists.offsets.to_numpy()
-        sets, off = lists.values.to_numpy()[off[0] : off[-1]].view(_U), off - off[0]
-        for a in range(0, batch.num_rows, 1000):
-            b = min(batch.num_rows, a + 1000)
-            got = mix64(sketch(sets[off[a] : off[b]], off[a : b + 1].astype(np.int64) - off[a], SCREEN))
-            bits = np.concatenate([np.packbits((got >> _U(k) & _U(1)).astype(np.uint8), axis=1) for k in (0, 1)], 1)
-            longs = np.ascontiguousarray(bits).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(0, longs.size + 1, longs.shape[1], dtype=np.int32)), pa.array(longs.ravel()))], ["id", "bits"])
-
-
-def _agreement(x: str, y: str) -> str:
-    """SQL for the coordinates of which both bits agree."""
-    half = SCREEN // 64
-    return "(" + " + ".join(f"bit_count(~({x}[{i}] ^ {y}[{i}]) & ~({x}[{i + half}] ^ {y}[{i + half}]))" for i in range(half)) + ")"
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    joined = pairs.join(sets.selectExpr("id as a", "s as sa"), "a").join(sets.selectExpr("id as b", "s as sb"), "b")
+def verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``b`` may stand in very many of them."""
+    pairs = saved(pairs, f"{folder}_pairs")
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
+    rows, leads = dealt(pairs, counts, "b", pairs.count(), "a")
+    leads = leads.select(F.col("b").alias("id"), "salt").join(sets, "id").select(F.col("id").alias("b"), "salt", F.col("s").alias("sb"))
+    joined = rows.join(leads, ["b", "salt"]).join(sets.selectExpr("id as a", "s as sa"), "a")
     both = joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return both.filter(F.lit(100).cast("long") * F.col("both") >= F.lit(percent) * (F.col("total") - F.col("both"))).select("a", "b")
-
-
-def _labels(buckets: DataFrame, comps: DataFrame) -> DataFrame:
-    """Buckets' rows (key, band, id) that lie in buckets of several components, with the component."""
-    own = buckets.join(comps, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("comp"))
-    return _mixed(own)
-
-
-def _mixed(own: DataFrame) -> DataFrame:
-    mixed = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    return own.join(mixed, "key")
+    return saved(both.filter(F.lit(100).cast("long") * F.col("both") >= F.lit(percent) * (F.col("total") - F.col("both"))).select("a", "b"), f"{folder}_links")
+
+
+def _most_shared(n: str, held: str) -> str:
+    """SQL for the largest set that can link with one of size ``n`` with which it has ``held`` shingles in common at most."""
+    return f"((100 + {PERCENT}) * {held} div {PERCENT} - {n})"
+
+
+def _rest(sets: DataFrame, buckets: DataFrame, comps: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, b) of ``buckets`` (key, salt, id) in different components that can be links, apart from some that are sure not to be."""
+    own = buckets.join(comps, "id", "left").select("key", "salt", "id", F.coalesce("component", "id").alias("comp"))
+    spans = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salt").alias("salts")).filter("lo < hi")
+    mixed = own.join(salted(spans, F.col("salts") > 0).select("key", "salt"), ["key", "salt"])
+    nodes = saved(mixed.groupBy("id", "comp").agg(F.collect_list("key").alias("keys")), f"{folder}/mixed")
+
+    # what other components hold: c of a set's shingles; h of these are common, the others by rarity
+    each = saved(sets.join(nodes.select("id", "comp"), "id").select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("g")), f"{folder}/shingles")
+    held = each.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("g", "rows")
+    rows, holders = dealt(each, held, "g", each.count(), "id")
+    shared = rows.join(holders, ["g", "salt"])
+    common = F.col("rows") > SMALL
+    told = shared.groupBy("id", "n").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.count(F.when(common, 1)).alias("h"),
+        F.sort_array(F.collect_list(F.when(~common, F.struct("rows", "g")))).alias("rare"),
+        F.sort_array(F.collect_list(F.when(common, F.col("g")))).alias("core"),
+    )
+    told = told.filter(f"{_most_shared('n', 'c')} * 100 >= {PERCENT} * n")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100) - F.col("h"))
+    prefix = F.transform(F.slice("rare", 1, F.greatest(F.lit(0), F.size("rare") - needed + 1).cast("int")), lambda x: x["g"])
+    told = told.select("id", "n", "c", "h", prefix.alias("prefix"), F.struct(F.xxhash64("core"), F.hash("core"), F.size("core")).alias("core"))
+    known = saved(nodes.join(told, "id"), f"{folder}/known")
+
+    # pairs with an uncommon shingle in common
+    rare = known.select("id", "comp", "n", "c", F.explode("prefix").alias("g"))
+    side = lambda x: rare.selectExpr("g", *(f"{k} as {k}_{x}" for k in ("id", "comp", "n", "c")))
+    rare = side("a").join(side("b"), "g").filter(f"id_a < id_b and comp_a <> comp_b and n_a <= {_most_shared('n_b', 'least(c_a, c_b)')}").selectExpr("id_a as a", "id_b as b").distinct()
+
+    # pairs that have only common shingles in common
+    top, size = _most_shared("n", "h"), lambda n: f"cast(floor(ln({n}) * 100) as int)"
+    able = known.filter(f"{top} * 100 >= {PERCENT} * n").select("id", "comp", "n", "core", F.expr(top).alias("top"), F.explode("keys").alias("key"))
+    able = able.groupBy("key", "comp", "n", "core").agg(F.min("id").alias("id"), F.max("top").alias("top"))
+    able = saved(able, f"{folder}/common")
+    main = able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    spread = able.select("*", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    odd = spread.join(salted(main, F.lit(True)), ["key", "salt"]).filter("comp <> main")
+    odd = odd.selectExpr("key", "id as id_a", "comp as comp_a", "n as n_a", "top as top_a", f"explode(sequence({size(f'ceil(n * {PERCENT} / 100)')}, {size('top')})) as size")
+    odd = odd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    others = spread.selectExpr("key", "salt", f"{size('n')} as size", "id as id_b", "comp as comp_b", "n as n_b", "top as top_b")
+    core = odd.join(others, ["key", "salt", "size"]).filter("comp_a <> comp_b and n_b <= top_a and n_a <= top_b").selectExpr("least(id_a, id_b) as a", "greatest(id_a, id_b) as b").distinct()
+    return rare.union(core).distinct()
 
 
 def link_components(docs: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
     """(id, component) of the nodes (id, keys: band keys) that have a link; ``docs`` (doc_id, text) gives their full sets."""
-    flat = nodes.select("id", F.posexplode("keys").alias("band", "key"))
-    lead = flat.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id"))).alias("lead"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "lead")
-    buckets = saved(flat.join(lead, "key"), f"{folder}/buckets")
-    wanted = buckets.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(wanted, "id", "left_semi")
+    flat = nodes.select("id", F.explode("keys").alias("key"))
+    alike = flat.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "rows")
+    rows, keys = dealt(flat, alike, "key", BANDS * nodes.count(), "id")
+    buckets = saved(rows.join(keys, ["key", "salt"]), f"{folder}/buckets")
+    company = saved(buckets.groupBy("id").agg(F.sum("rows").alias("company")), f"{folder}/company")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(company.select("id"), "id", "left_semi")
     sets = saved(texts.mapInArrow(_sets, "id long, s array<long>"), f"{folder}/sets")
-    buckets_only = buckets.select("key", "band", "id")
 
-    # 1: one leader for each document, the first of all its buckets' leaders
-    first = buckets.groupBy("id").agg(F.min("lead").alias("lead")).filter("lead.id <> id").selectExpr("least(lead.id, id) as a", "greatest(lead.id, id) as b").distinct()
-    tested = saved(first, f"{folder}/pairs1")
-    links = saved(verify(tested, sets), f"{folder}/verified1")
+    leaders = buckets.join(company, "id").groupBy("key").agg(F.max(F.struct("company", F.col("id"))).alias("lead"), F.max("salt").alias("salts"))
+    led = buckets.join(salted(leaders, F.col("salts") > 0).select("key", "salt", F.col("lead.id").alias("lead")), ["key", "salt"])
+    links = verify(led.filter("lead <> id").selectExpr("id as a", "lead as b").distinct(), sets, f"{folder}/leaders")
     comps = saved(components(links, f"{folder}/c1"), f"{folder}/comps1")
 
-    release(docs.sparkSession)
-    # 2: leaders of several orders, where a bucket spans components; again as long as that finds links
-    mixed, orders = buckets_only, F.pmod(F.col("band"), F.lit(ORDERS))
-    for turn in range(TURNS):
-        mixed = saved(_labels(mixed.select("key", "band", "id"), comps), f"{folder}/mixed2_{turn}")
-        leaders = mixed.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", orders, F.lit(turn)).alias("h"), F.col("id"), F.col("comp"))).alias("lead"))
-        led = mixed.join(leaders, "key").filter("lead.comp <> comp").selectExpr("least(lead.id, id) as a", "greatest(lead.id, id) as b").distinct()
-        pairs = saved(led.join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs2_{turn}")
-        new = saved(verify(pairs, sets), f"{folder}/verified2_{turn}")
-        tested = tested.union(pairs)
-        if not new.limit(1).count():
-            break
-        links = links.union(new)
-        comps = saved(components(links, f"{folder}/c2_{turn}"), f"{folder}/comps2_{turn}")
-        release(docs.sparkSession)
-
-    # 3: the rest, one by one, where the shingles shared with other components leave room for a link
-    mixed = saved(_labels(mixed.select("key", "band", "id"), comps), f"{folder}/mixed3")
-    own = mixed.select("id", "comp").distinct()
-    each = sets.join(own, "id").select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("g"))
-    shared = each.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
-    room = each.join(shared, "g").groupBy("id", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.lit(100).cast("long") * F.col("c") >= F.lit(PERCENT) * F.col("n"))
-    screen = sets.join(room, "id").select("id", "s").mapInArrow(_screens, "id long, bits array<long>")
-    banded = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one key for each band
-    mixed = saved(_mixed(mixed.join(room.join(screen, "id").join(banded, "id"), "id")), f"{folder}/room")
-    release(docs.sparkSession)
-    sizes = mixed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    odd = mixed.join(main, "key").filter("comp <> main").selectExpr("key", "id as a", "comp as ca", "n as na", "c as sa", "bits as xa", "keys as ka")
-    fits = f"ca <> cb and 100 * least(sa, sb) >= {PERCENT} * (na + nb - least(sa, sb)) and {_agreement('xa', 'xb')} >= {SCREEN_LEAST} and key = array_min(array_intersect(ka, kb))"
-    third = odd.join(mixed.selectExpr("key", "id as b", "comp as cb", "n as nb", "c as sb", "bits as xb", "keys as kb"), "key").filter(fits).selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
-    pairs = saved(third.join(tested, ["a", "b"], "left_anti"), f"{folder}/pairs3")
-    last = saved(verify(pairs, sets), f"{folder}/verified3")
+    last = verify(_rest(sets, buckets.select("key", "salt", "id"), comps, folder), sets, f"{folder}/rest")
     if not last.limit(1).count():
         return comps
-    return saved(components(links.union(last), f"{folder}/c3"), f"{folder}/comps3")
+    return saved(components(comps.selectExpr("id as a", "component as b").union(last), f"{folder}/c2"), f"{folder}/comps2")
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -224,7 +217,6 @@ def groups(docs: DataFrame) -> DataFrame:
     own = saved(base.select("doc_id", "part", "n", "sig").join(classes, ["sig", "part"], "left").select("doc_id", "n", "sig", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), f"{folder}/classes")
     others = own.filter("doc_id <> class_id").select("doc_id").distinct()
     nodes = real.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "keys")
-    release(docs.sparkSession)
     comps = link_components(docs, nodes, folder)
     # an id that stands on rows of several classes joins them
     joined = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))

@@ -104,7 +104,7 @@ def test_token_counts(spark, odd, docs):
 def test_flat_files_stitch_blocks(spark, tmp_path):
     rng = np.random.default_rng(0)
     sizes = [0, 1, 250, 7, 0, 0, 99, 3]
-    stream = np.concatenate([np.append(rng.integers(0, 50_000, n), 50256) for n in sizes] + [np.array([5, 6])])
+    stream = np.concatenate([np.append(rng.integers(0, 50_000, n), token_counts.END_ID) for n in sizes] + [np.array([5, 6])])
     (tmp_path / "a.bin").write_bytes(stream.astype("<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
     for size in (1, 3, 64, 1000):
@@ -219,6 +219,40 @@ def test_near_dedup(spark, odd, docs):
     assert near_dedup.deduped(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("small", [8, 128])
+@pytest.mark.parametrize("centre", [True, False])
+def test_near_dedup_of_large_groups(spark, monkeypatch, small, centre):
+    """Copies of one text with few and with many words edited, some edits shared, with and without the text itself."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    R, base = np.random.default_rng(11), long_text(77, 60)
+    rows = [(0, base)] if centre else []
+    for i in range(1, 400):
+        w = base.split()
+        for k in R.integers(0, 60, int(R.integers(1, 5))):
+            w[k] = f"e{k}" if R.random() < 0.3 else f"e{i}x{k}"
+        rows.append((i, " ".join(w[: int(R.integers(50, 61))])))
+    got = near_dedup.op7(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+
+
+def test_near_dedup_compares_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Twice the copies must not make four times the pairs, where each copy has another word changed."""
+    counts = {}
+    for n in (300, 600):
+        base, rows = long_text(78, 40), []
+        for i in range(n):
+            w = base.split()
+            w[i % 40] = f"e{i}"
+            rows.append((i, " ".join(w)))
+        real, seen = near_dedup.saved, []
+        monkeypatch.setattr(near_dedup, "saved", lambda df, path, real=real, seen=seen: seen.append((path, real(df, path))) or seen[-1][1])
+        got = near_dedup.op7(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        monkeypatch.undo()
+        assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+        counts[n] = sum(df.count() for path, df in seen if path.endswith("_pairs"))
+    assert counts[600] < 3 * counts[300]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be <|start|> kind"), (1, 1, "user", "hi \\ <\\| <|"), (1, 2, "assistant", "yes\n<|end|>"), (1, 3, "user", None), (2, 0, None, "x"), (2, 0, None, "x"), (3, 1, "assistant", ""), (3, None, "assistant", "first"), (None, 5, "user", "u"), (4, 0, "assistant", "a"), (4, 1, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1)).repartition(3)
@@ -302,6 +336,10 @@ def test_language(spark, odd):
     assert {(1, "und"), (2, "und"), (3, "und"), (8, "und")} <= rows
     assert (4, "en") in rows
     assert langid.accepted(odd).columns == odd.columns
+    known = collections.Counter((d, t) for d, t in ODD_ROWS if t and any(c.isalpha() for c in t))
+    assert collections.Counter((r.doc_id, r.text) for r in langid.accepted(odd).collect()) == known
+    twice = spark.createDataFrame([(7, "123", "en"), (7, "a text", "en"), (8, "a text", "en")], "doc_id long, text string, lang string")
+    assert sorted((r.doc_id, r.text) for r in langid.accepted(twice).collect()) == [(7, "a text"), (8, "a text")]
 
 
 def test_documents_in_three_languages_are_accepted(spark):
