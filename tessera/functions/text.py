@@ -58,16 +58,18 @@ def token_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(TOKEN_PATTERN)), F.lit(0))
 
 
-def sentences(c: Column) -> Column:
-    """Array of sentences: after ``. ! ? ; :`` and closing marks, at white space. Closing marks go with the break."""
-    marked = F.regexp_replace(c, r"""([.!?;:])["'”’)\]]*\s+""", "$1\u0001")
+def sentences(c: Column, keep_closers: bool = False) -> Column:
+    """Array of sentences: after ``. ! ? ; :`` and closing marks, at white space. Closing marks go with the break, or stay."""
+    stop, close = "[.!?;:]", r"""["'”’)\]]*"""
+    marked = F.regexp_replace(c, rf"({stop}{close})\s+" if keep_closers else rf"({stop}){close}\s+", "$1\u0001")
     return F.filter(F.split(marked, "\u0001"), lambda s: s != "")
 
 
 def heading(c: Column) -> Column:
-    """struct(level, title) of a line of two to four ``#``; null for other lines."""
-    marks = F.regexp_extract(c, r"^(#{2,4})\s+(\S.*)$", 1)
-    return F.when(marks != "", F.struct(F.length(marks).alias("level"), strip(F.regexp_extract(c, r"^(#{2,4})\s+(\S.*)$", 2)).alias("title")))
+    """struct(level, title) of a line of two to four ``#`` and white space; the title may be empty. Null for other lines."""
+    shape = r"(?U)^(#{2,4})\s+(.*)$"
+    marks = F.regexp_extract(c, shape, 1)
+    return F.when(marks != "", F.struct(F.length(marks).alias("level"), strip(F.regexp_extract(c, shape, 2)).alias("title")))
 
 
 def footnote_numbers(c: Column) -> Column:

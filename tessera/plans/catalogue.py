@@ -66,7 +66,37 @@ query(
     "chunk_size_stats",
     _CHUNKS + ", s AS (SELECT list_sort(list(tokens)) AS x, count(*) AS n FROM c) SELECT CAST(n AS BIGINT) AS chunks, x[n // 2 + 1] AS median, x[CAST(floor(n * 0.1) AS INTEGER) + 1] AS p10, x[CAST(floor(n * 0.9) AS INTEGER) + 1] AS p90, x[-1] AS largest, CAST(len(list_filter(x, lambda v: v > 256)) AS BIGINT) AS \"over\" FROM s",
 )(lambda spark, d: chunking.size_stats(chunking.greedy_chunks(_t(spark, d, "documents"))))
-query("chunk_full")(lambda spark, d: chunking.chunks(_t(spark, d, "documents")))
+
+
+def chunk_sql(source: str) -> str:
+    """DuckDB SQL for :func:`chunking.chunks` over a relation (doc_id, text)."""
+    tok, shape = lambda c: f"CAST({_TOKENS.format(c)} AS BIGINT)", r"'^(#{2,4})\s+(.*)$'"
+    return rf"""WITH RECURSIVE l AS (SELECT doc_id, i AS line_no, line, {tok("line")} AS n, regexp_extract(line, {shape}, 1) AS marks, trim(regexp_extract(line, {shape}, 2)) AS title
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM {source}) WHERE regexp_matches(line, '\S')),
+p AS (SELECT *, max(line_no) FILTER (len(marks) = 2) OVER w AS p2, max(line_no) FILTER (len(marks) = 3) OVER w AS p3, max(line_no) FILTER (len(marks) = 4) OVER w AS p4 FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+h AS (SELECT p.*, concat_ws(' > ', a.title, CASE WHEN p3 > coalesce(p2, -1) THEN b.title END, CASE WHEN p4 > greatest(coalesce(p2, -1), coalesce(p3, -1)) THEN c.title END) AS section FROM p
+  LEFT JOIN l a ON a.doc_id = p.doc_id AND a.line_no = p2 LEFT JOIN l b ON b.doc_id = p.doc_id AND b.line_no = p3 LEFT JOIN l c ON c.doc_id = p.doc_id AND c.line_no = p4),
+s AS (SELECT doc_id, line_no, unnest(x) AS piece, unnest(range(len(x))) AS k FROM (SELECT doc_id, line_no, list_filter(list_transform(string_split(regexp_replace(line, '([.!?;:])["''”’)\]]*\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS x FROM h WHERE n > {T.TOKEN_CEILING})),
+w AS (SELECT doc_id, line_no, k, unnest(x) AS word, unnest(range(len(x))) AS j FROM (SELECT doc_id, line_no, k, string_split_regex(piece, '\s+') AS x FROM s WHERE {tok("piece")} > {T.TOKEN_CEILING})),
+wn AS (SELECT *, {tok("word")} AS n FROM w),
+r AS (SELECT doc_id, line_no, k, j, n AS held, 0 AS run FROM wn WHERE j = 0 UNION ALL
+  SELECT wn.doc_id, wn.line_no, wn.k, wn.j, CASE WHEN held + wn.n > {T.TOKEN_CEILING} THEN wn.n ELSE held + wn.n END, run + CASE WHEN held + wn.n > {T.TOKEN_CEILING} THEN 1 ELSE 0 END FROM r JOIN wn ON wn.doc_id = r.doc_id AND wn.line_no = r.line_no AND wn.k = r.k AND wn.j = r.j + 1),
+piece AS (SELECT doc_id, line_no, 0 AS k, 0 AS run, line AS t FROM h WHERE n <= {T.TOKEN_CEILING} UNION ALL SELECT doc_id, line_no, k, 0, piece FROM s WHERE {tok("piece")} <= {T.TOKEN_CEILING}
+  UNION ALL SELECT doc_id, line_no, k, run, string_agg(word, ' ' ORDER BY j) FROM r JOIN wn USING (doc_id, line_no, k, j) GROUP BY ALL),
+u AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no, k, run) - 1 AS INTEGER) AS i, t, {tok("t")} AS n, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k, run) > 1 AS fragment, section, marks <> '' AND row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k, run) = 1 AS opens FROM piece JOIN (SELECT doc_id, line_no, section, marks FROM h) USING (doc_id, line_no)),
+a AS (SELECT doc_id, list(n ORDER BY i) AS sizes, list(opens ORDER BY i) AS opens FROM u GROUP BY doc_id),
+f AS (SELECT doc_id, 0 AS i, 0 AS begun, sizes[1] AS held, false AS ends FROM a UNION ALL
+  SELECT doc_id, i + 1, follows, list_sum(sizes[follows + 1:i + 2]), ends FROM (
+    SELECT *, CASE WHEN NOT ends THEN begun WHEN section OR begun = i OR list_sum(sizes[back + 1:i + 1]) > {T.TOKEN_TARGET // 2} OR list_sum(sizes[back + 1:i + 2]) > {T.TOKEN_CEILING} THEN i + 1 ELSE back END AS follows FROM (
+      SELECT f.doc_id, f.i, f.begun, a.sizes, a.opens[f.i + 2] AND held >= {T.MIN_FLUSH} AS section, (a.opens[f.i + 2] AND held >= {T.MIN_FLUSH}) OR held + a.sizes[f.i + 2] > {T.TOKEN_TARGET} AS ends,
+        CAST(coalesce(list_max(list_filter(range(f.begun + 1, f.i + 1), lambda c: list_sum(a.sizes[c + 1:f.i + 1]) >= {T.TOKEN_OVERLAP})), f.begun + 1) AS INTEGER) AS back FROM f JOIN a ON a.doc_id = f.doc_id AND f.i + 1 < len(a.sizes)))),
+c AS (SELECT doc_id, begun, i, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_total FROM (SELECT *, coalesce(lead(ends) OVER (PARTITION BY doc_id ORDER BY i), true) AS last FROM f) WHERE last),
+o AS (SELECT c.doc_id, c.chunk_index, c.chunk_total, string_agg(CASE WHEN u.i = c.begun THEN '' WHEN fragment THEN ' ' ELSE chr(10) END || t, '' ORDER BY u.i) AS text, CAST(sum(n) AS BIGINT) AS tokens, arg_min(section, u.i) AS section FROM c JOIN u ON u.doc_id = c.doc_id AND u.i BETWEEN c.begun AND c.i GROUP BY ALL)
+SELECT doc_id, doc_id || '_' || chunk_index AS chunk_id, chunk_index, chunk_total, text, tokens, section, list_transform(regexp_extract_all(text, '\[\^\s*(\d+)\]', 1), lambda x: CAST(x AS INTEGER)) AS footnote_numbers FROM o"""
+
+
+query("chunk_full", chunk_sql("documents"))(lambda spark, d: chunking.chunks(_t(spark, d, "documents")))
+query("chunk_sections", chunk_sql(values("headed")))(lambda spark, d: chunking.chunks(frame(spark, "headed")))
 query("flagship_retrieve")(retrieve)
 
 

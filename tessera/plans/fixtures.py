@@ -67,6 +67,16 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
             ("c", 0, "# Footnote"), ("c", 1, "stray line before"), ("c", 2, "[^  3] three"), ("c", 3, ""), ("c", 4, "  more "),
         ],
     ),
+    "headed": (
+        "doc_id long, text string",
+        [
+            (1, "intro line\n## A\ntext of a\n### B\nmore [^ 3] here\n#### C\ndeep\n### D\nafter\n## E\nend"),
+            (2, "## One\n" + "\n".join(f"line {i} has a few words, no more." for i in range(60)) + "\n### Two\n" + "\n".join("short" for _ in range(90)) + "\n#### Four\nx\n## Three\ny"),
+            (3, "He said \"go.\" " + "word " * 300 + ". End of it; then (more.) " + "other words here. " * 90),
+            (4, "##\n## \nunder an empty heading\n#### skips a level\nz\n# not a section\n##### nor this"),
+            (5, None), (6, ""), (7, " \n\t\n"), (8, "[^ 1] one\n[^2] two\n[^  30] three"),
+        ],
+    ),
     "notes": (
         "id int, note string",
         [

@@ -2,53 +2,52 @@
 
 import random
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, encoding, evaluation, footnotes, markup, pages, search, windows
+from tessera.plans import catalogue
 from tessera.plans.fixtures import frame
 
-line = st.one_of(st.text("ab .#", max_size=30), st.integers(1, 300).map(lambda n: "w " * n), st.sampled_from(["## A", "### B c", "# no", ""]))
 
+def headed_text(R):
+    kinds = (
+        lambda: "#" * R.randint(1, 5) + " " + " ".join(R.choice(["A", "Bx", "C."]) for _ in range(R.randint(0, 3))),
+        lambda: " ".join(R.choice(["w", "end.", '"go."', "x,y", "(a)", "z;"]) for _ in range(R.randint(200, 500))),
+        lambda: "w " * R.randint(250, 600),
+        lambda: R.choice(["", " ", "\t"]),
+        *[lambda: " ".join(R.choice(["w", "end.", "[^ 3]", "x,y", "z;"]) for _ in range(R.randint(1, 130)))] * 5,
+    )
+    return "\n".join(R.choice(kinds)() for _ in range(R.randint(0, 40)))
 
-@given(st.lists(line, max_size=25))
-@settings(max_examples=150, deadline=None)
-def test_pack_invariants(lines):
-    us = chunking.units("\n".join(lines))
-    chunks = chunking.pack(us)
-    fresh = []
-    for i, c in enumerate(chunks):
-        assert sum(u[1] for u in c) <= chunking.TOKEN_CEILING
-        carried = 0
-        if i:
-            prev = chunks[i - 1]
-            carried = max((k for k in range(len(prev)) if k < len(c) and all(a is b for a, b in zip(prev[len(prev) - k :], c, strict=False))), default=0)
-            if c[0][4] and carried:
-                assert not c[carried][4] or sum(u[1] for u in prev) < chunking.MIN_FLUSH
-        fresh += c[carried:]
-    assert fresh == us
 
-
-def test_units_sections():
-    got = chunking.units("intro\n## A\ntext\n### B\nmore\n## C\nend")
-    assert [u[3] for u in got] == ["", "A", "A", "A > B", "A > B", "C", "C"]
-    assert [u[4] for u in got] == [False, True, False, True, False, True, False]
-
-
-def test_long_line_splits():
-    pieces = chunking.split_long('He said "go." ' + "word " * 300 + ". End")
-    assert all(chunking.count_tokens(p) <= chunking.TOKEN_CEILING for p in pieces)
-    assert chunking.split_long('say "go." Then it went', lambda t: 9) == ['say "go.', "Then it went"]
-    assert chunking.split_long('say "go." Then it went', lambda t: 9, keep_closers=True)[0] == 'say "go."'
-
-
-def test_native_and_python_token_counts_agree(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    for r in docs.join(chunking.token_counts(docs), "doc_id").collect():
-        assert chunking.count_tokens(r.text) == r.tokens
+def test_chunks_of_headed_texts_against_sql(spark):
+    R = random.Random(3)
+    rows = [(i, headed_text(R)) for i in range(60)]
+    got = chunking.chunks(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    docs = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = duckdb.sql(catalogue.chunk_sql("docs")).df()
+    canon = lambda df: sorted((r.doc_id, r.chunk_index, r.chunk_total, r.text, r.tokens, r.section, tuple(r.footnote_numbers)) for r in df.itertuples())
+    assert len(got) > 300
+    assert canon(got) == canon(want)
+    assert got.tokens.max() <= chunking.TOKEN_CEILING
+
+
+def test_long_line_splits(spark):
+    line = 'He said "go." ' + "word " * 300 + ". End"
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    pieces = one(chunking.split_long(F.lit(line)))
+    assert [len(p.split()) for p in pieces] == [3, 256, 45, 1]
+    short, nine = F.lit('say "go." Then it went'), lambda c: F.lit(9)
+    assert one(chunking.split_long(short, nine)) == ['say "go.', "Then it went"]
+    assert one(chunking.split_long(short, nine, keep_closers=True))[0] == 'say "go."'
+    by_letter = chunking.chunks(spark.createDataFrame([(1, "aaa\n" * 100)], "doc_id long, text string"), count=F.length)
+    assert by_letter.agg(F.max("tokens")).first()[0] == 219
 
 
 def test_chunks_handle_nulls(spark):
