@@ -110,11 +110,11 @@ def test_place_in_mark_order(spark):
     assert r.lines == ["both [2] then [1] and [2]", "[^ 2] two", "[^ 1] one", "[^ 2] two"]
 
 
-def test_pages():
+def test_pages(spark):
     text = "\f".join(f"HEAD {i}\nBody {i} wraps-\nround.\n{n}\n{i}" for i, n in ((1, "text"), (2, "1 First\nnote"), (3, "2 Second"), (4, "9 U.S.C.")))
-    lines, n, pleading, heads, notes = pages.clean_document(text)
-    assert lines == ["Body 1 wraps-round. text", "Body 2 wraps-round.", "[^ 1] First note", "Body 3 wraps-round.", "[^ 2] Second", "Body 4 wraps-round. 9 U.S.C."]
-    assert (n, pleading, heads, notes) == (4, False, ["#", "HEAD #"], 2)
+    r = pages.clean(spark.createDataFrame([("x", text), ("none", None)], "source_id string, text string")).filter("source_id = 'x'").first()
+    assert r.lines == ["Body 1 wraps-round. text", "Body 2 wraps-round.", "[^ 1] First note", "Body 3 wraps-round.", "[^ 2] Second", "Body 4 wraps-round. 9 U.S.C."]
+    assert (r.pages, r.pleading_paper, r.running_heads, r.footnotes) == (4, False, ["#", "HEAD #"], 2)
 
 
 def test_pages_match_the_distributed_heads(spark):
