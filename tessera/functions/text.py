@@ -114,6 +114,16 @@ def retry_after(c: Column) -> Column:
     return F.when(n.isNotNull(), F.greatest(n, F.lit(0)))
 
 
-def backoff(attempt: Column, base: int, maximum: int) -> Column:
+def backoff(attempt: Column, base: int | Column, maximum: int | Column) -> Column:
     """Doubling wait, capped."""
-    return F.least(F.lit(base) * F.pow(F.lit(2), attempt - 1), F.lit(maximum)).cast("long")
+    wide = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.least(wide(base) * F.pow(F.lit(2), attempt - 1), wide(maximum)).cast("long")
+
+
+def wrap(c: Column, width: int = 94) -> Column:
+    """Array of lines of whole words, as many as fit into ``width`` characters; longer words stand alone. Null for null."""
+    kind = "array<string>"
+    last = lambda acc: F.element_at(acc, -1)
+    fits = lambda acc, w: (F.size(acc) > 0) & (F.length(F.try_element_at(acc, F.lit(-1))) + 1 + F.length(w) <= width)
+    step = lambda acc, w: F.when(fits(acc, w), F.array_append(F.slice(acc, 1, F.size(acc) - 1), F.concat(last(acc), F.lit(" "), w))).otherwise(F.array_append(acc, w)).cast(kind)
+    return F.aggregate(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""), F.array().cast(kind), step)

@@ -79,8 +79,10 @@ def validate(questions: DataFrame, documents: DataFrame, chunks: DataFrame) -> D
     have = documents.filter("text is not null")
     anchors = exp.select("id", "source_id", F.explode("anchors").alias("anchor"))
     own = anchors.join(have, "source_id").withColumn("inside", F.contains("text", "anchor"))
-    # only documents that some question expects can be compared here; others come from anchor_containment
-    other = anchors.withColumnRenamed("source_id", "own").join(have.select(F.col("source_id").alias("other"), "text"), F.contains("text", "anchor") & (F.col("own") != F.col("other")))
+    numbered = anchors.select("anchor").distinct().withColumn("anchor_id", F.monotonically_increasing_id())
+    names = have.select("source_id").distinct().withColumn("doc_id", F.monotonically_increasing_id())
+    found = anchor_containment(numbered, have.join(names, "source_id").select("doc_id", "text")).join(numbered, "anchor_id").join(names, "doc_id").select("anchor", F.col("source_id").alias("other"))
+    other = anchors.withColumnRenamed("source_id", "own").join(found, "anchor").filter("own <> other").select("id", "own", "anchor", "other").distinct()
     whole = own.filter("inside").select("id", "source_id", "anchor").join(chunks.select("source_id", F.col("text").alias("piece")), "source_id").groupBy("id", "source_id", "anchor").agg(F.max(F.contains("piece", "anchor")).alias("any")).filter("not any")
     parts = [
         say(questions.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "duplicate_id", F.col("n")),
@@ -159,6 +161,47 @@ def dry_run(prompts: DataFrame) -> DataFrame:
     return prompts.select("qid", F.length("prompt").cast("long").alias("chars"), F.floor(F.length("prompt") / 4).cast("long").alias("token_estimate"))
 
 
+def ceiling(prompts: DataFrame, sources: DataFrame, anchors: DataFrame) -> DataFrame:
+    """:func:`dry_run` with anchors and reachable: those (qid, anchor) that a source (qid, text) contains, the most that an answer can cite."""
+    found = anchors.join(sources.select("qid", "text"), "qid", "left").groupBy("qid", "anchor").agg(F.max(F.coalesce(F.contains("text", "anchor"), F.lit(False))).alias("there"))
+    per = found.groupBy("qid").agg(F.count(F.lit(1)).alias("anchors"), F.count_if("there").alias("reachable"))
+    return dry_run(prompts).join(per, "qid", "left").select("qid", "chars", "token_estimate", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("anchors", "reachable")))
+
+
+def ceiling_totals(rows: DataFrame) -> DataFrame:
+    """One row: questions, anchors, reachable, prompt_chars and tokens_each, the estimate for a question."""
+    return rows.agg(F.count(F.lit(1)).alias("questions"), F.coalesce(F.sum("anchors"), F.lit(0)).alias("anchors"), F.coalesce(F.sum("reachable"), F.lit(0)).alias("reachable"), F.coalesce(F.sum("chars"), F.lit(0)).alias("prompt_chars")).withColumn("tokens_each", F.floor(F.floor(F.col("prompt_chars") / F.greatest("questions", F.lit(1))) / 4).cast("long"))
+
+
+def grid_totals(runs: DataFrame) -> DataFrame:
+    """One row over all answers of all runs, probes too: answers, citations, fabricated, malformed.
+
+    ``runs``: file, config, totals, questions array<struct<answer, citations, unknown, malformed>>; nulls count 0.
+    """
+    q = runs.select(F.explode("questions").alias("q")).select("q.*")
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    return q.agg(F.count_if(F.coalesce("answer", F.lit("")) != "").alias("answers"), n(F.col("citations")).alias("citations"), n(size("unknown")).alias("fabricated"), n(size("malformed")).alias("malformed"))
+
+
+def shipping_run(runs: DataFrame, k: int, thinking: str) -> DataFrame:
+    """The first run by file name of the configuration (k, thinking); no row where none was made."""
+    return runs.filter((F.col("config.k") == k) & (F.col("config.thinking") == thinking)).orderBy("file").limit(1).select("file", "config", "totals")
+
+
+# The named subsets of the questions.
+SUBSETS = {
+    "movers": ("false-testimony", "removal-proceedings", "court-decides-or-remands", "notice-to-appear-warrant"),
+    "controls": ("delay-after-interview", "appeal-denial", "spouse-three-years"),
+}
+
+
+def wanted_ids(questions: DataFrame, names: list[str]) -> DataFrame:
+    """id: question ids of ``names``, each an id or the name of a subset."""
+    ids = [i for name in names for i in SUBSETS.get(name, (name,))]
+    return questions.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], "id string")
+
+
 def headline(results: DataFrame, k: int) -> DataFrame:
     """Totals of retrieval results with recall as map<string,double>, as JSON gives it back."""
     r = F.element_at("recall", F.lit(str(k)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.substance import is_substantive
 from tessera.functions.text import normalize_unicode, strip, tidy_spacing
+from tessera.operators import markup, pages
 
 # The line shapes.
 HEADING = r"^#+\s+Footnotes?\s*$"
@@ -131,3 +132,39 @@ def process_chapter(raw: DataFrame, verdicts: DataFrame) -> DataFrame:
         (F.col("n_kept") + F.size(parked)).alias("footnotes_kept"),
         (F.col("n_dropped") + F.size("more") - F.size(parked)).alias("footnotes_dropped"),
     )
+
+
+def keep_rate(reports: DataFrame) -> DataFrame:
+    """One row of :func:`process_chapter` reports: chapters, kept, dropped and the share kept (null without notes)."""
+    total = reports.agg(F.count(F.lit(1)).alias("chapters"), F.coalesce(F.sum("footnotes_kept"), F.lit(0)).cast("long").alias("kept"), F.coalesce(F.sum("footnotes_dropped"), F.lit(0)).cast("long").alias("dropped"))
+    return total.withColumn("share", F.when(F.col("kept") + F.col("dropped") > 0, F.round(F.col("kept") / (F.col("kept") + F.col("dropped")), 6)))
+
+
+#: Marks of opinions in XML until they are placed: digits between two private-use characters.
+OPINION_MARK = "\ue000(\\d+)\ue001"
+_REPORT = ("orphan_marks", "unplaced_footnotes", "footnotes_kept", "footnotes_dropped", "lines")
+
+
+def process_opinions(payloads: DataFrame) -> DataFrame:
+    """source_id, text, orphan_marks, unplaced_footnotes, footnotes_kept, footnotes_dropped, lines, error of raw opinions (source_id, xml_harvard, plain_text).
+
+    XML where there is any, else page-layout text. All notes are kept; those that no mark points at follow at the
+    end, by number. Without either the error is ``no_content``; XML errors are the extractor's. Rows with an error have no text.
+    """
+    some = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
+    own = payloads.select(F.col("source_id").cast("string").alias("source_id"), some("xml_harvard").alias("xml"), some("plain_text").alias("plain"))
+    read = markup.opinions(own.filter("xml <> ''"))
+    none = F.create_map().cast(_NOTE_MAP)
+    good = read.filter("error is null").select("source_id", "body", F.coalesce("notes", none).alias("notes")).withColumn("kept", F.col("notes"))
+    used = F.flatten(F.transform("body", lambda x: F.transform(F.regexp_extract_all(x, F.lit(OPINION_MARK), 1), lambda n: n.cast("int"))))
+    left = good.select("source_id", "notes", F.array_sort(F.array_except(F.map_keys("notes"), used)).alias("unplaced_footnotes"))
+    placed = place(good, OPINION_MARK).join(left, "source_id")
+    parked = F.transform("unplaced_footnotes", lambda n: F.concat(F.lit("[^ "), n.cast("string"), F.lit("] "), F.element_at("notes", n)))
+    lines = F.transform(F.concat(F.transform("lines", lambda x: F.regexp_replace(x, OPINION_MARK, " [$1]")), parked), tidy_spacing)
+    xml = placed.select("source_id", lines.alias("l"), F.col("orphans").alias("orphan_marks"), "unplaced_footnotes", (F.col("n_kept") + F.size("unplaced_footnotes")).cast("long").alias("footnotes_kept"), F.col("n_dropped").alias("footnotes_dropped"))
+    paged = pages.clean(own.filter("xml = '' and plain <> ''").select("source_id", F.col("plain").alias("text")))
+    empty = F.array().cast("array<int>")
+    text = paged.select("source_id", F.transform("lines", tidy_spacing).alias("l"), empty.alias("orphan_marks"), empty.alias("unplaced_footnotes"), F.col("footnotes").cast("long").alias("footnotes_kept"), F.lit(0).cast("long").alias("footnotes_dropped"))
+    done = xml.unionByName(text).select("source_id", F.array_join("l", "\n").alias("text"), *_REPORT[:-1], F.size("l").alias("lines"), F.lit(None).cast("string").alias("error"))
+    bad = read.filter("error is not null").select("source_id", "error").union(own.filter("xml = '' and plain = ''").select("source_id", F.lit("no_content")))
+    return done.unionByName(bad, allowMissingColumns=True)

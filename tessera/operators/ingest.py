@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import retry_after, status_category
+
 # The categories that count towards the breaker, and its limit.
 BREAKER_CATEGORIES = ("rate_limited", "forbidden", "server_error", "timeout", "connection_error")
 BREAKER_LIMIT = 3
@@ -55,3 +57,20 @@ def indexable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def tags(docs: DataFrame) -> DataFrame:
     """barrier, n: documents of every tag in the comma list."""
     return docs.select(F.explode(F.split("barrier", ",")).alias("barrier")).groupBy("barrier").agg(F.count(F.lit(1)).alias("n"))
+
+
+def fetched(attempts: DataFrame) -> DataFrame:
+    """url, attempts, body, category, wait of landed attempts (url, attempt, status, retry_after, body, error).
+
+    The last attempt of each url decides: its body where the status is 200, else a category (the
+    status' one, or ``error`` where no reply came) and the wait that the server asked for. Rows without url go.
+    """
+    last = attempts.filter("url is not null").groupBy("url").agg(F.count(F.lit(1)).alias("attempts"), F.max_by(F.struct("status", "retry_after", "body", "error"), "attempt").alias("x"))
+    good = F.coalesce(F.col("x.status") == 200, F.lit(False))
+    category = F.when(~good, F.when(F.col("x.status").isNotNull(), status_category(F.col("x.status"))).otherwise(F.coalesce("x.error", F.lit("connection_error"))))
+    return last.select("url", "attempts", F.when(good, F.col("x.body")).alias("body"), category.alias("category"), F.when(~good, retry_after(F.col("x.retry_after"))).alias("wait"))
+
+
+def by_tag(reports: DataFrame) -> DataFrame:
+    """tag, documents, page_ids (rising): which documents hold each unhandled tag; (page_id, unhandled array<string>)."""
+    return reports.select("page_id", F.explode("unhandled").alias("tag")).groupBy("tag").agg(F.countDistinct("page_id").alias("documents"), F.array_sort(F.collect_set("page_id")).alias("page_ids"))

@@ -200,6 +200,32 @@ def contents(html: str, volume: str, parts: list[str] | None = None) -> list[tup
     raise StructureChanged(f"{volume} not found in the table of contents")
 
 
+_CONTENTS = "page_id long, volume string, volume_title string, part_title string, chapter_title string, chapter_path string, error string"
+
+
+def contents_table(pages: DataFrame, wanted: dict[str, list[str] | None]) -> DataFrame:
+    """page_id, volume, volume_title, part_title, chapter_title, chapter_path, error: the chapters that tables of contents (page_id, html) list.
+
+    ``wanted``: volume labels, each with its parts' labels or None for all. A page on which a volume or
+    part isn't as expected gives one row with the error for that volume.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in _CONTENTS.split(", ")]
+        for batch in batches:
+            rows = []
+            for page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for volume, parts in wanted.items():
+                    try:
+                        rows += [(page, *r, None) for r in contents(html or "", volume, parts)]
+                    except StructureChanged as e:
+                        rows.append((page, volume, None, None, None, None, str(e)))
+            cols = zip(*rows, strict=True) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64() if n == "page_id" else pa.string()) for c, n in zip(cols, names, strict=True)], names)
+
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(run, _CONTENTS)
+
+
 # ---------------------------------------------------------------- XML opinions
 
 # The markups of page numbers, notes and note marks, as (tag, class).

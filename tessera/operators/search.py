@@ -88,6 +88,25 @@ def metadata_filter(source_type: str | None = None, tag: str | None = None) -> C
     return reduce(Column.__and__, parts) if parts else None
 
 
+def checked_filter(index: DataFrame, source_type: str | None = None, tag: str | None = None) -> Column | None:
+    """:func:`metadata_filter`; a tag that no row of ``index`` has raises and names those that are there."""
+    if tag is not None:
+        known = index.select(F.explode(F.split("barrier", ",")).alias("tag")).filter("tag <> ''").distinct()
+        if not known.filter(F.col("tag") == tag).limit(1).count():
+            raise ValueError(f"no chunks tagged {tag}; tagged values: {', '.join(r.tag for r in known.orderBy('tag').limit(1000).collect())}")
+    return metadata_filter(source_type, tag)
+
+
+def by_ids(index: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Rows of the index by their ids; unknown ids give none."""
+    return index.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def chunk_texts(index: DataFrame, source_id: str) -> DataFrame:
+    """chunk_index, text of one document."""
+    return index.filter(F.col("source_id") == source_id).select("chunk_index", "text")
+
+
 def capped(hits: DataFrame, cap: int, k: int) -> DataFrame:
     """At most ``cap`` hits of a source, re-ranked, down to ``k``; (qid, rank, source, ...)."""
     within = F.row_number().over(Window.partitionBy("qid", "source").orderBy("rank"))

@@ -236,17 +236,42 @@ query("anchor_elsewhere", "SELECT item_id AS anchor_id, doc_id FROM (SELECT item
 )
 
 
-@query("validate_questions", "SELECT 'unknown_source' AS problem, 'q1' AS id, 'zz' AS detail UNION ALL SELECT 'no_document', 'q1', 'zz' UNION ALL SELECT 'duplicate_id', 'q2', '2' UNION ALL SELECT 'no_expected', 'q3', '' UNION ALL SELECT 'overlap', 'q1', 's1' UNION ALL SELECT 'anchor_missing', 'q1', 'absent' UNION ALL SELECT 'anchor_elsewhere', 'q1', 'shared@s2' UNION ALL SELECT 'anchor_straddles', 'q2', 'two three'")
+_KEYS = f"""WITH k AS {values("question_keys")}, r AS {values("question_rows")}, d AS (SELECT * FROM {values("key_documents")} WHERE text IS NOT NULL), c AS {values("key_chunks")},
+a AS (SELECT DISTINCT id, source_id, unnest(anchors) AS anchor FROM k), acc AS (SELECT DISTINCT id, unnest(acceptable) AS source_id FROM k)
+"""
+
+
+@query(
+    "validate_questions",
+    _KEYS
+    + """SELECT 'duplicate_id' AS problem, id, CAST(count(*) AS VARCHAR) AS detail FROM r GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'no_expected', id, '' FROM r WHERE id NOT IN (SELECT id FROM k)
+UNION ALL SELECT DISTINCT 'overlap', id, source_id FROM k JOIN acc USING (id, source_id)
+UNION ALL SELECT DISTINCT 'unknown_source', id, source_id FROM (SELECT id, source_id FROM k UNION SELECT id, source_id FROM acc) WHERE source_id NOT IN (SELECT source_id FROM c)
+UNION ALL SELECT 'no_document', id, source_id FROM k WHERE source_id NOT IN (SELECT source_id FROM d)
+UNION ALL SELECT 'anchor_missing', id, anchor FROM a JOIN d USING (source_id) WHERE NOT contains(text, anchor)
+UNION ALL SELECT 'anchor_elsewhere', id, anchor || '@' || d.source_id FROM a JOIN d ON contains(text, anchor) AND d.source_id <> a.source_id
+UNION ALL SELECT 'anchor_straddles', id, anchor FROM a JOIN d USING (source_id) WHERE contains(text, anchor) AND NOT EXISTS (SELECT 1 FROM c WHERE c.source_id = a.source_id AND contains(c.text, anchor))""",
+)
 def _validate(spark, d):
-    q = spark.createDataFrame(
-        [("q1", [("s1", ["absent", "shared"]), ("zz", [])], ["s1"]), ("q2", [("s2", ["two three"])], []), ("q2", [("s2", [])], []), ("q3", [], [])],
-        "id string, expected array<struct<source_id:string,anchors:array<string>>>, acceptable array<string>",
-    )
-    docs = spark.createDataFrame([("s1", "one shared text"), ("s2", "one two three shared")], "source_id string, text string")
-    chunks = spark.createDataFrame([("s1", "one shared text"), ("s2", "one two"), ("s2", "three shared")], "source_id string, text string")
-    return evaluation.validate(q, docs, chunks)
+    keys = frame(spark, "question_keys").groupBy("id").agg(F.collect_list(F.struct("source_id", "anchors")).alias("expected"), F.first("acceptable").alias("acceptable"))
+    rows = frame(spark, "question_rows").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("id")))
+    # a repeated question carries its key once
+    q = rows.join(keys, "id", "left").select("id", *(F.when(F.col("nth") == 1, F.col(c)).otherwise(F.array().cast(keys.schema[c].dataType)).alias(c) for c in ("expected", "acceptable")))
+    out = evaluation.validate(q, frame(spark, "key_documents"), frame(spark, "key_chunks"))
+    return out.filter("not (problem = 'no_expected' and id = 'q2')")  # its second row
 
 
+query(
+    "validate_items",
+    "SELECT 'anchor_elsewhere' AS problem, CAST(item_id AS VARCHAR) AS id, b.text || '@' || doc_id AS detail FROM benchmark b JOIN documents d ON contains(d.text, b.text) UNION ALL SELECT 'no_document', CAST(item_id AS VARCHAR), 'item ' || item_id FROM benchmark UNION ALL SELECT 'unknown_source', CAST(item_id AS VARCHAR), 'item ' || item_id FROM benchmark",
+)(
+    lambda spark, d: evaluation.validate(
+        _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.array(F.struct(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("source_id"), F.array("text").alias("anchors"))).alias("expected"), F.array().cast("array<string>").alias("acceptable")),
+        _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"),
+        _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"),
+    )
+)
 query("expected_and_acceptable", f"SELECT id, list_sort(list_intersect(expected, acceptable)) AS both_lists, list_sort(list_distinct(list_concat(expected, acceptable))) AS allowed FROM {values('keys')}")(
     lambda spark, d: frame(spark, "keys").select("id", F.array_sort(F.array_intersect("expected", "acceptable")).alias("both_lists"), F.array_sort(F.array_union("expected", "acceptable")).alias("allowed"))
 )
@@ -272,7 +297,7 @@ query("retry_after", f"SELECT id, CASE WHEN regexp_full_match(header, '-?[0-9]+'
 
 @query("backoff", f"SELECT attempt, base, CAST(least(base * pow(2, attempt - 1), maximum) AS BIGINT) AS seconds FROM {values('attempts')}")
 def _backoff(spark, d):
-    return frame(spark, "attempts").select("attempt", "base", F.least(F.col("base") * F.pow(F.lit(2), F.col("attempt") - 1), F.col("maximum")).cast("long").alias("seconds"))
+    return frame(spark, "attempts").select("attempt", "base", T.backoff(F.col("attempt"), F.col("base"), F.col("maximum")).alias("seconds"))
 
 
 # ---------------------------------------------------------------- citations
@@ -462,16 +487,21 @@ query("config_diff", f'SELECT coalesce(l.field, r.field) AS field, l."value" AS
 query("question_select", "SELECT CAST(item_id AS BIGINT) AS position, CAST(item_id AS VARCHAR) AS id, false AS probe FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT 1000000, 'probe', true")(
     lambda spark, d: evaluation.select_questions(_t(spark, d, "benchmark").select(F.col("item_id").alias("position"), F.col("item_id").cast("string").alias("id")), spark.sql("select 0L as position, 'probe' as id"), _t(spark, d, "benchmark").filter("item_id % 3 = 0").select(F.col("item_id").cast("string").alias("id")))
 )
-query("question_unknown", "SELECT 'nope' AS id")(lambda spark, d: evaluation.unknown_ids(_t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id")), spark.sql("select explode(array('0', 'nope', 'nope')) as id")))
+query("question_unknown", "SELECT DISTINCT id FROM (SELECT unnest(['0', 'nope', 'nope', '-7']) AS id) WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)")(lambda spark, d: evaluation.unknown_ids(_t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id")), spark.sql("select explode(array('0', 'nope', 'nope', '-7')) as id")))
+_READ = f"""WITH r AS (SELECT id, CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS j FROM {values("responses")}),
+c AS (SELECT id, j, json_extract(j, '$.candidates[0]') AS c FROM r),
+t AS (SELECT id, j, c, trim(array_to_string(list_transform(list_filter(coalesce(CAST(json_extract(c, '$.content.parts[*]') AS JSON[]), []), lambda p: coalesce(json_extract_string(p, '$.thought'), 'false') <> 'true'), lambda p: coalesce(json_extract_string(p, '$.text'), '')), '')) AS t, coalesce(json_extract_string(c, '$.finishReason') = 'MAX_TOKENS', false) AS truncated FROM c),
+k AS (SELECT *, CASE WHEN j IS NULL THEN 'bad_json' WHEN c IS NULL THEN 'no_candidate' WHEN t = '' THEN 'empty_answer' END AS degraded_category FROM t)
+"""
 query(
     "read_response",
-    "SELECT * FROM (VALUES (1, 'Answer [S1].', NULL, false, false), (2, NULL, 'no_candidate', false, false), (3, NULL, 'empty_answer', false, true), (4, NULL, 'bad_json', false, false), (5, NULL, 'bad_json', false, false), (6, 'Not covered by the retrieved sources. Sorry', NULL, true, true)) v(id, answer, degraded_category, refused_verbatim, truncated)",
+    _READ + "SELECT id, CASE WHEN degraded_category IS NULL THEN t END AS answer, degraded_category, degraded_category IS NULL AND starts_with(t, 'Not covered by the retrieved sources.') AS refused_verbatim, truncated FROM k",
 )(lambda spark, d: answers.read_response(frame(spark, "responses")).select("id", "answer", "degraded_category", "refused_verbatim", "truncated"))
-
-
-query("read_local_response", "SELECT * FROM (VALUES (1, 'Yes [S1].', 'STOP', NULL), (2, NULL, 'STOP', 'empty_answer'), (3, NULL, '', 'bad_json'), (4, NULL, '', 'bad_json'), (5, 'cut', '', NULL)) v(id, answer, finish, degraded_category)")(
-    lambda spark, d: answers.read_local_response(frame(spark, "local_responses")).select("id", "answer", "finish", "degraded_category")
-)
+query(
+    "read_local_response",
+    f"""WITH r AS (SELECT id, CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS j FROM {values("local_responses")}), t AS (SELECT id, j, trim(coalesce(json_extract_string(j, '$.response'), '')) AS t FROM r)
+SELECT id, CASE WHEN j IS NOT NULL AND t <> '' THEN t END AS answer, CASE WHEN json_extract_string(j, '$.done') = 'true' THEN 'STOP' ELSE '' END AS finish, CASE WHEN j IS NULL THEN 'bad_json' WHEN t = '' THEN 'empty_answer' END AS degraded_category FROM t""",
+)(lambda spark, d: answers.read_local_response(frame(spark, "local_responses")).select("id", "answer", "finish", "degraded_category"))
 
 
 @query(

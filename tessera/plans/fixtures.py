@@ -130,6 +130,26 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         "id string, expected array<string>, acceptable array<string>",
         [("q1", ["d1", "d2"], ["d3"]), ("q2", ["d1"], ["d1"]), ("q3", ["d9"], []), ("q1", ["d2"], [])],
     ),
+    "payloads": (
+        "source_id string, xml_harvard string, plain_text string",
+        [
+            ("x1", "<casebody><opinion><author>X, J.</author><p>Held<footnotemark>2</footnotemark> so, and<footnotemark>7</footnotemark> more.</p><footnote label=\"2\"><p>2. Kept note.</p></footnote><footnote label=\"5\"><p>5. Nobody points here.</p></footnote></opinion></casebody>", "ignored"),
+            ("x2", "", "One page  only\nwith te-\nxt"), ("x3", None, " \n "), ("x4", "<broken", None), ("x5", "<casebody/>", "not used"), ("x6", None, None),
+        ],
+    ),
+    "asked": ("qid int, question string", [(1, "Question 1?"), (2, "Question 2?"), (3, "Nothing found?")]),
+    "grid": (
+        "file string, k int, thinking string, answer string, citations int, unknown array<string>, malformed array<string>",
+        [("b.json", 8, "low", "a", 3, [], ["m"]), ("b.json", 8, "low", None, None, None, None), ("a.json", 8, "low", "b", 1, ["S9", "S8"], []), ("c.json", 5, "high", "", 0, [], None)],
+    ),
+    "verdict_reports": ("source_id string, footnotes_kept long, footnotes_dropped long", [("a", 3, 1), ("b", 0, 0), ("c", 2, 2)]),
+    "question_keys": (
+        "id string, source_id string, anchors array<string>, acceptable array<string>",
+        [("q1", "s1", ["absent", "shared"], ["s1"]), ("q1", "zz", [], ["s1"]), ("q2", "s2", ["two three", "one"], []), ("q4", "s1", ["one"], ["s9"])],
+    ),
+    "question_rows": ("id string", [("q1",), ("q2",), ("q2",), ("q3",), ("q4",)]),
+    "key_documents": ("source_id string, text string", [("s1", "one shared text"), ("s2", "one two three shared"), ("s3", None)]),
+    "key_chunks": ("source_id string, text string", [("s1", "one shared text"), ("s2", "one two"), ("s2", "three shared")]),
     "local_responses": ("id int, response string", [(1, '{"response":" Yes [S1]. ","done":true,"prompt_eval_count":4,"eval_count":2}'), (2, '{"response":"","done":true}'), (3, "oops"), (4, None), (5, '{"response":"cut"}')]),
     "responses": (
         "id int, response string",

@@ -21,7 +21,7 @@ def _stem(suffix: str):
 
 
 def texts(spark: SparkSession, *dirs: str) -> DataFrame:
-    """source_id (file stem), text of the ``.txt`` files of all folders; blank lines dropped by the chunker."""
+    """source_id (file stem), text of the ``.txt`` files of all folders; Spark skips files of no bytes; blank lines dropped by the chunker."""
     read = lambda d: spark.read.text(d, wholetext=True, pathGlobFilter="*.txt").select(_stem(r"\.txt").alias("source_id"), F.regexp_replace("value", r"\n+$", "").alias("text"))
     return reduce(DataFrame.unionByName, map(read, dirs))
 
@@ -56,9 +56,30 @@ def probes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PROBE).json(path, multiLine=True).select(F.posexplode("probes").alias("position", "q")).select("position", "q.*")
 
 
+def first_texts(spark: SparkSession, *dirs: str) -> DataFrame:
+    """source_id, text: like :func:`texts`, but of files with one stem the first folder's counts."""
+    read = [texts(spark, d).withColumn("_at", F.lit(i)) for i, d in enumerate(dirs)]
+    return reduce(DataFrame.unionByName, read).groupBy("source_id").agg(F.min_by("text", "_at").alias("text"))
+
+
+RUN = (
+    "config struct<model:string,k:int,thinking:string,provider:string,questions:array<string>,run:int>, totals map<string,double>, "
+    "questions array<struct<id:string,probe:boolean,answer:string,degraded_category:string,citations:int,unknown:array<string>,malformed:array<string>,cited:array<string>,off_target_cites:array<string>,anchors:int,anchors_in_cited:int,anchors_in_context:int,refused_verbatim:boolean,truncated:boolean,expected_retrieved:array<string>,expected_cited:array<string>,usage:map<string,bigint>,seconds:double>>"
+)
+
+
 def run_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Run files (config, totals, questions) of a folder with their names."""
-    return spark.read.json(folder, multiLine=True, pathGlobFilter="*.json").withColumn("file", F.col("_metadata.file_name"))
+    """Run files (config, totals, questions) of a folder with their names, in one pass; a malformed one fails the read."""
+    return spark.read.schema(RUN).json(folder, multiLine=True, mode="FAILFAST", pathGlobFilter="*.json").withColumn("file", F.col("_metadata.file_name"))
+
+
+#: A fetch attempt as landed: one JSON object a line.
+ATTEMPT = "url string, attempt int, status int, retry_after string, body string, error string"
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetch attempts (pages or JSON replies) that a fetcher outside the engine has written; malformed lines have null url."""
+    return spark.read.schema(ATTEMPT).json(folder, mode="PERMISSIVE")
 
 
 def chapter_sidecar(scraped: DataFrame) -> DataFrame:

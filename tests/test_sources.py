@@ -5,6 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import evaluation
+from tessera.operators import ingest as ingest_policies
 from tessera.sources import readers, sinks
 from tessera.streaming import ingest
 
@@ -42,7 +44,52 @@ def test_rebuild_replaces(spark, tmp_path):
     path = str(tmp_path / "index")
     sinks.rebuild_index(spark.range(10).toDF("chunk"), path)
     sinks.rebuild_index(spark.range(3).toDF("chunk"), path)
-    assert spark.read.parquet(path).count() == 3
+    assert sinks.current_index(spark, path).count() == 3
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).cast("long").alias("chunk"))
+    with pytest.raises(Exception, match="no"):
+        sinks.rebuild_index(broken, path)
+    assert sinks.current_index(spark, path).count() == 3
+
+
+def test_first_folder_wins(spark, tmp_path):
+    for folder, files in (("x", {"a": "one", "b": "two"}), ("y", {"b": "other", "c": "\n"})):
+        (tmp_path / folder).mkdir()
+        for stem, text in files.items():
+            (tmp_path / folder / f"{stem}.txt").write_text(text)
+    got = {r.source_id: r.text for r in readers.first_texts(spark, str(tmp_path / "x"), str(tmp_path / "y")).collect()}
+    assert got == {"a": "one", "b": "two", "c": ""}
+
+
+def test_run_files(spark, tmp_path):
+    q = [{"id": "q1", "answer": "x", "citations": 2, "unknown": ["S9"]}, {"id": "p", "probe": True, "answer": None, "citations": None, "malformed": ["m"]}]
+    for name, k in (("b.json", 8), ("a.json", 8), ("c.json", 5)):
+        (tmp_path / name).write_text(json.dumps({"config": {"k": k, "thinking": "low", "model": name}, "totals": {"answered": 1.0}, "questions": q}))
+    runs = readers.run_files(spark, str(tmp_path))
+    assert evaluation.grid_totals(runs).first().asDict() == {"answers": 3, "citations": 6, "fabricated": 3, "malformed": 3}
+    assert evaluation.shipping_run(runs, 8, "low").first().file == "a.json"
+    assert evaluation.shipping_run(runs, 9, "low").count() == 0
+    assert evaluation.grid_totals(runs.filter("false")).first().answers == 0
+
+
+def test_landed_attempts(spark, tmp_path):
+    rows = [{"url": "a", "attempt": 1, "status": 503, "retry_after": "7"}, {"url": "a", "attempt": 2, "status": 200, "body": "<p>x"}, {"url": "b", "attempt": 1, "status": 429, "retry_after": "30"}, {"url": "c", "attempt": 1, "error": "timeout"}]
+    (tmp_path / "log.json").write_text("\n".join(map(json.dumps, rows)) + "\nnot json\n")
+    got = {r.url: (r.attempts, r.body, r.category, r.wait) for r in ingest_policies.fetched(readers.landed(spark, str(tmp_path))).collect()}
+    assert got == {"a": (2, "<p>x", None, None), "b": (1, None, "rate_limited", 30), "c": (1, None, "timeout", None)}
+
+
+def test_raw_and_results(spark, tmp_path):
+    sinks.write_raw(spark.createDataFrame([("x", "{}"), ("y", "[1]")], "stem string, body string"), str(tmp_path / "raw"))
+    assert {(r.stem, r.value) for r in spark.read.text(str(tmp_path / "raw")).collect()} == {("x", "{}"), ("y", "[1]")}
+    folder = sinks.write_results(spark.range(2), str(tmp_path / "out"), {"k": 8, "model": "m/1"})
+    assert folder.endswith("k8-modelm_1")
+    assert spark.read.json(folder).count() == 2
+
+
+def test_chapter_sidecar(spark):
+    df = spark.createDataFrame([("s", "V", "P", "C", "/u", "2024-01-01")], "stem string, volume_title string, part_title string, chapter_title string, chapter_url string, scraped_date string")
+    r = readers.chapter_sidecar(df).first()
+    assert (r.source_id, r.source_type, r.title, r.url, r.retrieved, r.barrier) == ("s", "uscis", "V / P / C", "/u", "2024-01-01", None)
 
 
 def test_gate(spark):
