@@ -15,8 +15,8 @@ from tessera.functions import citations as C
 from tessera.functions import substance as S
 from tessera.functions import text as T
 from tessera.operators import answers, chunking, evaluation, footnotes, ingest, markup, pages, search, windows
+from tessera.plans import flagship
 from tessera.plans.fixtures import frame, values
-from tessera.plans.flagship import retrieve
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,10 +33,15 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def saved_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """The documents' chunks, made once and read back from a shared folder."""
+    return flagship.chunk_table(spark, table(spark, d, "documents"))
+
+
 # ---------------------------------------------------------------- documents, lines, chunks
 
 _LINES = r"""SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS line_no, line
@@ -53,19 +58,19 @@ p AS (
 c AS (SELECT p.doc_id, CAST(p.chunk AS INTEGER) AS chunk_index, count(*) AS lines, CAST(sum(l.t) AS BIGINT) AS tokens FROM p JOIN l USING (doc_id, line_no) GROUP BY ALL)
 """
 
-query("doc_lines", _LINES)(lambda spark, d: chunking.lines(_t(spark, d, "documents")))
-query("token_counts", f"SELECT doc_id, CAST({_TOKENS.format('text')} AS BIGINT) AS tokens FROM documents")(lambda spark, d: chunking.token_counts(_t(spark, d, "documents")))
+query("doc_lines", _LINES)(lambda spark, d: chunking.lines(table(spark, d, "documents")))
+query("token_counts", f"SELECT doc_id, CAST({_TOKENS.format('text')} AS BIGINT) AS tokens FROM documents")(lambda spark, d: chunking.token_counts(table(spark, d, "documents")))
 query(
     "sentence_split",
     r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?;:])["''”’)\]]*\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS sentences, CAST(coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS BIGINT) AS longest FROM s""",
-)(lambda spark, d: chunking.sentence_stats(_t(spark, d, "documents")))
-query("chunk_greedy", _CHUNKS + "SELECT * FROM c")(lambda spark, d: chunking.greedy_chunks(_t(spark, d, "documents")).drop("chunk_total"))
-query("chunk_meta", _CHUNKS + "SELECT doc_id || '_' || chunk_index AS chunk_id, doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_total, tokens FROM c")(lambda spark, d: chunking.chunk_positions(chunking.greedy_chunks(_t(spark, d, "documents"))))
+)(lambda spark, d: chunking.sentence_stats(table(spark, d, "documents")))
+query("chunk_greedy", _CHUNKS + "SELECT * FROM c")(lambda spark, d: chunking.greedy_chunks(table(spark, d, "documents")).drop("chunk_total"))
+query("chunk_meta", _CHUNKS + "SELECT doc_id || '_' || chunk_index AS chunk_id, doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS chunk_total, tokens FROM c")(lambda spark, d: chunking.chunk_positions(chunking.greedy_chunks(table(spark, d, "documents"))))
 query(
     "chunk_size_stats",
     _CHUNKS + ", s AS (SELECT list_sort(list(tokens)) AS x, count(*) AS n FROM c) SELECT CAST(n AS BIGINT) AS chunks, x[n // 2 + 1] AS median, x[CAST(floor(n * 0.1) AS INTEGER) + 1] AS p10, x[CAST(floor(n * 0.9) AS INTEGER) + 1] AS p90, x[-1] AS largest, CAST(len(list_filter(x, lambda v: v > 256)) AS BIGINT) AS \"over\" FROM s",
-)(lambda spark, d: chunking.size_stats(chunking.greedy_chunks(_t(spark, d, "documents"))))
+)(lambda spark, d: chunking.size_stats(chunking.greedy_chunks(table(spark, d, "documents"))))
 
 
 def chunk_sql(source: str) -> str:
@@ -95,46 +100,46 @@ o AS (SELECT c.doc_id, c.chunk_index, c.chunk_total, string_agg(CASE WHEN u.i =
 SELECT doc_id, doc_id || '_' || chunk_index AS chunk_id, chunk_index, chunk_total, text, tokens, section, list_transform(regexp_extract_all(text, '\[\^\s*(\d+)\]', 1), lambda x: CAST(x AS INTEGER)) AS footnote_numbers FROM o"""
 
 
-query("chunk_full", chunk_sql("documents"))(lambda spark, d: chunking.chunks(_t(spark, d, "documents")))
+query("chunk_full", chunk_sql("documents"))(lambda spark, d: chunking.chunks(table(spark, d, "documents")))
 query("chunk_sections", chunk_sql(values("headed")))(lambda spark, d: chunking.chunks(frame(spark, "headed")))
-query("flagship_retrieve")(retrieve)
+query("flagship_retrieve")(flagship.retrieve)
 
 
 @query("chunks_by_source", _CHUNKS + "SELECT source, CAST(count(*) AS BIGINT) AS chunks, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c JOIN documents USING (doc_id) GROUP BY source")
 def _chunks_by_source(spark, d):
-    docs = _t(spark, d, "documents")
+    docs = table(spark, d, "documents")
     n = chunking.greedy_chunks(docs, keep=("source",)).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"))
     return n.withColumn("share", F.round(F.col("chunks") / F.sum("chunks").over(Window.partitionBy()), 6))
 
 
 @query("longest3_share", _CHUNKS + ", n AS (SELECT doc_id, count(*) AS k FROM c GROUP BY 1) SELECT round((SELECT sum(k) FROM (SELECT k FROM n ORDER BY k DESC, doc_id LIMIT 3)) / sum(k), 6) AS share, CAST(sum(k) AS BIGINT) AS chunks FROM n")
 def _longest3(spark, d):
-    n = chunking.greedy_chunks(_t(spark, d, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
+    n = chunking.greedy_chunks(table(spark, d, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
     top = n.orderBy(F.desc("k"), "doc_id").limit(3).agg(F.sum("k").alias("top"))
     return n.agg(F.sum("k").alias("chunks")).crossJoin(top).select(F.round(F.col("top") / F.col("chunks"), 6).alias("share"), "chunks")  # one row each
 
 
 @query("corpus_numbers", _CHUNKS + "SELECT CAST(count(*) AS BIGINT) AS chunks, count(DISTINCT doc_id) AS documents, count(DISTINCT CASE WHEN lang = 'en' THEN doc_id END) AS documents_en FROM c JOIN documents USING (doc_id)")
 def _corpus(spark, d):
-    docs = _t(spark, d, "documents")
+    docs = table(spark, d, "documents")
     return chunking.greedy_chunks(docs, keep=("lang",)).agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("lang") == "en", F.col("doc_id"))).alias("documents_en"))
 
 
 @query("metadata_left_join", "SELECT d.doc_id, d.source, l.quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def _sidecar(spark, d):
-    return ingest.with_sidecar(_t(spark, d, "documents").select("doc_id", "source"), _t(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    return ingest.with_sidecar(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
-query("metadata_missing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda spark, d: _t(spark, d, "documents").select("doc_id").join(_t(spark, d, "labels"), "doc_id", "left_anti"))
+query("metadata_missing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda spark, d: table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti"))
 query("corpus_union", "SELECT 'doc' AS kind, doc_id AS id, length(text) AS chars FROM documents UNION ALL SELECT 'item', item_id, length(text) FROM benchmark")(
-    lambda spark, d: _t(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("chars")).unionByName(_t(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("chars")))
+    lambda spark, d: table(spark, d, "documents").select(F.lit("doc").alias("kind"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("chars")).unionByName(table(spark, d, "benchmark").select(F.lit("item").alias("kind"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("chars")))
 )
 
 # ---------------------------------------------------------------- vector search
 
 
 def _index(spark, d):
-    return _t(spark, d, "embeddings")
+    return table(spark, d, "embeddings")
 
 
 def _queries(spark, d):
@@ -189,7 +194,7 @@ query(
 
 def _turn_hits(spark, d):
     """Assistant turns as hits, conversations as documents."""
-    c = _t(spark, d, "conversations")
+    c = table(spark, d, "conversations")
     total = c.groupBy("conv_id").agg((F.max("turn") + 1).cast("int").alias("chunk_total"))
     own = c.filter("role = 'assistant'").join(total, "conv_id")
     return own.select(F.col("conv_id").alias("qid"), F.col("turn").cast("int").alias("rank"), F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("chunk_index"), "chunk_total")
@@ -197,37 +202,26 @@ def _turn_hits(spark, d):
 
 @query("neighbor_window", "SELECT a.conv_id AS qid, CAST(a.turn AS INTEGER) AS rank, a.conv_id AS source_id, CAST(b.turn AS INTEGER) AS neighbor, b.text FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'assistant'")
 def _neighbor(spark, d):
-    chunks = _t(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("chunk_index"), "text")
+    chunks = table(spark, d, "conversations").select(F.col("conv_id").alias("source_id"), F.col("turn").cast("int").alias("chunk_index"), "text")
     return windows.window(_turn_hits(spark, d), chunks)
 
 
-_WANT = f"WITH h AS {values('hits')}, w AS (SELECT qid, rank, source_id, chunk_index, unnest(range(greatest(0, chunk_index - 1), least(chunk_total - 1, chunk_index + 1) + 1)) AS n FROM h)"
+WANT = f"WITH h AS {values('hits')}, w AS (SELECT qid, rank, source_id, chunk_index, unnest(range(greatest(0, chunk_index - 1), least(chunk_total - 1, chunk_index + 1) + 1)) AS n FROM h)"
 query(
     "window_dedup",
-    _WANT + " SELECT qid, CAST(coalesce(min(CASE WHEN n = chunk_index THEN rank END), min(rank)) AS INTEGER) AS rank, source_id, CAST(n AS INTEGER) AS neighbor FROM w GROUP BY qid, source_id, n",
+    WANT + " SELECT qid, CAST(coalesce(min(CASE WHEN n = chunk_index THEN rank END), min(rank)) AS INTEGER) AS rank, source_id, CAST(n AS INTEGER) AS neighbor FROM w GROUP BY qid, source_id, n",
 )(lambda spark, d: windows.deduped_window(frame(spark, "hits")))
-query("printed_window", _WANT + " SELECT w.qid, w.rank, w.source_id, CAST(w.n AS INTEGER) AS neighbor, CASE WHEN w.n <> w.chunk_index THEN h.rank END AS is_result FROM w LEFT JOIN h ON h.qid = w.qid AND h.source_id = w.source_id AND h.chunk_index = w.n")(lambda spark, d: windows.printed_window(frame(spark, "hits")))
+query("printed_window", WANT + " SELECT w.qid, w.rank, w.source_id, CAST(w.n AS INTEGER) AS neighbor, CASE WHEN w.n <> w.chunk_index THEN h.rank END AS is_result FROM w LEFT JOIN h ON h.qid = w.qid AND h.source_id = w.source_id AND h.chunk_index = w.n")(lambda spark, d: windows.printed_window(frame(spark, "hits")))
 query(
     "strip_overlap",
     f"""SELECT id, CASE WHEN n IS NULL THEN body ELSE ltrim(substr(body, n + 1), ' ' || chr(10) || chr(9)) END AS body FROM (
 SELECT *, list_max(list_filter(range(41, least(length(body), 800) + 1), lambda k: contains(right(previous, 1600), left(body, k)))) AS n FROM {values("overlaps")})""",
 )(lambda spark, d: frame(spark, "overlaps").select("id", T.strip_overlap(F.col("previous"), F.col("body")).alias("body")))
-query("source_blocks")(lambda spark, d: windows.source_blocks(frame(spark, "hits"), frame(spark, "hit_chunks")))
-
-
-@query("prompt")
-def _prompt(spark, d):
-    blocks = windows.source_blocks(frame(spark, "hits"), frame(spark, "hit_chunks")).withColumns({"citation": F.concat(F.lit("Source "), F.col("source_id")), "section": F.when(F.col("source_id") == "a", "A > B")})
-    return windows.prompts(blocks, frame(spark, "hits").select("qid", F.concat(F.lit("Question "), F.col("qid").cast("string"), F.lit("?")).alias("question")).distinct())
-
-
-query("prompt_dry_run")(lambda spark, d: evaluation.dry_run(_prompt(spark, d)))
-
 # ---------------------------------------------------------------- anchors, answer keys
 
 
 def _containment(spark, d):
-    return evaluation.anchor_containment(_t(spark, d, "benchmark").select(F.col("item_id").alias("anchor_id"), F.col("text").alias("anchor")), _t(spark, d, "documents"))
+    return evaluation.anchor_containment(table(spark, d, "benchmark").select(F.col("item_id").alias("anchor_id"), F.col("text").alias("anchor")), table(spark, d, "documents"))
 
 
 query("anchor_containment", "SELECT item_id AS anchor_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''")(_containment)
@@ -267,9 +261,9 @@ query(
     "SELECT 'anchor_elsewhere' AS problem, CAST(item_id AS VARCHAR) AS id, b.text || '@' || doc_id AS detail FROM benchmark b JOIN documents d ON contains(d.text, b.text) UNION ALL SELECT 'no_document', CAST(item_id AS VARCHAR), 'item ' || item_id FROM benchmark UNION ALL SELECT 'unknown_source', CAST(item_id AS VARCHAR), 'item ' || item_id FROM benchmark",
 )(
     lambda spark, d: evaluation.validate(
-        _t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.array(F.struct(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("source_id"), F.array("text").alias("anchors"))).alias("expected"), F.array().cast("array<string>").alias("acceptable")),
-        _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"),
-        _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"),
+        table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.array(F.struct(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("source_id"), F.array("text").alias("anchors"))).alias("expected"), F.array().cast("array<string>").alias("acceptable")),
+        table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"),
+        table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text"),
     )
 )
 query("expected_and_acceptable", f"SELECT id, list_sort(list_intersect(expected, acceptable)) AS both_lists, list_sort(list_distinct(list_concat(expected, acceptable))) AS allowed FROM {values('keys')}")(
@@ -279,15 +273,15 @@ query("expected_and_acceptable", f"SELECT id, list_sort(list_intersect(expected,
 # ---------------------------------------------------------------- scalar functions
 
 _SAFE = r"regexp_replace(regexp_replace(regexp_replace(replace(lower({0}), ' ', '_'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
-query("safe_filename", f"SELECT p_partkey, {_SAFE.format('p_name')} AS safe FROM part")(lambda spark, d: _t(spark, d, "part").select("p_partkey", T.safe_filename(F.col("p_name")).alias("safe")))
+query("safe_filename", f"SELECT p_partkey, {_SAFE.format('p_name')} AS safe FROM part")(lambda spark, d: table(spark, d, "part").select("p_partkey", T.safe_filename(F.col("p_name")).alias("safe")))
 query("safe_filename_cases", f"SELECT id, {_SAFE.format('name')} AS safe FROM {values('names')}")(lambda spark, d: frame(spark, "names").select("id", T.safe_filename(F.col("name")).alias("safe")))
-query("unicode_norm", r"SELECT doc_id, sha256(regexp_replace(text, '\p{Cf}', '', 'g')) AS sha FROM documents")(lambda spark, d: _t(spark, d, "documents").select("doc_id", F.sha2(T.normalize_unicode(F.col("text")), 256).alias("sha")))
+query("unicode_norm", r"SELECT doc_id, sha256(regexp_replace(text, '\p{Cf}', '', 'g')) AS sha FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(T.normalize_unicode(F.col("text")), 256).alias("sha")))
 query("unicode_tidy_cases", rf"SELECT id, regexp_replace(regexp_replace(regexp_replace(line, '\p{{Cf}}', '', 'g'), '[ \t]{{2,}}', ' ', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS line FROM {values('spacing')}")(lambda spark, d: frame(spark, "spacing").select("id", T.tidy_spacing(T.normalize_unicode(F.col("line"))).alias("line")))
-query("tidy_spacing", r"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS sha FROM documents")(lambda spark, d: _t(spark, d, "documents").select("doc_id", F.sha2(T.tidy_spacing(F.col("text")), 256).alias("sha")))
+query("tidy_spacing", r"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t]{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS sha FROM documents")(lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(T.tidy_spacing(F.col("text")), 256).alias("sha")))
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), ' ([,.;:)\]])', '\1', 'g'), '([(\[]) ', '\1', 'g'))"
 query("clean_text_cases", f"SELECT id, {_CLEAN.format('raw')} AS clean FROM {values('dirty')}")(lambda spark, d: frame(spark, "dirty").select("id", T.clean_text(F.col("raw")).alias("clean")))
 query("clean_text_pages", f"SELECT page_id, {_CLEAN.format(chr(114) + 'egexp_replace(html, ' + chr(39) + '<[^>]*>' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS clean FROM pages")(
-    lambda spark, d: _t(spark, d, "pages").select("page_id", T.clean_text(F.regexp_replace("html", "<[^>]*>", " ")).alias("clean"))
+    lambda spark, d: table(spark, d, "pages").select("page_id", T.clean_text(F.regexp_replace("html", "<[^>]*>", " ")).alias("clean"))
 )
 query("toc_label", rf"SELECT id, nullif(regexp_replace(regexp_extract(coalesce(title, ''), '^(Volume[\s\p{{Z}}]+\d+|Part[\s\p{{Z}}]+[A-Z])\b', 1), '[\s\p{{Z}}]+', ' ', 'g'), '') AS label FROM {values('titles')}")(lambda spark, d: frame(spark, "titles").select("id", T.toc_label(F.col("title")).alias("label")))
 query("plain", rf"SELECT id, regexp_replace(replace(md, '$', '\$'), '(^|\n)(#+)', '\1\\\2', 'g') AS plain FROM {values('dollars')}")(lambda spark, d: frame(spark, "dollars").select("id", T.plain(F.col("md")).alias("plain")))
@@ -325,7 +319,7 @@ def _row() -> dict:
 
 query("citation_url", f"SELECT id, {_POLICY} AS cite FROM {values('urls')}")(lambda spark, d: frame(spark, "urls").select("id", C.url_citation(F.col("url")).alias("cite")))
 query("citation_url_pages", f"SELECT page_id, {_POLICY} AS cite FROM (SELECT page_id, '/policy-manual/volume-' || page_id || '-part-b-chapter-' || (page_id + 1) AS url FROM pages)")(
-    lambda spark, d: _t(spark, d, "pages").select("page_id", C.url_citation(F.concat(F.lit("/policy-manual/volume-"), F.col("page_id").cast("string"), F.lit("-part-b-chapter-"), (F.col("page_id") + 1).cast("string"))).alias("cite"))
+    lambda spark, d: table(spark, d, "pages").select("page_id", C.url_citation(F.concat(F.lit("/policy-manual/volume-"), F.col("page_id").cast("string"), F.lit("-part-b-chapter-"), (F.col("page_id") + 1).cast("string"))).alias("cite"))
 )
 query("court_label", f"SELECT id, {_COURT} AS court FROM {values('cases')}")(lambda spark, d: frame(spark, "cases").select("id", C.court_label(F.col("court_id")).alias("court")))
 query("court_label_join", f"SELECT id, {_COURT} AS court FROM {values('cases')}")(lambda spark, d: frame(spark, "cases").select("id", "court_id").join(F.broadcast(C.courts_table(spark)), "court_id", "left").select("id", F.coalesce("label", "court_id").alias("court")))
@@ -345,57 +339,39 @@ SELECT answer_id, list_transform(list_sort(list_transform(list_distinct(list_fil
 )(lambda spark, d: C.check_citations(frame(spark, "answers")))
 
 
-@query("link_labels")
-def _links(spark, d):
-    sources = frame(spark, "link_sources").agg(F.collect_list(F.struct("label", "url", "citation")).alias("s"))
-    return frame(spark, "answers").crossJoin(F.broadcast(sources)).select("answer_id", C.link_labels(F.col("answer"), F.col("s")).alias("linked"))  # one row of sources
-
-
-_NOTE_SQL = "note"
+NOTE_SQL = "note"
 for _p in S.CITATION_PATTERNS:
-    _NOTE_SQL = f"regexp_replace({_NOTE_SQL}, '{_p.replace(chr(39), chr(39) * 2)}', ' ', 'gi')"
-_STOP = ", ".join(f"'{w}'" for w in S.FUNCTION_WORDS)
+    NOTE_SQL = f"regexp_replace({NOTE_SQL}, '{_p.replace(chr(39), chr(39) * 2)}', ' ', 'gi')"
+STOP = ", ".join(f"'{w}'" for w in S.FUNCTION_WORDS)
 query(
     "content_words",
-    rf"""WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(regexp_replace({_NOTE_SQL}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda w: length(w) > 1 AND NOT list_contains([{_STOP}], w)) AS words FROM {values("notes")})
+    rf"""WITH w AS (SELECT id, list_filter(regexp_split_to_array(lower(regexp_replace({NOTE_SQL}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda w: length(w) > 1 AND NOT list_contains([{STOP}], w)) AS words FROM {values("notes")})
 SELECT id, words, len(words) >= 3 AS substantive FROM w""",
 )(lambda spark, d: frame(spark, "notes").select("id", S.content_words(F.col("note")).alias("words"), S.is_substantive(F.col("note")).alias("substantive")))
 
 # ---------------------------------------------------------------- footnotes, alerts, pages
 
 
-def _parts(spark):
+def parts(spark):
     return footnotes.split_block(frame(spark, "note_lines"))
 
 
-def _parsed(spark):
-    return footnotes.parse(_parts(spark).filter("part = 'definition'"))
+def parsed(spark):
+    return footnotes.parse(parts(spark).filter("part = 'definition'"))
 
 
-_SPLIT = rf"""WITH l AS {values("note_lines")}, f AS (SELECT source_id, min(line_no) AS first_at FROM l WHERE regexp_matches(line, '^#+\s+Footnotes?\s*$') GROUP BY 1),
+SPLIT = rf"""WITH l AS {values("note_lines")}, f AS (SELECT source_id, min(line_no) AS first_at FROM l WHERE regexp_matches(line, '^#+\s+Footnotes?\s*$') GROUP BY 1),
 s AS (SELECT l.source_id, l.line_no, l.line, CASE WHEN first_at IS NULL OR line_no < first_at THEN 'body' WHEN line_no = first_at THEN 'heading' ELSE 'definition' END AS part FROM l LEFT JOIN f USING (source_id)),
 g AS (SELECT *, sum(CASE WHEN n <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY line_no) AS pos FROM (SELECT *, regexp_extract(line, '^\[\^\s*(\d+)\]\s*(.*)$', 1) AS n FROM s WHERE part = 'definition')),
 n AS (SELECT source_id, pos, CAST(max(nullif(n, '')) AS INTEGER) AS number, string_agg(CASE WHEN n <> '' THEN regexp_extract(line, '^\[\^\s*(\d+)\]\s*(.*)$', 2) ELSE trim(line) END, ' ' ORDER BY line_no) AS note FROM g WHERE pos > 0 AND trim(line) <> '' GROUP BY source_id, pos),
 notes AS (SELECT source_id, CAST(pos AS BIGINT) AS position, number, note, row_number() OVER (PARTITION BY source_id, number ORDER BY pos) = 1 AS is_first FROM n),
 marks AS (SELECT DISTINCT source_id, CAST(unnest(regexp_extract_all(line, '\[(\d+)\]', 1)) AS INTEGER) AS number FROM s WHERE part = 'body')
 """
-query("footnote_block", _SPLIT + "SELECT source_id, line_no, line, part FROM s")(lambda spark, d: _parts(spark))
-query("parse_footnotes", _SPLIT + "SELECT * FROM notes")(lambda spark, d: _parsed(spark))
-query("footnote_duplicates", _SPLIT + "SELECT source_id, number, note FROM notes WHERE NOT is_first")(lambda spark, d: _parsed(spark).filter("not is_first").select("source_id", "number", "note"))
-query("footnote_orphans", _SPLIT + "SELECT * FROM marks m WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.source_id = m.source_id AND n.number = m.number)")(lambda spark, d: footnotes.orphans(_parts(spark).filter("part = 'body'"), _parsed(spark)))
-query("footnote_unplaced", _SPLIT + "SELECT source_id, number, note FROM notes n WHERE is_first AND NOT EXISTS (SELECT 1 FROM marks m WHERE n.source_id = m.source_id AND n.number = m.number)")(lambda spark, d: footnotes.unplaced(_parts(spark).filter("part = 'body'"), _parsed(spark)))
-
-
-@query("place_footnotes")
-def _placed(spark, d):
-    body = _parts(spark).filter("part = 'body'").groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("body"))
-    return footnotes.place(body.join(footnotes.note_maps(_parsed(spark)), "source_id", "left"))
-
-
-@query("process_chapter")
-def _chapter(spark, d):
-    raw = frame(spark, "note_lines").groupBy("source_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return footnotes.process_chapter(raw, frame(spark, "verdicts"))
+query("footnote_block", SPLIT + "SELECT source_id, line_no, line, part FROM s")(lambda spark, d: parts(spark))
+query("parse_footnotes", SPLIT + "SELECT * FROM notes")(lambda spark, d: parsed(spark))
+query("footnote_duplicates", SPLIT + "SELECT source_id, number, note FROM notes WHERE NOT is_first")(lambda spark, d: parsed(spark).filter("not is_first").select("source_id", "number", "note"))
+query("footnote_orphans", SPLIT + "SELECT * FROM marks m WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.source_id = m.source_id AND n.number = m.number)")(lambda spark, d: footnotes.orphans(parts(spark).filter("part = 'body'"), parsed(spark)))
+query("footnote_unplaced", SPLIT + "SELECT source_id, number, note FROM notes n WHERE is_first AND NOT EXISTS (SELECT 1 FROM marks m WHERE n.source_id = m.source_id AND n.number = m.number)")(lambda spark, d: footnotes.unplaced(parts(spark).filter("part = 'body'"), parsed(spark)))
 
 
 query(
@@ -404,32 +380,31 @@ query(
 m AS (SELECT l.*, (SELECT arg_max(verdict, length(opening)) FROM {values("verdicts")} v WHERE l.is_alert AND v.source_id = l.source_id AND starts_with(l.line, v.opening)) AS verdict FROM l)
 SELECT source_id, line_no, line, is_alert AND verdict IS NULL AS unreviewed FROM m WHERE NOT (is_alert AND coalesce(verdict, '') = 'drop')""",
 )(lambda spark, d: footnotes.resolve_alerts(frame(spark, "alert_lines"), frame(spark, "verdicts")))
-_KEY = r"regexp_replace(regexp_replace(trim({0}), '\s+', ' ', 'g'), '\d+', '#', 'g')"
-_HEADS = rf"""WITH p AS (SELECT source_id, unnest(string_split(text, chr(12))) AS page FROM {values("paged")}), c AS (SELECT source_id, count(*) AS pages FROM p GROUP BY 1),
+KEY = r"regexp_replace(regexp_replace(trim({0}), '\s+', ' ', 'g'), '\d+', '#', 'g')"
+HEADS = rf"""WITH p AS (SELECT source_id, unnest(string_split(text, chr(12))) AS page FROM {values("paged")}), c AS (SELECT source_id, count(*) AS pages FROM p GROUP BY 1),
 f AS (SELECT source_id, list_filter(string_split(page, chr(10)), lambda x: regexp_matches(x, '\S')) AS l FROM p),
 e AS (SELECT source_id, 'head' AS position, l[1] AS line FROM f WHERE len(l) > 0 UNION ALL SELECT source_id, 'foot', l[-1] FROM f WHERE len(l) > 0)
-SELECT source_id, position, {_KEY.format("line")} AS key, count(*) AS n FROM e JOIN c USING (source_id) GROUP BY source_id, position, key, pages HAVING count(*) >= greatest(3, pages * 0.35)"""
-query("running_heads", _HEADS)(lambda spark, d: pages.running_heads(frame(spark, "paged")))
+SELECT source_id, position, {KEY.format("line")} AS key, count(*) AS n FROM e JOIN c USING (source_id) GROUP BY source_id, position, key, pages HAVING count(*) >= greatest(3, pages * 0.35)"""
+query("running_heads", HEADS)(lambda spark, d: pages.running_heads(frame(spark, "paged")))
 query(
     "pleading_paper",
     rf"SELECT source_id, coalesce(avg(CASE WHEN regexp_matches(line, '^[ \t]{{0,3}}\d{{1,2}}([ \t]{{2,}}|[ \t]*$)') THEN 1 ELSE 0 END) FILTER (regexp_matches(line, '\S')), 0) > 0.3 AS pleading FROM (SELECT source_id, unnest(string_split(text, chr(10))) AS line FROM {values('paged')}) GROUP BY source_id",
 )(lambda spark, d: frame(spark, "paged").select("source_id", pages.is_pleading_paper(F.col("text")).alias("pleading")))
-query("head_key", f"SELECT doc_id, line_no, {_KEY.format('line')} AS key FROM ({_LINES})")(lambda spark, d: chunking.lines(_t(spark, d, "documents")).select("doc_id", "line_no", T.head_key(F.col("line")).alias("key")))
+query("head_key", f"SELECT doc_id, line_no, {KEY.format('line')} AS key FROM ({_LINES})")(lambda spark, d: chunking.lines(table(spark, d, "documents")).select("doc_id", "line_no", T.head_key(F.col("line")).alias("key")))
 query("join_wrapped", r"SELECT doc_id, sha256(regexp_replace(replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)), '-\n', '-', 'g'), chr(10), ' '), '\s{2,}', ' ', 'g')) AS sha FROM documents")(
-    lambda spark, d: _t(spark, d, "documents").select("doc_id", F.sha2(T.join_wrapped(F.split("text", "\n")), 256).alias("sha"))
+    lambda spark, d: table(spark, d, "documents").select("doc_id", F.sha2(T.join_wrapped(F.split("text", "\n")), 256).alias("sha"))
 )
-query("strip_furniture")(lambda spark, d: pages.strip_furniture(frame(spark, "paged")))
 query("clean_paged")(lambda spark, d: pages.clean(frame(spark, "paged")))
-query("pseudo_pages", "SELECT doc_id AS source_id, CAST(len(string_split(text, chr(10) || chr(10))) AS INTEGER) AS pages FROM documents")(lambda spark, d: pages.clean(_t(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.replace("text", F.lit("\n\n"), F.lit("\f")).alias("text"))).select(F.col("source_id").cast("long").alias("source_id"), "pages"))
+query("pseudo_pages", "SELECT doc_id AS source_id, CAST(len(string_split(text, chr(10) || chr(10))) AS INTEGER) AS pages FROM documents")(lambda spark, d: pages.clean(table(spark, d, "documents").select(F.col("doc_id").alias("source_id"), F.replace("text", F.lit("\n\n"), F.lit("\f")).alias("text"))).select(F.col("source_id").cast("long").alias("source_id"), "pages"))
 
 # ---------------------------------------------------------------- markup
 
-query("html_extract")(lambda spark, d: markup.extract(_t(spark, d, "pages")))
-query("html_unhandled")(lambda spark, d: markup.extract(_t(spark, d, "pages")).select(F.explode("unhandled").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("pages")))
+query("html_extract")(lambda spark, d: markup.extract(table(spark, d, "pages")))
+query("html_unhandled")(lambda spark, d: markup.extract(table(spark, d, "pages")).select(F.explode("unhandled").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("pages")))
 query("html_tag_counts", r"SELECT tag, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z0-9]+)', 1)) AS tag FROM pages) GROUP BY tag")(
-    lambda spark, d: _t(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), 1)).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    lambda spark, d: table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), 1)).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
 )
-query("html_list_items", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items FROM pages")(lambda spark, d: _t(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<li[ >]")).cast("long").alias("items")))
+query("html_list_items", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<li[ >]')) AS BIGINT) AS items FROM pages")(lambda spark, d: table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<li[ >]")).cast("long").alias("items")))
 
 
 @query("xml_opinions")
@@ -441,9 +416,9 @@ def _opinions(spark, d):
 # ---------------------------------------------------------------- ingest
 
 query("breaker", "WITH e AS (SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r, event_type = 'error' AS f FROM events), i AS (SELECT *, r - row_number() OVER (PARTITION BY key, f ORDER BY r) AS island FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY key, island ORDER BY r) AS run FROM i WHERE f) SELECT key, min(r) AS stop_at FROM n WHERE run = 3 GROUP BY key")(
-    lambda spark, d: ingest.breaker(_t(spark, d, "events").select(F.col("user_id").alias("key"), "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq")), F.col("event_type") == "error")
+    lambda spark, d: ingest.breaker(table(spark, d, "events").select(F.col("user_id").alias("key"), "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq")), F.col("event_type") == "error")
 )
-query("failures_by_category", "SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: ingest.failures_by_category(_t(spark, d, "events").withColumnRenamed("event_type", "category")))
+query("failures_by_category", "SELECT event_type AS category, count(*) AS n FROM events GROUP BY 1")(lambda spark, d: ingest.failures_by_category(table(spark, d, "events").withColumnRenamed("event_type", "category")))
 query("resume_skip", f"SELECT * FROM {values('selection')} WHERE id NOT IN (SELECT id FROM {values('fetched')})")(lambda spark, d: ingest.resume(frame(spark, "selection"), frame(spark, "fetched")))
 query("search_drift", f"SELECT s.name, s.expected, c.found, s.expected IS DISTINCT FROM c.found AS drifted FROM {values('searches')} s LEFT JOIN {values('search_counts')} c USING (name)")(lambda spark, d: ingest.drift(frame(spark, "searches"), frame(spark, "search_counts")))
 query("selection_incomplete", f"SELECT id FROM {values('selection')} WHERE opinion_id IS NULL OR coalesce(len(barrier), 0) = 0 OR coalesce(why, '') = ''")(lambda spark, d: ingest.incomplete(frame(spark, "selection")).select("id"))
@@ -485,9 +460,9 @@ query("run_compare", f"SELECT l.id, l.anchors_in_cited AS anchors_in_cited_left,
 )
 query("config_diff", f'SELECT coalesce(l.field, r.field) AS field, l."value" AS left_value, r."value" AS right_value FROM {values("config_left")} l FULL JOIN {values("config_right")} r ON l.field = r.field WHERE l."value" IS DISTINCT FROM r."value"')(lambda spark, d: evaluation.config_diff(frame(spark, "config_left"), frame(spark, "config_right")))
 query("question_select", "SELECT CAST(item_id AS BIGINT) AS position, CAST(item_id AS VARCHAR) AS id, false AS probe FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT 1000000, 'probe', true")(
-    lambda spark, d: evaluation.select_questions(_t(spark, d, "benchmark").select(F.col("item_id").alias("position"), F.col("item_id").cast("string").alias("id")), spark.sql("select 0L as position, 'probe' as id"), _t(spark, d, "benchmark").filter("item_id % 3 = 0").select(F.col("item_id").cast("string").alias("id")))
+    lambda spark, d: evaluation.select_questions(table(spark, d, "benchmark").select(F.col("item_id").alias("position"), F.col("item_id").cast("string").alias("id")), spark.sql("select 0L as position, 'probe' as id"), table(spark, d, "benchmark").filter("item_id % 3 = 0").select(F.col("item_id").cast("string").alias("id")))
 )
-query("question_unknown", "SELECT DISTINCT id FROM (SELECT unnest(['0', 'nope', 'nope', '-7']) AS id) WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)")(lambda spark, d: evaluation.unknown_ids(_t(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id")), spark.sql("select explode(array('0', 'nope', 'nope', '-7')) as id")))
+query("question_unknown", "SELECT DISTINCT id FROM (SELECT unnest(['0', 'nope', 'nope', '-7']) AS id) WHERE id NOT IN (SELECT CAST(item_id AS VARCHAR) FROM benchmark)")(lambda spark, d: evaluation.unknown_ids(table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("id")), spark.sql("select explode(array('0', 'nope', 'nope', '-7')) as id")))
 _READ = f"""WITH r AS (SELECT id, CASE WHEN json_valid(response) THEN CAST(response AS JSON) END AS j FROM {values("responses")}),
 c AS (SELECT id, j, json_extract(j, '$.candidates[0]') AS c FROM r),
 t AS (SELECT id, j, c, trim(array_to_string(list_transform(list_filter(coalesce(CAST(json_extract(c, '$.content.parts[*]') AS JSON[]), []), lambda p: coalesce(json_extract_string(p, '$.thought'), 'false') <> 'true'), lambda p: coalesce(json_extract_string(p, '$.text'), '')), '')) AS t, coalesce(json_extract_string(c, '$.finishReason') = 'MAX_TOKENS', false) AS truncated FROM c),
@@ -513,24 +488,8 @@ e AS (SELECT DISTINCT qid FROM s), d AS (SELECT qid, max(CASE WHEN source_id = 1
 SELECT e.qid, CAST(CASE WHEN x.qid IS NULL THEN 0 ELSE 1 END AS BIGINT) AS anchors, CAST(coalesce(ctx, 0) AS BIGINT) AS anchors_in_context, CAST(coalesce(x.cit, 0) AS BIGINT) AS anchors_in_cited, CAST(ret AS BIGINT) AS expected_retrieved, CAST(cit1 AS BIGINT) AS expected_cited, CAST(off AS BIGINT) AS off_target_cites FROM e JOIN d USING (qid) LEFT JOIN x USING (qid)""",
 )
 def _scores(spark, d):
-    c = _t(spark, d, "conversations")
+    c = table(spark, d, "conversations")
     sources = c.select(F.col("conv_id").alias("qid"), F.concat(F.lit("S"), F.col("turn").cast("string")).alias("label"), (F.col("turn") % 3).alias("source_id"), "text")
     qids = c.select(F.col("conv_id").alias("qid")).distinct()
     anchors = c.filter("turn = 1").groupBy(F.col("conv_id").alias("qid")).agg(F.min(F.substring("text", 3, 12)).alias("anchor"))
     return answers.score(qids.withColumn("cited", F.array(F.lit("S0"), F.lit("S1"))), sources, anchors, qids.withColumn("source_id", F.lit(1).cast("long")), qids.withColumn("source_id", F.lit(2).cast("long")))
-
-
-@query("extractive_answer")
-def _extractive(spark, d):
-    return answers.read_response(answers.extractive(_prompt(spark, d))).select("qid", "answer", "degraded_category")
-
-
-@query(
-    "headline_retrieval",
-    f"WITH {_hits_sql(20)}, r AS (SELECT x.qid, CASE WHEN min(CASE WHEN h.rank > 1 THEN h.rank END) <= 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM expected x LEFT JOIN h ON h.qid = x.qid AND h.label = x.source GROUP BY x.qid) SELECT count(*) AS questions, round(avg(v), 6) AS recall, count(*) FILTER (v > 0) AS hits, count(*) FILTER (v = 1.0) AS complete, CAST(count(*) AS BIGINT) AS anchors, CAST(sum(v) AS BIGINT) AS anchors_in_window FROM r",
-)
-def _headline(spark, d):
-    curve = search.recall_curve(_hits(spark, d, 20).filter("rank > 1"), _expected(spark, d))
-    per = curve.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct(F.col("cutoff").cast("string"), "recall"))).alias("recall"))
-    at8 = F.element_at("recall", F.lit("8"))
-    return evaluation.headline(per.select("recall", (at8 > 0).alias("hit"), F.lit(1).alias("anchors"), at8.cast("int").alias("anchors_in_window")), 8)

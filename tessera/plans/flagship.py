@@ -6,16 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, encoding, search, windows
+from tessera.session import shared_dir
+from tessera.sources import sinks
+
+
+def chunk_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The chunks of ``docs``, written as an index of their own and read back, so that texts are chunked once."""
+    return spark.read.parquet(sinks.rebuild_index(chunking.chunks(docs), f"{shared_dir(spark)}/chunks"))
 
 
 def retrieve(spark: SparkSession, sf_dir: str, k: int = search.TOP_K) -> DataFrame:
-    """qid, rank, chunk_id, score, window_text of every benchmark item."""
+    """qid, rank, chunk_id, score, window_text of every benchmark item; equal scores rank by document and chunk."""
     encode = encoding.encoder()
-    chunks = chunking.chunks(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("vec_id", F.xxhash64("chunk_id"))
-    index = chunks.withColumn("embedding", encode(F.col("text")))
+    chunks = chunk_table(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    # doc_id and place in one number: chunk_index needs fewer than 2^20 values
+    own = chunks.withColumn("vec_id", F.shiftleft("doc_id", 20) + F.col("chunk_index"))
+    index = own.select("vec_id", encode(F.col("text")).alias("embedding"))
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), encode(F.col("text")).alias("embedding"))
     hits = search.search(index, queries, k)
-    placed = hits.join(chunks.select("vec_id", "chunk_id", F.col("doc_id").alias("source_id"), "chunk_index", "chunk_total"), "vec_id")
+    placed = hits.join(own.select("vec_id", "chunk_id", F.col("doc_id").alias("source_id"), "chunk_index", "chunk_total"), "vec_id")
     texts = chunks.select(F.col("doc_id").alias("source_id"), "chunk_index", "text")
     shown = windows.window(placed, texts)
     joined = shown.groupBy("qid", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("neighbor", "text"))), lambda x: x["text"]), "\n").alias("window_text"))

@@ -1,5 +1,7 @@
 """Value cases of the scalar functions."""
 
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,12 @@ def test_link_labels(spark):
     df = spark.createDataFrame([("a [S1] [S2] [S10] [S3] [x]", [("S1", "https://u/(1)", 'The "A"'), ("S2", "", "B"), ("S10", "https://c", "see [S1]")])], "t string, s array<struct<label:string,url:string,citation:string>>")
     got = df.select(C.link_labels(F.col("t"), F.col("s")).alias("r")).first().r
     assert got == "a [[S1]](<https://u/(1)> \"The 'A'\") [S2] [[S10]](<https://c> \"see [S1]\") [S3] [x]"
+
+
+def test_wrap(spark):
+    texts = ["", "one", "word " * 60, "x" * 120 + " y " + "z" * 94 + " w", "a\n b\tc", None]
+    for width in (10, 94):
+        got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.wrap(F.col("t"), width).alias("w")).collect()
+        for r in got:
+            want = None if texts[r.i] is None else textwrap.wrap(texts[r.i], width, break_long_words=False, break_on_hyphens=False)
+            assert r.w == want
