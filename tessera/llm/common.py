@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 #: Bytes of text that a Python worker holds as one block.
 BLOCK_BYTES = 8 << 20
 
@@ -19,9 +20,8 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder; /tmp/checkpoints only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{top or '/tmp/checkpoints'}/tessera-{uuid.uuid4().hex}"
+    """A fresh folder under the cluster's shared checkpoint folder."""
+    return shared_dir(spark)
 
 
 def saved(df: DataFrame, path: str) -> DataFrame:
@@ -30,10 +30,17 @@ def saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, *paths: str) -> None:
+    """Delete saved tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 #: Tasks to which the rows of a very frequent key are dealt.
 SALTS = 32
 #: A key with more rows than this, and than one in ``HOT_SHARE`` of all, is very frequent; there are at most ``HOT_SHARE`` such keys.
-HOT_ROWS, HOT_SHARE = 256, 10_000
+HOT_ROWS, HOT_SHARE = 256, 2_000
 
 
 def salted(keys: DataFrame, hot: Column) -> DataFrame:
@@ -41,14 +48,14 @@ def salted(keys: DataFrame, hot: Column) -> DataFrame:
     return keys.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
 
 
-def dealt(rows: DataFrame, keys: DataFrame, key: str, total: int, by: str) -> tuple[DataFrame, DataFrame]:
+def dealt(rows: DataFrame, keys: DataFrame, key: str | list[str], total: int, by: str) -> tuple[DataFrame, DataFrame]:
     """(rows, keys) with a column ``salt``, to be joined on ``key`` and salt without all rows of a frequent key in one task.
 
     ``keys`` has a column ``rows``, the number of rows of each key out of ``total``; the
     frequent keys are broadcast, ``HOT_SHARE`` at most. ``by`` tells the rows of a key apart.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
-    hot = keys.filter(F.col("rows") > limit).select(key, F.lit(SALTS).alias("_salts"))
+    hot = keys.filter(F.col("rows") > limit).select(*([key] if isinstance(key, str) else key), F.lit(SALTS).alias("_salts"))
     spread = rows.join(F.broadcast(hot), key, "left").withColumn("salt", F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_salts")
     return spread, salted(keys, F.col("rows") > limit)
 

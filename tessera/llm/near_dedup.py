@@ -27,8 +27,8 @@ become one class. Then, over class representatives:
    one document stands for all of its component with the same ones, and few pairs are
    within the bound.
 
-All comparisons are exact, on full sets. Keys with a share of all rows (buckets,
-leaders, shingles) are dealt out to ``SALTS`` tasks.
+All comparisons are exact, on full sets. Keys with many of all rows (buckets,
+leaders, shingles) are dealt out to several tasks.
 
 Defined results: null and empty texts, and texts of white space, have an empty set
 and link with nothing. Rows with null doc_id link with nothing and have a null
@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SALTS, Words, dealt, gram_hashes, lower_ascii, mix64, salted, saved, scratch_dir, text_blocks
+from tessera.llm.common import Words, dealt, dropped, gram_hashes, lower_ascii, mix64, salted, saved, scratch_dir, text_blocks
 from tessera.llm.components import components
 
 SHINGLE_WORDS, BANDS, ROWS = 5, 48, 5
@@ -175,13 +175,15 @@ def _rest(sets: DataFrame, buckets: DataFrame, comps: DataFrame, folder: str) ->
     able = known.filter(f"{top} * 100 >= {PERCENT} * n").select("id", "comp", "n", "core", F.expr(top).alias("top"), F.explode("keys").alias("key"))
     able = able.groupBy("key", "comp", "n", "core").agg(F.min("id").alias("id"), F.max("top").alias("top"))
     able = saved(able, f"{folder}/common")
-    main = able.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    spread = able.select("*", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    odd = spread.join(salted(main, F.lit(True)), ["key", "salt"]).filter("comp <> main")
+    total, rows = able.count(), F.count(F.lit(1)).alias("rows")
+    main = able.groupBy("key", "comp").agg(rows).groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"))
+    odd, main = dealt(able, main, "key", total, "id")
+    odd = odd.join(main, ["key", "salt"]).filter("comp <> main.comp")
     odd = odd.selectExpr("key", "id as id_a", "comp as comp_a", "n as n_a", "top as top_a", f"explode(sequence({size(f'ceil(n * {PERCENT} / 100)')}, {size('top')})) as size")
-    odd = odd.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    others = spread.selectExpr("key", "salt", f"{size('n')} as size", "id as id_b", "comp as comp_b", "n as n_b", "top as top_b")
-    core = odd.join(others, ["key", "salt", "size"]).filter("comp_a <> comp_b and n_b <= top_a and n_a <= top_b").selectExpr("least(id_a, id_b) as a", "greatest(id_a, id_b) as b").distinct()
+    others = able.selectExpr("key", f"{size('n')} as size", "id as id_b", "comp as comp_b", "n as n_b", "top as top_b")
+    others, sizes = dealt(others, others.groupBy("key", "size").agg(rows), ["key", "size"], total, "id_b")
+    odd = odd.join(sizes.drop("rows"), ["key", "size"])
+    core = odd.join(others, ["key", "size", "salt"]).filter("comp_a <> comp_b and n_b <= top_a and n_a <= top_b").selectExpr("least(id_a, id_b) as a", "greatest(id_a, id_b) as b").distinct()
     return rare.union(core).distinct()
 
 
@@ -201,9 +203,10 @@ def link_components(docs: DataFrame, nodes: DataFrame, folder: str) -> DataFrame
     comps = saved(components(links, f"{folder}/c1"), f"{folder}/comps1")
 
     last = verify(_rest(sets, buckets.select("key", "salt", "id"), comps, folder), sets, f"{folder}/rest")
-    if not last.limit(1).count():
-        return comps
-    return saved(components(comps.selectExpr("id as a", "component as b").union(last), f"{folder}/c2"), f"{folder}/comps2")
+    if last.limit(1).count():
+        comps = saved(components(comps.selectExpr("id as a", "component as b").union(last), f"{folder}/c2"), f"{folder}/comps2")
+    dropped(docs.sparkSession, *(f"{folder}/{name}" for name in ("buckets", "company", "sets", "leaders_pairs", "leaders_links", "c1", "mixed", "shingles", "known", "common", "rest_pairs", "rest_links", "c2")))
+    return comps
 
 
 def groups(docs: DataFrame) -> DataFrame:
