@@ -148,5 +148,5 @@ def test_wrap(spark):
     for width in (10, 94):
         got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.wrap(F.col("t"), width).alias("w")).collect()
         for r in got:
-            want = None if texts[r.i] is None else textwrap.wrap(texts[r.i], width, break_long_words=False, break_on_hyphens=False)
+            want = None if texts[r.i] is None else textwrap.wrap(" ".join(texts[r.i].split()), width, break_long_words=False, break_on_hyphens=False)
             assert r.w == want
