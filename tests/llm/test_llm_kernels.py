@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -104,6 +105,18 @@ def test_base_spans(texts):
         assert r["base_sha256"] == hashlib.sha256(spans(text).encode()).hexdigest()
 
 
+def test_long_runs_are_read_once():
+    took = []
+    for n in (20_000, 200_000):
+        start = time.perf_counter()
+        assert not any(r.compiled().search(b"eyJ" * n) for r in secret_scan.MORE_RULES)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 40 * took[0] + 0.5
+    jwt = next(r for r in secret_scan.MORE_RULES if r.name == "jwt")
+    token = b"eyJ" + b"a" * 20 + b".eyJ" + b"b" * 20 + b"." + b"c" * 20
+    assert [m.group() for m in jwt.compiled().finditer(b"t=" + token + b" x" + token)] == [token]
+
+
 def test_more_rules_add_spans_only():
     text = "ghp_" + "a1B2" * 9 + " and password=abcdef1 -----BEGIN RSA PRIVATE KEY-----"
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])
@@ -140,6 +153,41 @@ def test_trees_learn_and_flatten():
     assert np.allclose(1 / (1 + np.exp(-walked)), p[:5])
 
 
+def test_training_is_plain_boosting():
+    """Every split and leaf against loops over rows, nodes, features and bins."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(80, 3)), 1)
+    y = (x[:, 0] + 0.3 * rng.normal(size=80) > 0.2).astype(float)
+    bins, depth, rate = 8, 2, 0.3
+    got = quality.train(x, y, trees=3, depth=depth, rate=rate, bins=bins)
+    edges = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, bins)[1:-1]).tolist())) for f in range(3)]
+    total = [float(np.log(y.mean() / (1 - y.mean())))] * 80
+    assert got.base == total[0]
+    for t in range(3):
+        p = [1 / (1 + np.exp(-v)) for v in total]
+        g, h = [a - b for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        side = lambda rows: (sum(g[r] for r in rows), sum(h[r] for r in rows))  # noqa: E731, B023
+        worth = lambda s: s[0] ** 2 / (s[1] + quality.L2)
+        nodes = {0: list(range(80))}
+        for node in range(2**depth - 1):
+            rows, best = nodes[node], (1e-9, 0, np.inf)
+            for f in range(3):
+                for e in edges[f]:
+                    left, right = side([r for r in rows if x[r, f] <= e]), side([r for r in rows if x[r, f] > e])
+                    gain = worth(left) + worth(right) - worth(side(rows))
+                    if min(left[1], right[1]) >= 1e-3 and gain > best[0] + 1e-12:
+                        best = (gain, f, e)
+            assert (got.feature[t, node], got.threshold[t, node]) == best[1:]
+            nodes[2 * node + 1] = [r for r in rows if x[r, best[1]] <= best[2]]
+            nodes[2 * node + 2] = [r for r in rows if x[r, best[1]] > best[2]]
+        for leaf in range(2**depth):
+            rows = nodes[2**depth - 1 + leaf]
+            a, b = side(rows)
+            assert np.isclose(got.leaf[t, leaf], -rate * a / (b + quality.L2))
+            for r in rows:
+                total[r] -= rate * a / (b + quality.L2)
+
+
 def test_trees_of_one_class_or_none():
     x = np.zeros((3, len(quality.FEATURES)))
     assert np.allclose(quality.train(x, np.ones(3)).score(x), 1, atol=1e-5)
@@ -280,6 +328,47 @@ def test_mixture_picks_the_languages():
 # ---------------------------------------------------------------- shared
 
 
+def plain_em(words, allowed):
+    """(proportions, log likelihood) of one document's words: lists of likelihoods by language."""
+    pi = [1 / len(allowed) if i in allowed else 0.0 for i in range(len(words[0]))]
+    for _ in range(langid.ROUNDS):
+        new = [0.0] * len(pi)
+        for w in words:
+            z = sum(a * b for a, b in zip(pi, w, strict=True))
+            new = [n + a * b / z for n, a, b in zip(new, pi, w, strict=True)]
+        pi = [n / len(words) for n in new]
+    return pi, sum(np.log(sum(a * b for a, b in zip(pi, w, strict=True))) for w in words)
+
+
+def test_mixture_is_plain_em():
+    """Shares and sets against a plain restatement, document by document."""
+    rng, R = np.random.default_rng(6), random.Random(6)
+    model = langid.Model(["a", "b", "c", "d"], np.log(rng.dirichlet(np.full(4, 0.2), langid.BUCKETS) + 1e-3).astype(np.float32))
+    kinds = ["".join(R.choice("abcdé") for _ in range(R.randint(1, 5))) for _ in range(30)]
+    texts = [" ".join(R.choice(kinds[k : k + R.choice([3, 12])]) for _ in range(R.randint(1, 60))) for k in range(25)]
+    best, share, mix = langid.infer(model, *block(texts))
+    for t, text in enumerate(texts):
+        words = []
+        for w in text.split():
+            raw = b" " + w.lower().encode() + b" "
+            grams = [(((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for i in range(len(raw) - 2)]
+            like = model.logp[grams].astype(float).sum(0) * langid.TEMPER
+            words.append(np.exp(np.maximum(like - like.max(), -40)))
+        alone = [sum(np.log(w[i]) for w in words) for i in range(4)]
+        chosen = {int(np.argmax(alone))}
+        pi, like = [float(i in chosen) for i in range(4)], alone[min(chosen)]
+        cost = langid.PENALTY * np.log(len(words) + 1)
+        while len(chosen) < 4:
+            tries = {i: plain_em(words, chosen | {i}) for i in range(4) if i not in chosen}
+            i = max(tries, key=lambda k: tries[k][1])  # noqa: B023
+            if tries[i][1] - like <= cost:
+                break
+            chosen, (pi, like) = chosen | {i}, tries[i]
+        assert np.allclose(mix[t], pi, atol=1e-3)
+        assert np.isclose(share[t], max(pi), atol=1e-3)
+        assert pi[best[t]] > max(pi) - 1e-3
+
+
 def test_text_blocks_cover_everything():
     texts = ["a" * 50, None, "", "b" * 500, "c", "é"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"]).slice(0)

@@ -121,6 +121,22 @@ def test_quality(spark, docs):
     assert all(h == (zlib.crc32(str(d).encode()) % 3 == 1) for d, h in zip(got.doc_id, got.held_out, strict=True))
 
 
+def test_quality_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (5, 0), (6, None), (None, 1), (99, 1), (12, 0), (13, 1), (14, 0)], "doc_id long, quality int").withColumns({"text": F.lit("x"), "label": F.lit(3), "score": F.lit(0)})
+    got = quality.op4(odd, labels).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(d for d, _ in ODD_ROWS)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    by_text = collections.defaultdict(set)
+    for r, score in ((dict(ODD_ROWS).get(r.doc_id), r.score) for r in got if r.doc_id not in (5, None)):
+        by_text[r or ""].add(score)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert {r.score for r in quality.op4(odd, labels.filter("false")).collect()} == {0.5}
+    # the sample is the same however the rows lie, and has no more than it may
+    few = [sorted(map(str, quality.sample(x, labels, 3).doc_id)) for x in (odd, odd.repartition(7).sortWithinPartitions(F.desc("doc_id")))]
+    assert few[0] == few[1]
+    assert len(set(few[0])) == 3
+
+
 def test_quality_never_reads_held_out_labels(docs, spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     flipped = labels.withColumn("quality", F.when(is_held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -306,6 +322,16 @@ def test_decontamination(spark, odd, docs):
     assert decontaminate.cleaned(odd, bench).columns == odd.columns
 
 
+def test_decontamination_of_odd_rows(odd, spark):
+    items = [(1, "a b c d e f"), (2, "one"), (3, long_text(1)), (4, "x y " * 40), (5, None), (6, ""), (7, "minus"), (7, "minus"), (None, "é" * 30_000)]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit(1) for c in ("doc_id", "score", "id", "key", "_bad", "n")})
+    got = collections.Counter((r.doc_id, r.item_id) for r in decontaminate.op9(odd, bench).collect())
+    want = collections.Counter({(4, 2): 1, (5, 2): 1, (None, 2): 1, (6, 1): 1, (7, 1): 1, (9, 3): 1, (10, 3): 1, (11, 3): 1, (13, 4): 1, (-3, 7): 1, (12, None): 1})
+    assert got == want
+    left = collections.Counter((r.doc_id, r.text) for r in decontaminate.cleaned(odd, bench).collect())
+    assert left == collections.Counter((d, t) for d, t in ODD_ROWS if d in (1, 2, 3, 8, 14, 15) or (d is None and t is None))
+
+
 @pytest.mark.parametrize("copies", [11, 1000])
 @pytest.mark.parametrize("verbatim", [0, 3, 40])
 def test_decontamination_of_one_edited_copy_in_many_documents(spark, copies, verbatim):
@@ -377,6 +403,28 @@ def test_empty_tables(spark, empty):
     assert langid.op10(empty).count() == 0
 
 
+def test_chat_of_long_texts_and_no_rows(spark):
+    long = "<|start|>\\ é" * 40_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.op8(spark, df).collect()}
+    assert got[1].loss_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert got[1].turns_sha256 == hashlib.sha256(f"user\n{long}\nassistant\n{long}\n\n\n".encode()).hexdigest()
+    assert [r.conv_id for r in chat.op8(spark, df.filter("false")).collect()] == [-1]
+
+
+def test_pipeline_of_no_rows(spark, empty, tmp_path):
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, DATA)
+        assert out.count() == 0
+    empty.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    # a first stage that keeps nothing
+    none = spark.createDataFrame([(1, "1 2 3", "en", "s", 5), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    none.write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, odd):
     labels = [n for n, _ in corpus_pipeline.STAGES]
     assert labels == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
