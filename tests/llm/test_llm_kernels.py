@@ -112,7 +112,7 @@ def test_long_runs_are_read_once():
         assert not any(r.compiled().search(b"eyJ" * n) for r in secret_scan.MORE_RULES)
         took.append(time.perf_counter() - start)
     assert took[1] < 40 * took[0] + 0.5
-    jwt = next(r for r in secret_scan.MORE_RULES if r.name == "jwt")
+    jwt = next(r for r in secret_scan.MORE_RULES if r.kind == "jwt")
     token = b"eyJ" + b"a" * 20 + b".eyJ" + b"b" * 20 + b"." + b"c" * 20
     assert [m.group() for m in jwt.compiled().finditer(b"t=" + token + b" x" + token)] == [token]
 
