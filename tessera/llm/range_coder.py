@@ -1,220 +1,227 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in lock step.
+"""Adaptive context-mixing range coder for token ids, many parts of a block in lock step.
 
-Every block is coded on its own from a fresh state, so any block can be decoded
-alone. For each id three models speak:
+A block is coded on its own from an empty model. It is cut into equal parts, its lanes, which
+numpy codes side by side, one id of each per step; every lane is a range coder of its own, and
+all share the block's model. At fixed steps the model is counted anew from all ids that the
+block's lanes have coded so far, which the decoder has by then too:
 
-* order 2: the id last seen after the two preceding ids, with a confidence of 0-3;
-* order 1: the id last seen after the preceding id, with a confidence of 0-3;
-* order 0: how often each id has occurred in the block so far (counts are brought
-  up to date at fixed positions).
+* order 2: for (hashes of) pairs of preceding ids the id that most often followed, and how sure it is;
+* order 1: the same for the preceding id;
+* order 0: how often each id occurred.
 
-Their predictions are mixed with weights that the coder learns as it goes, one set
-for each pair of confidences: p(id) = w2 [id = order 2's] + w1 [id = order 1's] +
-w0 count(id) / n + w (uniform over 16 bits). The term that holds the id is coded
-first, then, where needed, the id within the term. numpy handles one id of every
-block per step, so the Python cost is shared by all blocks.
+How sure an id is: its count over the context's count plus one, in seven levels. The three are
+mixed with weights learned from the block itself, one set for each pair of levels:
+p(id) = w2 [id = order 2's] + w1 [id = order 1's] + w0 count(id) / n + w (uniform over 16 bits).
+The term that holds the id is coded first, then, where needed, the id within the term.
+
+The coder's state is in whole doubles below 2^53, in which all its steps are exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-U64 = np.uint64
-TOP, BOT = U64(1 << 48), U64(1 << 40)
 #: Ids in a block; ids are below 65536.
-BLOCK = 4096
-_BITS1, _BITS2 = 11, 12
-#: Weights of the four terms at the start; what a coded term gains; the sum at which all are halved.
-_START, _GAIN, _FULL = (4, 4, 8, 16), 24, 4096
-_SUMS = U64(0x0001000100010001)
-_SHIFT = np.array([0, 16, 32, 48], U64)
-_GAINS = np.array([_GAIN << s for s in (0, 16, 32, 48)], U64)
-
-
-def refresh_points(block: int) -> list[int]:
-    """Positions at which the order-0 counts are brought up to date."""
-    at, out = 32, []
-    while at < block:
-        out.append(at)
-        at = at * 2 if at < 512 else at + 512
+BLOCK = 1 << 20
+#: Lanes of a block at most, and ids that a lane has at least.
+LANES, LEAST_STEPS = 4096, 256
+#: Steps at which the model is counted anew.
+REFRESH = (2, 8, 32, 128)
+#: Steps whose terms are looked up together.
+_CHUNK = 16
+_BITS2 = 18
+_SHARES = np.array([0.15, 0.3, 0.45, 0.6, 0.75, 0.9])
+_UNIT, _TOP, _BOTTOM = 4096.0, 2.0**48, 2.0**32
+_STATES = 128
+
+
+def shape(n: int) -> tuple[int, int]:
+    """(lanes, steps) of a block of ``n`` ids."""
+    lanes = max(1, min(LANES, n // LEAST_STEPS))
+    return lanes, -(-n // lanes)
+
+
+def _hash2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint32) * np.uint32(2654435761) ^ b.astype(np.uint32) * np.uint32(2246822519)) >> np.uint32(32 - _BITS2)
+
+
+def _followers(context: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
+    """By context: its most frequent follower, with the level of its share above bit 16; 0 for contexts without one."""
+    out = np.zeros(1 << bits, np.uint32)
+    if not len(x):
+        return out
+    key = np.sort(context.astype(np.uint32 if bits <= 16 else np.uint64) << 16 | x)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(first, len(key)))
+    kinds = key[first].astype(np.int64)
+    own = kinds >> 16
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    best = np.maximum.reduceat(count << 16 | kinds & 0xFFFF, starts)
+    level = 1 + np.searchsorted(_SHARES, (best >> 16) / (np.add.reduceat(count, starts) + 1.0), "right")
+    out[own[starts]] = level << 16 | best & 0xFFFF
     return out
 
 
-class _State:
-    """Models and mixing weights of ``lanes`` blocks."""
-
-    def __init__(self, lanes: int):
-        self.t1 = np.zeros(lanes << _BITS1, np.uint32)
-        self.t2 = np.zeros(lanes << _BITS2, np.uint32)
-        self.w = np.full(lanes * 32, sum(f << s for f, s in zip(_START, (0, 16, 32, 48), strict=True)), U64)
-        lane = np.arange(lanes, dtype=np.int64)
-        self.base1, self.base2, self.basew = lane << _BITS1, lane << _BITS2, lane << 5
-        self.a = np.zeros(lanes, np.uint32)
-        self.b = np.zeros(lanes, np.uint32)
-
-    def predict(self, k: int):
-        a, b = self.a[:k], self.b[:k]
-        h1 = a * np.uint32(2654435761)
-        i1 = self.base1[:k] + (h1 >> np.uint32(32 - _BITS1))
-        i2 = self.base2[:k] + ((h1 ^ b * np.uint32(2246822519)) >> np.uint32(32 - _BITS2))
-        e1, e2 = self.t1[i1], self.t2[i2]
-        c1, c2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
-        iw = self.basew[:k] + ((((e2 & np.uint32(3)) << np.uint32(2)) | (e1 & np.uint32(3))) << np.uint32(1)) + (c1 == c2)
-        w = self.w[iw]
-        return i1, i2, e1, e2, c1, c2, iw, w, w * _SUMS
-
-    def learn(self, k: int, x, term, i1, i2, e1, e2, c1, c2, iw, w, total) -> None:
-        """``x``: the ids plus 1."""
-        for t, i, e, c in ((self.t1, i1, e1, c1), (self.t2, i2, e2, c2)):
-            sure = e & np.uint32(3)
-            t[i] = np.where(x == c, e + (sure < 3), np.where(sure > 1, e - np.uint32(1), (x << np.uint32(2)) | np.uint32(1)))
-        w = w + _GAINS[term]
-        full = total >= U64(_FULL)
-        if full.any():
-            w = np.where(full, ((w >> U64(1)) & U64(0x7FFF7FFF7FFF7FFF)) | _SUMS, w)
-        self.w[iw] = w
-        self.b[:k] = self.a[:k]
-        self.a[:k] = x
-
-
-def _counts(ids: np.ndarray, at: int):
-    """Sorted first ``at`` ids of each lane, where runs of equal ids begin, and their lengths."""
-    s = np.sort(ids[:, :at], axis=1)
-    new = np.ones(s.shape, bool)
-    new[:, 1:] = s[:, 1:] != s[:, :-1]
-    flat = np.flatnonzero(new)
-    size = np.diff(np.append(flat, s.size))
-    first = np.repeat(flat % at, size).astype(np.uint16).reshape(s.shape)
-    return s, first, np.repeat(size, size).astype(np.uint16).reshape(s.shape)
-
-
-def _lanes(lens: np.ndarray) -> np.ndarray:
-    if (np.diff(lens) > 0).any():
-        raise ValueError("block lengths must not rise")
-    return lens
-
-
-def encode(ids: np.ndarray, lens: np.ndarray) -> list[bytes]:
-    """``ids``: uint16, one block per row, padded; ``lens``: their lengths, not rising."""
-    lanes, block = ids.shape
-    _lanes(lens)
-    state = _State(lanes)
-    low, rng = np.zeros(lanes, U64), np.full(lanes, ~U64(0))
-    out, pos = np.zeros((lanes, block * 3 + 8), np.uint16), np.zeros(lanes, np.int64)
-    points = [0, *refresh_points(int(lens[0]) if lanes else 0), block]
-    lane_key = np.arange(lanes, dtype=np.int64)[:, None] << 16
-    active = np.searchsorted(-lens, -np.arange(block), "left")
-    for p, q in zip(points, points[1:], strict=False):
-        q = min(q, int(lens[0]) if lanes else 0)
-        n = U64(p)
-        if p:
-            s, first, count = _counts(ids, p)
-            want = ids[:, p:q]
-            left = np.searchsorted((s.astype(np.int64) + lane_key).ravel(), (want.astype(np.int64) + lane_key).ravel()).reshape(want.shape)
-            left = np.minimum(left - np.arange(lanes)[:, None] * p, p - 1)
-            hit = np.take_along_axis(s, left, 1) == want
-            start0 = np.take_along_axis(first, left, 1).astype(U64)
-            count0 = np.where(hit, np.take_along_axis(count, left, 1), 0).astype(U64)
-        for j in range(p, q):
-            k = int(active[j])
-            x = ids[:k, j].astype(np.uint32) + np.uint32(1)
-            i1, i2, e1, e2, c1, c2, iw, w, sums = state.predict(k)
-            seen = count0[:k, j - p] > 0 if p else np.zeros(k, bool)
-            term = np.where(x == c2, 0, np.where(x == c1, 1, np.where(seen, 2, 3)))
-            sh = _SHIFT[term]
-            total = sums >> U64(48)
-            r = rng[:k] // total
-            lo = low[:k] + (((sums - w) >> sh) & U64(0xFFFF)) * r
-            rg = r * ((w >> sh) & U64(0xFFFF))
-            lit = np.flatnonzero(term == 2)
-            if len(lit):
-                r2 = rg[lit] // n
-                lo[lit] += start0[lit, j - p] * r2
-                rg[lit] = r2 * count0[lit, j - p]
-            new = np.flatnonzero(term == 3)
-            if len(new):
-                r3 = rg[new] >> U64(16)
-                lo[new] += (x[new] - np.uint32(1)).astype(U64) * r3
-                rg[new] = r3
-            while True:
-                same = (lo ^ (lo + rg)) < TOP
-                m = np.flatnonzero(same | (rg < BOT))
-                if not len(m):
-                    break
-                l, g = lo[m], rg[m]
-                g = np.where(same[m], g, (U64(0) - l) & (BOT - U64(1)))
-                out[m, pos[m]] = l >> U64(48)
-                pos[m] += 1
-                lo[m], rg[m] = l << U64(16), g << U64(16)
-            low[:k], rng[:k] = lo, rg
-            state.learn(k, x, term, i1, i2, e1, e2, c1, c2, iw, w, total)
-    for _ in range(4):
-        out[np.arange(lanes), pos] = low >> U64(48)
-        pos += 1
-        low <<= U64(16)
-    return [out[i, : pos[i]].astype("<u2").tobytes() for i in range(lanes)]
-
-
-def decode(blocks: list[bytes], lens: np.ndarray) -> np.ndarray:
-    """The padded uint16 ids that ``encode`` was given; positions past a block's length are 0."""
-    lanes, block = len(blocks), int(lens.max(initial=0))
-    _lanes(lens)
-    ids = np.zeros((lanes, block), np.uint16)
-    if not block:
-        return ids
-    size = np.array([len(b) // 2 for b in blocks])
-    words = np.zeros((lanes, int(size.max()) + 8), U64)
-    for i, b in enumerate(blocks):
-        words[i, : size[i]] = np.frombuffer(b, "<u2")
-    state = _State(lanes)
-    low, rng, pos = np.zeros(lanes, U64), np.full(lanes, ~U64(0)), np.full(lanes, 4)
-    code = (words[:, 0] << U64(48)) | (words[:, 1] << U64(32)) | (words[:, 2] << U64(16)) | words[:, 3]
-    points = [0, *refresh_points(block), block]
-    active = np.searchsorted(-lens, -np.arange(block), "left")
-    for p, q in zip(points, points[1:], strict=False):
-        n = U64(p)
-        if p:
-            s, first, count = _counts(ids, p)
+def _hoped() -> np.ndarray:
+    """How often, times 100, each term of each state counts as used before anything is."""
+    level = np.arange(_STATES)
+    hope = np.array([0, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.95])
+    two, one = hope[level >> 4], hope[level >> 1 & 7]
+    rest = (1 - two) * (1 - one)
+    return np.rint(1600 * np.stack([two, (1 - two) * one, rest * 0.9, rest * 0.1], 1)).astype(np.int64) + 1
+
+
+_HOPED = _hoped()
+
+
+class _Model:
+    """What the ids of the steps so far say; ``ids``: (steps, lanes), ``used``: how often each term of each state was used."""
+
+    def __init__(self, ids: np.ndarray, used: np.ndarray):
+        used = 100 * used + _HOPED
+        self.one = _followers(ids[:-1].ravel(), ids[1:].ravel(), 16)
+        self.two = _followers(_hash2(ids[1:-1], ids[:-2]).ravel(), ids[2:].ravel(), _BITS2)
+        counts = np.bincount(ids.ravel(), minlength=65536)
+        self.n = float(ids.size)
+        self.count, self.first = counts.astype(float), (np.cumsum(counts) - counts).astype(float)
+        self.sorted = np.repeat(np.arange(65536, dtype=np.uint16), counts)
+        weight = np.maximum((int(_UNIT) - 4) * used // used.sum(1, keepdims=True), 1)  # in integers, the same on every machine
+        level = np.arange(_STATES)
+        weight[level >> 4 == 0, 0] = 0
+        weight[level >> 1 & 7 == 0, 1] = 0
+        if not ids.size:
+            weight[:, 2] = 0
+        weight[:, 3] += int(_UNIT) - weight.sum(1)
+        weight = weight.astype(float)
+        self.ends = np.cumsum(weight, 1)
+        self.start, self.width = (self.ends - weight).ravel(), weight.ravel()
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order 2's id, order 1's id, mixing state) after ``b``, ``a``."""
+        two, one = self.two[_hash2(a, b)], self.one[a]
+        c2, c1 = two & np.uint32(0xFFFF), one & np.uint32(0xFFFF)
+        return c2, c1, (two >> np.uint32(16) << np.uint32(4)) | (one >> np.uint32(16) << np.uint32(1)) | (c1 == c2)
+
+
+def _segments(steps: int) -> list[tuple[int, int]]:
+    at = [0, *(p for p in REFRESH if p < steps), steps]
+    return list(zip(at, at[1:], strict=False))
+
+
+def encode(ids: np.ndarray) -> bytes:
+    """A block of at most ``BLOCK`` ids (uint16): the words of each lane as uint16, then the words, lane by lane."""
+    lanes, steps = shape(len(ids))
+    if not len(ids):
+        return b""
+    past = np.zeros((steps + 2, lanes), np.uint16)  # two ids of 0 come before a lane's own
+    filled = np.zeros(lanes * steps, np.uint16)
+    filled[: len(ids)] = ids
+    past[2:] = filled.reshape(lanes, steps).T
+    low, rng = np.zeros(lanes), np.full(lanes, _TOP)
+    out, pos = np.zeros((lanes, 2 * steps + 8), np.uint32), np.zeros(lanes, np.int64)
+    used = np.zeros((_STATES, 4), np.int64)
+    for p, q in _segments(steps):
+        model = _Model(past[2 : p + 2], used)
+        for lo in range(p, q, _CHUNK):
+            hi = min(q, lo + _CHUNK)
+            x = past[lo + 2 : hi + 2]
+            c2, c1, state = model.look(past[lo + 1 : hi + 1], past[lo:hi])
+            count, first = model.count[x], model.first[x]
+            term = np.where((x == c2) & (state >= 16), 0, np.where((x == c1) & (state & 14 > 0), 1, np.where(count > 0, 2, 3)))
+            used += np.bincount((state * np.uint32(4) + term).ravel(), minlength=4 * _STATES).reshape(_STATES, 4)
+            at = state * 4 + term
+            start, width = model.start[at], model.width[at]
+            n = np.where(term < 2, 1.0, np.where(term == 2, max(model.n, 1.0), 65536.0))
+            first = np.where(term == 2, first, np.where(term == 3, x, 0.0))
+            count = np.where(term == 2, count, 1.0)
+            for j in range(hi - lo):
+                r = np.floor(rng * (1 / _UNIT))
+                low += start[j] * r
+                r *= width[j]
+                r = np.floor(r / n[j])
+                low += first[j] * r
+                rng = count[j] * r
+                m = np.flatnonzero(rng < _BOTTOM)
+                while len(m):
+                    word = np.floor(low[m] * (1 / _BOTTOM))
+                    out[m, pos[m]] = word
+                    pos[m] += 1
+                    low[m] = (low[m] - word * _BOTTOM) * 65536
+                    g = rng[m] * 65536
+                    rng[m] = g
+                    m = m[g < _BOTTOM]
+    # one more word tells the lane's last interval: its lower bits may be 0
+    out[np.arange(lanes), pos] = np.ceil(low * (1 / _BOTTOM))
+    pos += 1
+    width = int(pos.max())
+    for k in range(width - 1, 0, -1):  # carries
+        out[:, k - 1] += out[:, k] >> 16
+    whole = (out[:, :width] & 0xFFFF).astype("<u2")
+    return pos.astype("<u2").tobytes() + whole[np.arange(width) < pos[:, None]].tobytes()
+
+
+def decode(data: bytes, n: int) -> np.ndarray:
+    """The ``n`` ids that ``encode`` was given; raises ValueError where the data can't be such a block's."""
+    lanes, steps = shape(n)
+    if not n:
+        return np.zeros(0, np.uint16)
+    words = np.frombuffer(data, "<u2")
+    size = words[:lanes].astype(np.int64)
+    if len(size) < lanes or len(words) != lanes + size.sum():
+        raise ValueError("the block has another length")
+    ends = np.cumsum(size)
+    flat = np.append(words[lanes:], np.zeros(1, np.uint16)).astype(float)
+    stop = len(flat) - 1  # a lane reads zeros after its own words
+    at = ends - size
+
+    def take(m: np.ndarray) -> np.ndarray:
+        k = at[m]
+        at[m] = k + 1
+        return flat[np.where(k < ends[m], k, stop)]
+
+    every = np.arange(lanes)
+    code = np.zeros(lanes)
+    for _ in range(3):
+        code = code * 65536 + take(every)
+    rng = np.full(lanes, _TOP)
+    past = np.zeros((steps + 2, lanes), np.uint16)
+    used = np.zeros((_STATES, 4), np.int64)
+    for p, q in _segments(steps):
+        model = _Model(past[2 : p + 2], used)
+        e0, e1, e2 = (np.ascontiguousarray(model.ends[:, k]) for k in range(3))
+        seen = []
         for j in range(p, q):
-            k = int(active[j])
-            i1, i2, e1, e2, c1, c2, iw, w, sums = state.predict(k)
-            total = sums >> U64(48)
-            r = rng[:k] // total
-            t = np.minimum((code[:k] - low[:k]) // r, total - U64(1))
-            term = (t >= (sums & U64(0xFFFF))).astype(np.int64)
-            term += t >= ((sums >> U64(16)) & U64(0xFFFF))
-            term += t >= ((sums >> U64(32)) & U64(0xFFFF))
-            sh = _SHIFT[term]
-            lo = low[:k] + (((sums - w) >> sh) & U64(0xFFFF)) * r
-            rg = r * ((w >> sh) & U64(0xFFFF))
-            x = np.where(term == 0, c2, c1)
-            lit = np.flatnonzero(term == 2)
-            if len(lit) and not p:
-                raise ValueError("damaged block")
-            if len(lit):
-                r2 = rg[lit] // n
-                at = np.minimum((code[lit] - lo[lit]) // r2, n - U64(1)).astype(np.int64)
-                x[lit] = s[lit, at].astype(np.uint32) + np.uint32(1)
-                lo[lit] += first[lit, at].astype(U64) * r2
-                rg[lit] = r2 * count[lit, at].astype(U64)
-            new = np.flatnonzero(term == 3)
-            if len(new):
-                r3 = rg[new] >> U64(16)
-                at = np.minimum((code[new] - lo[new]) // r3, U64(65535))
-                x[new] = at.astype(np.uint32) + np.uint32(1)
-                lo[new] += at * r3
-                rg[new] = r3
-            while True:
-                same = (lo ^ (lo + rg)) < TOP
-                m = np.flatnonzero(same | (rg < BOT))
-                if not len(m):
-                    break
-                l, g = lo[m], rg[m]
-                g = np.where(same[m], g, (U64(0) - l) & (BOT - U64(1)))
-                code[m] = (code[m] << U64(16)) | words[m, np.minimum(pos[m], words.shape[1] - 1)]
-                pos[m] += 1
-                lo[m], rg[m] = l << U64(16), g << U64(16)
-            low[:k], rng[:k] = lo, rg
-            ids[:k, j] = x - np.uint32(1)
-            state.learn(k, x, term, i1, i2, e1, e2, c1, c2, iw, w, total)
-    return ids
+            c2, c1, state = model.look(past[j + 1], past[j])
+            r = np.floor(rng * (1 / _UNIT))
+            term = (code >= e0[state] * r).view(np.int8) + (code >= e1[state] * r) + (code >= e2[state] * r)
+            where = state * 4 + term
+            seen.append(where)
+            code -= model.start[where] * r
+            r *= model.width[where]
+            x = np.where(term == 0, c2, c1).astype(np.uint16)
+            m = np.flatnonzero(term == 2)
+            if len(m):
+                g = np.floor(r[m] / model.n)
+                d = code[m]
+                sym = model.sorted[np.minimum(np.floor(d / g), model.n - 1).astype(np.int64)]
+                x[m] = sym
+                code[m] = d - model.first[sym] * g
+                r[m] = model.count[sym] * g
+            m = np.flatnonzero(term == 3)
+            if len(m):
+                g = np.floor(r[m] * (1 / 65536))
+                d = code[m]
+                sym = np.minimum(np.floor(d / g), 65535)
+                x[m] = sym
+                code[m] = d - sym * g
+                r[m] = g
+            rng = r
+            m = np.flatnonzero(rng < _BOTTOM)
+            while len(m):
+                code[m] = code[m] * 65536 + take(m)
+                g = rng[m] * 65536
+                rng[m] = g
+                m = m[g < _BOTTOM]
+            past[j + 2] = x
+        used += np.bincount(np.concatenate(seen), minlength=4 * _STATES).reshape(_STATES, 4)
+    return past[2:].T.ravel()[:n]

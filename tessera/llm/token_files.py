@@ -45,15 +45,9 @@ def pack_ids(ids: np.ndarray, block: int = range_coder.BLOCK) -> tuple[bytes, by
     """(block table, payload) of a run of ids below 65536."""
     if len(ids) and int(ids.max()) > 65535:
         raise ValueError("ids must be below 65536")
-    lanes = -(-len(ids) // block)
-    padded = np.zeros(lanes * block, np.uint16)
-    padded[: len(ids)] = ids
-    padded = padded.reshape(lanes, block)
-    lens = np.full(lanes, block, np.int64)
-    if lanes:
-        lens[-1] = len(ids) - (lanes - 1) * block
-    coded = range_coder.encode(padded, lens)
-    head = np.array([(n, len(c), zlib.crc32(row[:n].astype("<u2").tobytes())) for n, c, row in zip(lens.tolist(), coded, padded, strict=True)], "<u4")
+    parts = [ids[at : at + block].astype("<u2") for at in range(0, len(ids), block)]
+    coded = [range_coder.encode(p) for p in parts]
+    head = np.array([(len(p), len(c), zlib.crc32(p.tobytes())) for p, c in zip(parts, coded, strict=True)], "<u4")
     return head.tobytes(), b"".join(coded)
 
 
@@ -63,15 +57,15 @@ def unpack_ids(blocks: bytes, payload: bytes) -> np.ndarray:
     ends = np.cumsum(head[:, 1])
     if len(payload) != (ends[-1] if len(ends) else 0):
         raise DamagedFile("payload has another length")
-    coded = [payload[e - n : e] for e, n in zip(ends.tolist(), head[:, 1].tolist(), strict=True)]
-    try:
-        padded = range_coder.decode(coded, head[:, 0])
-    except (ValueError, IndexError) as e:
-        raise DamagedFile(str(e)) from e
-    for i, (n, _, crc) in enumerate(head.tolist()):
-        if zlib.crc32(padded[i, :n].astype("<u2").tobytes()) != crc:
+    out = []
+    for i, ((n, size, crc), end) in enumerate(zip(head.tolist(), ends.tolist(), strict=True)):
+        try:
+            out.append(range_coder.decode(payload[end - size : end], n))
+        except (ValueError, IndexError) as e:
+            raise DamagedFile(str(e)) from e
+        if zlib.crc32(out[-1].astype("<u2").tobytes()) != crc:
             raise DamagedFile(f"block {i}")
-    return np.concatenate([padded[i, :n] for i, n in enumerate(head[:, 0].tolist())]) if len(head) else np.zeros(0, np.uint16)
+    return np.concatenate(out) if out else np.zeros(0, np.uint16)
 
 
 def _frames(path: str, end: int, frame_ids: int):
