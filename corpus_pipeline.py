@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, exact_dedup, langid, near_dedup, packing
-from tessera.llm.common import saved, scratch_dir, table
+from tessera.llm.common import dropped, saved, scratch_dir, table
 from tessera.session import ship
 
 
@@ -56,6 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the last one's rows."""
     docs, folder = table(spark, sf_dir, "documents"), scratch_dir(spark)
-    for name, stage in STAGES[:-1]:
+    for i, (name, stage) in enumerate(STAGES[:-1]):
         docs = saved(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if i:
+            dropped(spark, f"{folder}/{STAGES[i - 1][0]}")
     return STAGES[-1][1](spark, docs, sf_dir)
