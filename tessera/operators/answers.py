@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
@@ -46,8 +47,13 @@ def read_local_response(answers: DataFrame) -> DataFrame:
     own = answers.withColumn("_j", F.from_json("response", LOCAL_RESPONSE))
     text = F.trim(F.coalesce("_j.response", F.lit("")))
     category = F.when(F.col("response").isNull() | ~F.coalesce(F.col("response").rlike(r"^\s*\{"), F.lit(False)), "bad_json").when(text == "", "empty_answer")
+    none = F.lit(False)
     usage = F.map_filter(F.create_map(F.lit("promptTokenCount"), F.col("_j.prompt_eval_count"), F.lit("candidatesTokenCount"), F.col("_j.eval_count")), lambda k, v: v.isNotNull())
-    return own.select(*answers.columns, F.when(category.isNull(), text).alias("answer"), F.when(F.coalesce("_j.done", F.lit(False)), "STOP").otherwise("").alias("finish"), usage.alias("usage"), category.alias("degraded_category"))
+    return own.select(*answers.columns, F.when(category.isNull(), text).alias("answer"), F.when(F.coalesce("_j.done", F.lit(False)), "STOP").otherwise("").alias("finish"), usage.alias("usage"), category.alias("degraded_category")).withColumns({"refused_verbatim": F.coalesce(F.startswith("answer", F.lit(REFUSAL)), none), "truncated": none})
+
+
+#: Known providers: what makes a reply of a prompt (None where that is outside the engine), and what reads it.
+PROVIDERS: dict[str, tuple[Generator | None, Callable[[DataFrame], DataFrame]]] = {"extractive": (extractive, read_response), "gemini": (None, read_response), "local": (None, read_local_response)}
 
 
 def status(row: dict[str, Column] | None = None) -> Column:
@@ -56,8 +62,9 @@ def status(row: dict[str, Column] | None = None) -> Column:
     return F.when(c["answer"].isNull(), "FAIL").when((F.size(c["unknown"]) > 0) | (F.size(c["malformed"]) > 0) | c["truncated"], "flag").when(c["refused_verbatim"], "decl").otherwise("ok")
 
 
+# Fixed values below: the texts of the flags.
 def flags() -> Column:
-    """What a reader should not have to look for, as an array of texts."""
+    """Everything about an answer that calls for a look, one text each, in this order; empty where nothing does."""
     ignored = F.array_except("expected_retrieved", "expected_cited")
     return F.array_compact(
         F.array(

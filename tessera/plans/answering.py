@@ -26,14 +26,18 @@ def sources(hits: DataFrame, index: DataFrame) -> DataFrame:
     return blocks.join(about, ["qid", "rank"]).select("qid", "rank", "label", "source_id", "text", "citation", "section")
 
 
-def generate(questions: DataFrame, shown: DataFrame, generator: Callable[[DataFrame], DataFrame] = answers.extractive) -> DataFrame:
+def generate(questions: DataFrame, shown: DataFrame, generator: Callable[[DataFrame], DataFrame] | None = None, provider: str = "extractive") -> DataFrame:
     """qid, question, answer, finish, usage, degraded_category, refused_verbatim, truncated, labels, cited, unknown, uncited, malformed, citations.
 
     Every question gives a row: without sources the category is ``no_sources`` and the generator isn't asked;
-    where it fails, answer is null and the category says why.
+    where it fails, answer is null and the category says why. ``generator`` replaces the provider's own; the
+    provider's reader reads its replies.
     """
+    own, read_reply = answers.PROVIDERS[provider]
+    if (generator or own) is None:
+        raise ValueError(f"{provider} needs a generator: its service is outside the engine")
     prompts = windows.prompts(shown, questions.select("qid", "question"))
-    read = answers.read_response(generator(prompts))
+    read = read_reply((generator or own)(prompts))
     labels = shown.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("labels"))
     asked = questions.select("qid", "question").join(labels, "qid", "left").join(read.select("qid", "answer", "finish", "usage", "degraded_category", "refused_verbatim", "truncated"), "qid", "left")
     none = F.array().cast("array<string>")
@@ -48,9 +52,9 @@ def generate(questions: DataFrame, shown: DataFrame, generator: Callable[[DataFr
     return out.withColumns({**{c: F.coalesce(c, none) for c in ("cited", "unknown", "uncited", "malformed")}, "citations": F.coalesce("citations", F.lit(0).cast("long"))})
 
 
-def answer_questions(index: DataFrame, questions: DataFrame, encode: Callable[[Column], Column], k: int = search.TOP_K, where: Column | None = None, generator: Callable[[DataFrame], DataFrame] = answers.extractive) -> tuple[DataFrame, DataFrame]:
+def answer_questions(index: DataFrame, questions: DataFrame, encode: Callable[[Column], Column], k: int = search.TOP_K, where: Column | None = None, generator: Callable[[DataFrame], DataFrame] | None = None, provider: str = "extractive") -> tuple[DataFrame, DataFrame]:
     """(answers, their sources) of ``questions`` (qid: long, question) over ``index`` (vec_id, embedding, and as in :func:`sources`)."""
     found = search.search(index, questions.select("qid", encode(F.col("question")).alias("embedding")), k, where)
     hits = found.join(index.select("vec_id", "source_id", "chunk_index", "chunk_total"), "vec_id").drop("vec_id")
     shown = sources(hits, index)
-    return generate(questions, shown, generator), shown
+    return generate(questions, shown, generator, provider), shown

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from tessera.functions import citations as C
 from tessera.functions import text as T
-from tessera.operators import answers, chunking, evaluation, footnotes, pages, scoring, search, windows
+from tessera.operators import answers, chunking, evaluation, footnotes, ingest, markup, pages, scoring, search, windows
 from tessera.operators.encoding import encoder
 from tessera.plans import answering
 from tessera.plans import catalogue as base
 from tessera.plans.catalogue import query, table
 from tessera.plans.fixtures import frame, values
+from tessera.sources import readers
 
 # ---------------------------------------------------------------- blocks, prompts, answers
 
@@ -170,6 +171,45 @@ query("document_chunks", "SELECT CAST(turn AS INTEGER) AS chunk_index, text FROM
     lambda spark, d: search.chunk_texts(table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), F.col("turn").cast("int").alias("chunk_index"), "text"), "3")
 )
 
+# ---------------------------------------------------------------- sources
+
+query(
+    "landed_attempts",
+    f"""WITH l AS (SELECT url, count(*) AS attempts, arg_max(attempt, attempt) AS last FROM {values("attempt_log")} WHERE url IS NOT NULL GROUP BY url)
+SELECT l.url, attempts, CASE WHEN status = 200 THEN body END AS body, CASE WHEN status = 200 THEN NULL WHEN status IS NULL THEN coalesce(error, 'connection_error') WHEN status = 429 THEN 'rate_limited' WHEN status = 403 THEN 'forbidden' WHEN status = 404 THEN 'not_found' WHEN status >= 500 THEN 'server_error' ELSE 'client_error' END AS category,
+  CASE WHEN coalesce(status, 0) <> 200 AND retry_after IS NOT NULL THEN greatest(0, TRY_CAST(retry_after AS INTEGER)) END AS wait FROM l JOIN {values("attempt_log")} a ON a.url = l.url AND a.attempt = l.last""",
+)(lambda spark, d: ingest.fetched(frame(spark, "attempt_log")))
+query("chapter_sidecar", f"SELECT stem AS source_id, 'uscis' AS source_type, concat_ws(' / ', volume_title, part_title, chapter_title) AS title, CAST(NULL AS VARCHAR) AS citation, CAST(NULL AS VARCHAR) AS court_id, CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS barrier, chapter_url AS url, scraped_date AS retrieved FROM {values('scraped')}")(
+    lambda spark, d: readers.chapter_sidecar(frame(spark, "scraped"))
+)
+query("opinion_sidecar", f"SELECT stem AS source_id, 'caselaw' AS source_type, case_name AS title, citation, court_id, date_filed AS date, array_to_string(barrier, ',') AS barrier, 'https://c' || absolute_url AS url FROM {values('opinion_files')} p JOIN {values('selected')} s ON p.id = s.opinion_id")(
+    lambda spark, d: readers.opinion_sidecar(frame(spark, "opinion_files"), frame(spark, "selected"), "https://c")
+)
+query("tag_documents", f"SELECT tag, count(DISTINCT page_id) AS documents, list_sort(list(DISTINCT page_id)) AS page_ids FROM (SELECT page_id, unnest(unhandled) AS tag FROM {values('page_reports')}) GROUP BY tag")(lambda spark, d: ingest.by_tag(frame(spark, "page_reports")))
+query(
+    "recall_curve_k15",
+    f"WITH {base._hits_sql(20)} SELECT x.qid, CAST(k AS INTEGER) AS cutoff, CASE WHEN min(h.rank) <= k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS recall FROM expected x CROSS JOIN (SELECT unnest([1,3,5,8,10,15]) AS k) LEFT JOIN h ON h.qid = x.qid AND h.label = x.source GROUP BY x.qid, k",
+)(lambda spark, d: search.recall_curve(base._hits(spark, d, 20), base._expected(spark, d), scoring.cutoffs_with(15)))
+
+_CHAPTER = (
+    '<div id="guidance"><div class="field--name-body"><h2>A  title</h2><p>One <b>bold</b> , two<p>open<ul><li>a<ul><li>b</ul></ul><table><caption>Cap</caption><tr><th>h<td>1</table>'
+    '<div class="alert-message"><div><p>Beware</p></div></div><hr><video></video></div></div>'
+)
+
+
+@query("chapter_html")
+def _chapter_html(spark, d):
+    return markup.extract(spark.createDataFrame([(1, _CHAPTER), (2, "<p>no guidance"), (3, None), (4, "")], "page_id long, html string"), markup.parse_chapter)
+
+
+@query("contents_table")
+def _contents(spark, d):
+    part = lambda title, *chapters: f'<div class="level--3"><ul><li class="level__item--3"><a href="/p">{title}</a></li></ul><ul class="level--4">' + "".join(f'<li class="level__item--4"><a href="/{c}">{c}</a></li>' for c in chapters) + "</ul></div>"
+    volume = lambda title: f'<div class="level--2"><div class="level__title"><a href="/v">{title}</a></div></div>'
+    html = "<div>" + volume("Volume 1 - First") + part("Part A - Zero", "c1", "c2") + part("Part B - One", "c3") + volume("Volume 12 - Last") + part("Part D - Two", "c4") + "</div>"
+    return markup.contents_table(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"), {"Volume 1": ["Part A"], "Volume 12": None})
+
+
 # ---------------------------------------------------------------- retrieval scores over conversations
 
 # every conversation is a question; its turns are the ranked pool, dealt to three documents of its own

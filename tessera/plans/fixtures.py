@@ -137,6 +137,14 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
             ("x2", "", "One page  only\nwith te-\nxt"), ("x3", None, " \n "), ("x4", "<broken", None), ("x5", "<casebody/>", "not used"), ("x6", None, None),
         ],
     ),
+    "attempt_log": (
+        "url string, attempt int, status int, retry_after string, body string, error string",
+        [("a", 1, 503, "7", None, None), ("a", 2, 200, None, "<p>x</p>", None), ("b", 1, 429, "30", None, None), ("c", 1, None, None, None, "timeout"), ("c", 2, None, None, None, None), ("d", 1, 404, "-3", "gone", None), (None, 1, 200, None, "lost", None)],
+    ),
+    "scraped": ("stem string, volume_title string, part_title string, chapter_title string, chapter_url string, scraped_date string", [("v1_a_1", "Volume 1", "Part A", "Chapter 1", "/policy-manual/volume-1-part-a-chapter-1", "2024-05-06"), ("v1_a_2", "Volume 1", None, "Chapter 2", None, None)]),
+    "opinion_files": ("stem string, id int, absolute_url string", [("opinion_10_x", 10, "/opinion/10/x/"), ("opinion_11_y", 11, None), ("opinion_99_z", 99, "/opinion/99/z/")]),
+    "selected": ("opinion_id int, case_name string, court_id string, date_filed string, citation string, barrier array<string>", [(10, "X v. Y", "ca2", "2001-02-03", None, ["delay", "character"]), (11, "Z v. Y", "dcd", "1999-01-01", "1 F.3d 2", []), (12, "Unfetched", "ca9", "2000-01-01", None, ["delay"])]),
+    "page_reports": ("page_id int, unhandled array<string>", [(3, ["video", "svg"]), (1, ["video"]), (2, []), (1, ["video"])]),
     "asked": ("qid int, question string", [(1, "Question 1?"), (2, "Question 2?"), (3, "Nothing found?")]),
     "grid": (
         "file string, k int, thinking string, answer string, citations int, unknown array<string>, malformed array<string>",

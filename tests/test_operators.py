@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, encoding, evaluation, footnotes, markup, pages, search, windows
-from tessera.plans import catalogue
+from tessera.plans import answering, catalogue, catalogue_more
 from tessera.plans.fixtures import frame
 
 
@@ -188,3 +188,23 @@ def test_order_statistics(spark, n):
     r = chunking.size_stats(spark.createDataFrame([(i * 7 % 13,) for i in range(n)], "tokens long")).first()
     x = sorted(i * 7 % 13 for i in range(n))
     assert (r.median, r.p10, r.p90, r.largest) == (x[n // 2], x[int(n * 0.1)], x[int(n * 0.9)], x[-1])
+
+
+def test_providers(spark):
+    asked, shown = frame(spark, "asked"), catalogue_more._about(spark, "")
+    with pytest.raises(ValueError, match="outside the engine"):
+        answering.generate(asked, shown, provider="gemini")
+    local = lambda p: p.withColumn("response", F.lit('{"response": "Yes [S1] [S9].", "done": true, "eval_count": 3}'))
+    got = {r.qid: r for r in answering.generate(asked, shown, local, "local").collect()}
+    assert (got[1].answer, got[1].cited, got[1].unknown, got[1].citations) == ("Yes [S1] [S9].", ["S1"], ["S9"], 1)
+    assert (got[3].answer, got[3].degraded_category) == (None, "no_sources")
+    broken = answering.generate(asked, shown, lambda p: p.withColumn("response", F.lit("oops"))).filter("qid = 1").first()
+    assert (broken.answer, broken.degraded_category, broken.citations) == (None, "bad_json", 0)
+
+
+def test_unknown_tag_names_the_known(spark):
+    index = frame(spark, "tagged")
+    with pytest.raises(ValueError, match="tagged values: .*character.*delay"):
+        search.checked_filter(index, "caselaw", "nope")
+    assert index.filter(search.checked_filter(index, None, "character")).count() == 1
+    assert search.checked_filter(index) is None

@@ -49,7 +49,7 @@ def test_against_sql(spark, duck, name):
 
 # ---------------------------------------------------------------- queries without SQL, by value
 
-BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "xml_opinions", "process_opinion"}
+BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "xml_opinions", "process_opinion", "chapter_html", "contents_table"}
 
 
 def rows_of(spark, name):
@@ -124,6 +124,23 @@ def test_html(spark, duck):
     assert {r.tag: r.pages for r in rows_of(spark, "html_unhandled")} == dict(counts)
 
 
+def test_chapters(spark):
+    got = {r.page_id: r for r in rows_of(spark, "chapter_html")}
+    assert got[1].lines == ["## A title", "One bold, two", "open", "- a b", "- b", "Cap", "| h | 1 |", "[ALERT] Beware"]
+    assert (got[1].unhandled, got[1].error) == (["video"], None)
+    assert all((got[i].lines, got[i].error) == ([], "structure_changed") for i in (2, 3, 4))
+
+
+def test_contents(spark):
+    rows = rows_of(spark, "contents_table")
+    assert [tuple(r)[:-1] for r in rows if r.page_id == 1] == [
+        (1, "Volume 1", "Volume 1 - First", "Part A - Zero", "c1", "/c1"),
+        (1, "Volume 1", "Volume 1 - First", "Part A - Zero", "c2", "/c2"),
+        (1, "Volume 12", "Volume 12 - Last", "Part D - Two", "c4", "/c4"),
+    ]
+    assert [r.volume for r in rows if r.page_id == 2 and r.error and r.chapter_title is None] == ["Volume 1", "Volume 12"]
+
+
 def test_xml_opinions(spark):
     got = {r.source_id: r for r in rows_of(spark, "xml_opinions")}
     assert got["o1"].body == ["X, J.", "Castracani held\ue0001\ue001 so far.", "> quoted"]
