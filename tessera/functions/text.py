@@ -95,11 +95,21 @@ def plain(c: Column) -> Column:
 
 
 def strip_overlap(previous: Column, text: Column) -> Column:
-    """Remove from ``text`` its longest prefix of 41 to 800 characters that occurs in the last 1600 of ``previous``."""
+    """Remove from ``text`` its longest prefix of 41 to 800 characters that occurs in the last 1600 of ``previous``.
+
+    If a prefix occurs there, so do all shorter ones, so the longest is found by halving.
+    """
     tail = F.substring(previous, F.greatest(F.length(previous) - OVERLAP_TAIL + 1, F.lit(1)), F.lit(OVERLAP_TAIL))
-    top = F.least(F.length(text), F.lit(OVERLAP_MAX))
-    sizes = F.when(top > OVERLAP_MIN, F.sequence(top, F.lit(OVERLAP_MIN + 1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    found = F.try_element_at(F.filter(sizes, lambda n: F.contains(tail, F.substring(text, F.lit(1), n))), F.lit(1))
+    top, least = F.least(F.length(text), F.lit(OVERLAP_MAX)), F.lit(OVERLAP_MIN + 1)
+    has = lambda n: F.contains(tail, F.substring(text, F.lit(1), n))
+    between = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        return F.when(acc["hi"] - acc["lo"] <= 1, acc).when(has(mid), between(mid, acc["hi"])).otherwise(between(acc["lo"], mid))
+
+    steps = F.sequence(F.lit(1), F.lit(OVERLAP_MAX.bit_length()))
+    found = F.when((top >= least) & has(least), F.aggregate(steps, between(least, top + 1), halve, lambda acc: acc["lo"]))
     return F.when(previous.isNull() | found.isNull(), text).otherwise(F.regexp_replace(F.substring(text, found + 1, F.length(text)), r"(?U)^\s+", ""))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import citations
 from tessera.operators import answers, search, windows
+from tessera.plans.flagship import stored
 
 #: What a citation is made of.
 CITED = ("source_id", "source_type", "title", "citation", "court_id", "date", "url", "footnote_numbers")
@@ -55,6 +56,6 @@ def generate(questions: DataFrame, shown: DataFrame, generator: Callable[[DataFr
 def answer_questions(index: DataFrame, questions: DataFrame, encode: Callable[[Column], Column], k: int = search.TOP_K, where: Column | None = None, generator: Callable[[DataFrame], DataFrame] | None = None, provider: str = "extractive") -> tuple[DataFrame, DataFrame]:
     """(answers, their sources) of ``questions`` (qid: long, question) over ``index`` (vec_id, embedding, and as in :func:`sources`)."""
     found = search.search(index, questions.select("qid", encode(F.col("question")).alias("embedding")), k, where)
-    hits = found.join(index.select("vec_id", "source_id", "chunk_index", "chunk_total"), "vec_id").drop("vec_id")
-    shown = sources(hits, index)
+    hits = stored(found.join(index.select("vec_id", "source_id", "chunk_index", "chunk_total"), "vec_id").drop("vec_id"))
+    shown = stored(sources(hits, index))
     return generate(questions, shown, generator, provider), shown

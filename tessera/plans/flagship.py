@@ -10,9 +10,22 @@ from tessera.session import shared_dir
 from tessera.sources import sinks
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: what is used more than once is made once."""
+    path = f"{shared_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` on all cores where it has fewer splits than there are; a large table has enough and stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def chunk_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The chunks of ``docs``, written as an index of their own and read back, so that texts are chunked once."""
-    return spark.read.parquet(sinks.rebuild_index(chunking.chunks(docs), f"{shared_dir(spark)}/chunks"))
+    return spark.read.parquet(sinks.rebuild_index(chunking.chunks(dealt(docs.select("doc_id", "text"))), f"{shared_dir(spark)}/chunks"))
 
 
 def retrieve(spark: SparkSession, sf_dir: str, k: int = search.TOP_K) -> DataFrame:
@@ -24,7 +37,7 @@ def retrieve(spark: SparkSession, sf_dir: str, k: int = search.TOP_K) -> DataFra
     index = own.select("vec_id", encode(F.col("text")).alias("embedding"))
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), encode(F.col("text")).alias("embedding"))
     hits = search.search(index, queries, k)
-    placed = hits.join(own.select("vec_id", "chunk_id", F.col("doc_id").alias("source_id"), "chunk_index", "chunk_total"), "vec_id")
+    placed = stored(hits.join(own.select("vec_id", "chunk_id", F.col("doc_id").alias("source_id"), "chunk_index", "chunk_total"), "vec_id"))
     texts = chunks.select(F.col("doc_id").alias("source_id"), "chunk_index", "text")
     shown = windows.window(placed, texts)
     joined = shown.groupBy("qid", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("neighbor", "text"))), lambda x: x["text"]), "\n").alias("window_text"))
