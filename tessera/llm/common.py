@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
 
-#: Bytes of text that a Python worker holds as one block.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text that a Python worker holds as one block: numpy's arrays over it stay in the cache and in reused memory.
+BLOCK_BYTES = 1 << 20
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
