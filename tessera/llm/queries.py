@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import chat, decontaminate, exact_dedup, langid, near_dedup, packing, quality, quality_rules, secret_scan, token_counts, token_files
+from tessera.llm import chat, decontaminate, exact_dedup, langid, near_dedup, packing, quality, quality_rules, secret_scan, spelling, token_counts, token_files
 from tessera.llm.common import table
 
 
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": lambda spark, d: chat.op8(spark, table(spark, d, "conversations")),
     "op9_decontaminate": lambda spark, d: decontaminate.op9(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op10_language_id": _docs(langid.op10),
+    "op11_spelling_variants": _docs(spelling.op11),
     "op12_quality_rules": _docs(quality_rules.op12),
     "pipeline": corpus_pipeline.run,
 }
@@ -35,5 +36,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_near_dedup": near_dedup.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
     "op12_quality_rules": quality_rules.ORACLE,
 }
