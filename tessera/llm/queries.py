@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import chat, decontaminate, exact_dedup, langid, near_dedup, packing, quality, quality_rules, secret_scan, spelling, token_counts, token_files
+from tessera.llm import chat, decontaminate, exact_dedup, hard_negatives, langid, near_dedup, packing, quality, quality_rules, secret_scan, spelling, token_counts, token_files
 from tessera.llm.common import table
 
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": _docs(langid.op10),
     "op11_spelling_variants": _docs(spelling.op11),
     "op12_quality_rules": _docs(quality_rules.op12),
+    "op13_hard_negatives": lambda spark, d: hard_negatives.op13(table(spark, d, "embeddings")),
     "pipeline": corpus_pipeline.run,
 }
 
@@ -38,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": chat.ORACLE,
     "op11_spelling_variants": spelling.ORACLE,
     "op12_quality_rules": quality_rules.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
