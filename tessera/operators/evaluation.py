@@ -2,64 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of anchors in a block.
-BLOCK_BYTES = 16 << 20
-
-
-def _found(anchors: list[tuple[int, str]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_text: dict[str, list[int]] = {}
-        for i, a in anchors:
-            by_text.setdefault(a, []).append(i)
-        try:
-            import ahocorasick
-
-            auto = ahocorasick.Automaton()
-            for a in by_text:
-                auto.add_word(a, a)
-            auto.make_automaton()
-            search = lambda text: {a for _, a in auto.iter(text)}
-        except ImportError:
-            search = lambda text: {a for a in by_text if a in text}
-        for batch in batches:
-            docs, ids = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a in search(text or ""):
-                    for i in by_text[a]:
-                        docs.append(doc)
-                        ids.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64())], ["anchor_id", "doc_id"])
-
-    return run
-
-
-def anchor_containment(anchors: DataFrame, docs: DataFrame) -> DataFrame:
-    """anchor_id, doc_id of every document that contains an anchor (anchor_id, anchor) verbatim.
-
-    Anchors travel in blocks of bounded size; each text is read once per block by an
-    automaton over all its anchors, so no pair that doesn't match is ever made. Null
-    and empty anchors match nothing.
-    """
-    parts, block, size = [], [], 0
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    add = lambda b: rows.mapInArrow(_found(b), "anchor_id long, doc_id long")
-    for r in anchors.select(F.col("anchor_id").cast("long"), "anchor").filter("anchor is not null and anchor <> ''").toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= BLOCK_BYTES:
-            parts.append(add(block))
-            block, size = [], 0
-    if block or not parts:
-        parts.append(add(block)) if block else None
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], "anchor_id long, doc_id long")
-
+from tessera.operators.anchors import containment as anchor_containment
 
 def anchor_elsewhere(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Anchors found in a document other than their own: (anchor_id, doc_id) of ``found`` without ``expected``."""

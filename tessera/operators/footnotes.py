@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions.substance import is_substantive
 from tessera.functions.text import normalize_unicode, strip, tidy_spacing
 from tessera.operators import markup, pages
+from tessera.operators.prefixes import longest_prefix
 
 # The line shapes.
 HEADING = r"^#+\s+Footnotes?\s*$"
@@ -99,15 +100,13 @@ def place(docs: DataFrame, mark: str = MARK) -> DataFrame:
 def resolve_alerts(lines: DataFrame, verdicts: DataFrame) -> DataFrame:
     """source_id, line_no, line, unreviewed of (source_id, line_no, line) under (source_id, opening, verdict).
 
-    The longest opening that an alert starts with decides; drops go, the marker is
+    The longest opening that an alert starts with decides (of equal ones the smallest verdict); drops go, the marker is
     consumed, and alerts without a verdict stay and are marked as unreviewed.
     """
     text = F.substring("line", len(ALERT) + 1, 1 << 30)
     is_alert = F.startswith("line", F.lit(ALERT))
     own = lines.withColumn("_alert", is_alert).withColumn("_text", F.when(is_alert, text).otherwise(F.col("line")))
-    v = verdicts.select(F.col("source_id").alias("_s"), "opening", "verdict")
-    met = own.filter("_alert").join(v, (F.col("source_id") == F.col("_s")) & F.startswith("_text", "opening"))
-    best = met.groupBy("source_id", "line_no").agg(F.max_by("verdict", F.length("opening")).alias("verdict"))
+    best = longest_prefix(own.filter("_alert").select("source_id", "line_no", F.col("_text").alias("alert")), verdicts, "source_id", "alert", value="verdict").select("source_id", "line_no", "verdict")
     out = own.join(best, ["source_id", "line_no"], "left").filter("not (_alert and coalesce(verdict, '') = 'drop')")
     return out.select("source_id", "line_no", F.col("_text").alias("line"), (F.col("_alert") & F.col("verdict").isNull()).alias("unreviewed"))
 

@@ -11,7 +11,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from tessera.operators.encoding import hashing
-from tessera.plans import catalogue, catalogue_more  # noqa: F401
+from tessera.plans import catalogue, catalogue_more, catalogue_scale  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -49,7 +49,7 @@ def test_against_sql(spark, duck, name):
 
 # ---------------------------------------------------------------- queries without SQL, by value
 
-BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "xml_opinions", "process_opinion", "chapter_html", "contents_table"}
+BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "xml_opinions", "process_opinion", "chapter_html", "contents_table", "ann_topk", "ann_recall"}
 
 
 def rows_of(spark, name):
@@ -157,6 +157,27 @@ def test_process_opinion(spark):
     assert {k: r.error for k, r in got.items() if r.text is None} == {"x3": "no_content", "x4": "bad_xml", "x5": "structure_changed", "x6": "no_content"}
 
 
+def test_approximate_search(spark, duck):
+    """Scores are exact cosines, in order; at least nine tenths of the true neighbours are among them."""
+    e = duck.sql("select vec_id, embedding from embeddings order by vec_id").df()
+    v = np.stack(e.embedding).astype(float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    at = {i: k for k, i in enumerate(e.vec_id)}
+    got = collections.defaultdict(list)
+    for r in sorted(rows_of(spark, "ann_topk"), key=lambda r: (r.qid, r.rank)):
+        assert abs(v[at[r.qid]] @ v[at[r.vec_id]] - r.score) < 1e-8
+        got[r.qid].append(r)
+    assert sorted(got) == [i for i in e.vec_id if i % 50 == 0]
+    inside = 0
+    for q, hits in got.items():
+        assert [r.rank for r in hits] == list(range(1, 9)) and [r.score for r in hits] == sorted((r.score for r in hits), reverse=True)
+        inside += len({r.vec_id for r in hits} & set(e.vec_id.to_numpy()[np.lexsort((e.vec_id, -np.round(v @ v[at[q]], 9)))[:8]]))
+    r = rows_of(spark, "ann_recall")[0]
+    assert (r.queries, r.neighbours, r.rows) == (len(got), 8 * len(got), len(e))
+    assert r.recall == round(inside / (8 * len(got)), 6) >= 0.9
+    assert r.probes <= r.cells_read <= r.cells
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
