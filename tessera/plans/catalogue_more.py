@@ -54,12 +54,12 @@ query("prompt_dry_run", _PROMPTS + "SELECT qid, CAST(length(prompt) AS BIGINT) A
 query("extractive_answer", _PROMPTS + f"SELECT qid, trim(CASE WHEN {_FIRST} = '' THEN 'Not covered by the retrieved sources.' ELSE {_FIRST} || ' [S1]' END) AS answer, CAST(NULL AS VARCHAR) AS degraded_category FROM prompts")(
     lambda spark, d: answers.read_response(answers.extractive(_prompts(spark, d))).select("qid", "answer", "degraded_category")
 )
-_ANCHORS = "(SELECT * FROM (VALUES (1, 'alpha one'), (1, 'beta'), (1, 'absent'), (2, 'alpha zero'), (2, 'QUESTION')) v(qid, anchor))"
+_ANCHORS = values("reach")
 query(
     "prompt_ceiling",
     _PROMPTS + f", a AS (SELECT v.qid, anchor, coalesce(bool_or(contains(text, anchor)), false) AS there FROM {_ANCHORS} v LEFT JOIN blocks b ON b.qid = v.qid GROUP BY ALL), r AS (SELECT p.qid, CAST(length(prompt) AS BIGINT) AS chars, count(anchor) AS anchors, count(*) FILTER (there) AS reachable FROM prompts p LEFT JOIN a USING (qid) GROUP BY p.qid, prompt)"
     " SELECT count(*) AS questions, CAST(sum(anchors) AS BIGINT) AS anchors, CAST(sum(reachable) AS BIGINT) AS reachable, CAST(sum(chars) AS BIGINT) AS prompt_chars, CAST(sum(chars) // count(*) // 4 AS BIGINT) AS tokens_each FROM r",
-)(lambda spark, d: evaluation.ceiling_totals(evaluation.ceiling(_prompts(spark, d), _blocks(spark, d), spark.createDataFrame([(1, "alpha one"), (1, "beta"), (1, "absent"), (2, "alpha zero"), (2, "QUESTION")], "qid int, anchor string"))))
+)(lambda spark, d: evaluation.ceiling_totals(evaluation.ceiling(_prompts(spark, d), _blocks(spark, d), frame(spark, "reach"))))
 query(
     "answer_chain",
     _BLOCKS + rf""", p AS (SELECT qid, arg_min(text, rank) FILTER (label = 'S1') AS first, list(label ORDER BY rank) AS labels FROM blocks GROUP BY qid),
@@ -146,7 +146,7 @@ SELECT source_id, CAST(page_no AS INTEGER) AS page_no, CAST(line_no AS INTEGER)
   AND NOT ((line_no = first OR line_no = last) AND regexp_matches(line, '^\s*-?\s*\d{{1,3}}\s*-?\s*$'))
   AND NOT (line_no = first AND EXISTS (SELECT 1 FROM h WHERE h.source_id = k.source_id AND position = 'head' AND h.key = k.key)) AND NOT (line_no = last AND EXISTS (SELECT 1 FROM h WHERE h.source_id = k.source_id AND position = 'foot' AND h.key = k.key))""",
 )(lambda spark, d: pages.strip_furniture(frame(spark, "paged")))
-query("process_opinion")(lambda spark, d: footnotes.process_opinions(frame(spark, "payloads")))
+query("process_opinion", typed=("payloads",))(lambda spark, d: footnotes.process_opinions(frame(spark, "payloads")))
 
 # ---------------------------------------------------------------- chunks, runs
 
@@ -163,7 +163,7 @@ def _grid(spark):
 _SIZE = "coalesce(len({}), 0)"
 query("grid_totals", f"SELECT count(*) FILTER (coalesce(answer, '') <> '') AS answers, CAST(sum(coalesce(citations, 0)) AS BIGINT) AS citations, CAST(sum({_SIZE.format('unknown')}) AS BIGINT) AS fabricated, CAST(sum({_SIZE.format('malformed')}) AS BIGINT) AS malformed FROM {values('grid')}")(lambda spark, d: evaluation.grid_totals(_grid(spark)))
 query("shipping_run", f"SELECT file, k, thinking, count(answer) AS totals FROM {values('grid')} WHERE k = 8 AND thinking = 'low' GROUP BY ALL ORDER BY file LIMIT 1")(lambda spark, d: evaluation.shipping_run(_grid(spark), 8, "low").select("file", "config.*", "totals"))
-query("question_subset", "SELECT unnest(['q9', " + ", ".join(f"'{i}'" for i in evaluation.SUBSETS["controls"]) + "]) AS id")(lambda spark, d: evaluation.wanted_ids(table(spark, d, "benchmark"), ["q9", "controls", "q9"]))
+query("question_subset", typed=("payloads",), sql="SELECT unnest(['q9', " + ", ".join(f"'{i}'" for i in evaluation.SUBSETS["controls"]) + "]) AS id")(lambda spark, d: evaluation.wanted_ids(table(spark, d, "benchmark"), ["q9", "controls", "q9"]))
 query("point_lookup", "SELECT conv_id, turn, text FROM conversations WHERE (conv_id, turn) IN (SELECT conv_id, max(turn) FROM conversations GROUP BY 1)")(
     lambda spark, d: (lambda c: search.by_ids(c.withColumn("chunk_id", F.concat_ws("_", "conv_id", "turn")), c.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"))).select("conv_id", "turn", "text"))(table(spark, d, "conversations"))
 )
@@ -197,12 +197,12 @@ _CHAPTER = (
 )
 
 
-@query("chapter_html")
+@query("chapter_html", typed=("payloads",))
 def _chapter_html(spark, d):
     return markup.extract(spark.createDataFrame([(1, _CHAPTER), (2, "<p>no guidance"), (3, None), (4, "")], "page_id long, html string"), markup.parse_chapter)
 
 
-@query("contents_table")
+@query("contents_table", typed=("payloads",))
 def _contents(spark, d):
     part = lambda title, *chapters: f'<div class="level--3"><ul><li class="level__item--3"><a href="/p">{title}</a></li></ul><ul class="level--4">' + "".join(f'<li class="level__item--4"><a href="/{c}">{c}</a></li>' for c in chapters) + "</ul></div>"
     volume = lambda title: f'<div class="level--2"><div class="level__title"><a href="/v">{title}</a></div></div>'

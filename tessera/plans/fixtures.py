@@ -1,10 +1,15 @@
-"""Inline fixtures: rows for Spark, and the same rows as DuckDB VALUES."""
+"""Inline fixtures: rows for Spark, and the same rows as DuckDB VALUES. Tests run the queries on them; registered queries read the relations of the same names that ``derived`` makes of the tables."""
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions.citations import CASE_NAMES
+from tessera.plans import derived
 
 _FIRST_CASE = next(iter(CASE_NAMES))
 
@@ -150,6 +155,7 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
         "file string, k int, thinking string, answer string, citations int, unknown array<string>, malformed array<string>",
         [("b.json", 8, "low", "a", 3, [], ["m"]), ("b.json", 8, "low", None, None, None, None), ("a.json", 8, "low", "b", 1, ["S9", "S8"], []), ("c.json", 5, "high", "", 0, [], None)],
     ),
+    "reach": ("qid int, anchor string", [(1, "alpha one"), (1, "beta"), (1, "absent"), (2, "alpha zero"), (2, "QUESTION")]),
     "verdict_reports": ("source_id string, footnotes_kept long, footnotes_dropped long", [("a", 3, 1), ("b", 0, 0), ("c", 2, 2)]),
     "question_keys": (
         "id string, source_id string, anchors array<string>, acceptable array<string>",
@@ -170,7 +176,35 @@ FIXTURES: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
+#: Folder of the tables that :func:`frame` reads; none for the typed rows.
+_FOLDER: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextlib.contextmanager
+def over_tables(folder: str) -> Iterator[None]:
+    """Inside, :func:`frame` gives the relations over the tables of ``folder``."""
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+
+
+def used(sql: str) -> set[str]:
+    """The fixtures whose rows stand in ``sql``."""
+    return {name for name in FIXTURES if values(name) in sql}
+
+
+def sql_over_tables(sql: str) -> str:
+    """``sql`` with relations over the tables in place of typed rows."""
+    for name in used(sql):
+        sql = sql.replace(values(name), derived.duck(name))
+    return sql
+
+
 def frame(spark: SparkSession, name: str) -> DataFrame:
+    if folder := _FOLDER.get():
+        return derived.over(spark, folder, name)
     schema, rows = FIXTURES[name]
     return spark.createDataFrame(rows, schema)
 

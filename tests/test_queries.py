@@ -42,22 +42,45 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))
 def test_against_sql(spark, duck, name):
-    got, want = catalogue.QUERIES[name](spark, DATA).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df()
+    same(catalogue.QUERIES[name](spark, DATA).toPandas(), duck.sql(catalogue.ORACLE_SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.CASE_SQL))
+def test_typed_rows_against_sql(spark, duck, name):
+    same(catalogue.CASES[name](spark, DATA).toPandas(), duck.sql(catalogue.CASE_SQL[name]).df())
+
+
+def same(got, want):
     assert sorted(got.columns) == sorted(want.columns)
     assert canon(got) == canon(want)
 
 
 # ---------------------------------------------------------------- queries without SQL, by value
 
-BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "xml_opinions", "process_opinion", "chapter_html", "contents_table", "ann_topk", "ann_recall"}
+BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "ann_topk", "ann_recall"}
+#: On typed rows only: no table holds their markup.
+TYPED = {"xml_opinions", "process_opinion", "chapter_html", "contents_table", "question_subset"}
 
 
 def rows_of(spark, name):
-    return catalogue.QUERIES[name](spark, DATA).collect()
+    return (catalogue.CASES if name in catalogue.CASES else catalogue.QUERIES)[name](spark, DATA).collect()
 
 
 def test_every_query_has_sql_or_values():
     assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == BY_VALUE
+    assert set(catalogue.CASES) - set(catalogue.QUERIES) == TYPED
+
+
+def test_every_query_reads_a_table(spark, monkeypatch):
+    """No registered query runs on typed rows alone."""
+    from tessera.plans import fixtures
+
+    seen = []
+    monkeypatch.setattr(fixtures, "FIXTURES", {})
+    for name in sorted(catalogue.CASES.keys() & catalogue.QUERIES.keys()):
+        files = catalogue.QUERIES[name](spark, DATA).inputFiles()
+        seen.append((name, bool(files)))
+    assert all(there for _, there in seen), [n for n, there in seen if not there]
 
 
 @pytest.fixture(scope="module")
