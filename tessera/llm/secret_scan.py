@@ -30,11 +30,12 @@ from tessera.llm.common import lower_ascii, text_blocks
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: over UTF-8 bytes. ``keep``: whether a match counts; those that don't are dropped."""
+    """``pattern``: over UTF-8 bytes. ``keep``: whether a match counts; those that don't are dropped. ``group``: what of it is the span."""
 
     kind: str
     pattern: str
     keep: Callable[[re.Match], bool] = lambda m: True
+    group: int = 0
 
     def compiled(self) -> re.Pattern:
         return re.compile(self.pattern.encode())
@@ -53,8 +54,8 @@ MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    # begins where its run of characters begins, so a long run is read once
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # looks from the start of a run of characters at what follows it, then for the first eyJ inside: a long run is read once
+    Rule("jwt", r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10})[A-Za-z0-9_-]*?(eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", group=1),
 )
 
 # ---- Boolean trigram queries: None = any, ("tri", bytes), ("and", [..]), ("or", [..])
@@ -212,7 +213,7 @@ def _scan(rules: tuple[Rule, ...], base: int):
                         text = raw[docs[d] : docs[d + 1]]
                         for m in pattern.finditer(text):
                             if rule.keep(m):
-                                found.setdefault(d, []).append((m.start(), k, m.end()))
+                                found.setdefault(d, []).append((m.start(rule.group), k, m.end(rule.group)))
                 counts = np.zeros((3, hi - lo), np.int64)
                 base_sha, spans, n_spans = [none] * (hi - lo), [""] * (hi - lo), np.zeros(hi - lo, np.int64)
                 for d, items in found.items():

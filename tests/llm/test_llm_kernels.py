@@ -151,7 +151,13 @@ def test_long_runs_are_read_once():
     assert took[1] < 40 * took[0] + 0.5
     jwt = next(r for r in secret_scan.MORE_RULES if r.kind == "jwt")
     token = b"eyJ" + b"a" * 20 + b".eyJ" + b"b" * 20 + b"." + b"c" * 20
-    assert [m.group() for m in jwt.compiled().finditer(b"t=" + token + b" x" + token)] == [token]
+    assert [m.group(1) for m in jwt.compiled().finditer(b"t=" + token + b" x" + token + b" a_eyJ-" + token + b" eyJ." + token)] == [token, token, b"eyJ-" + token, token]
+    # as the plain pattern finds them, that reads a run again from each of its beginnings
+    plain = re.compile(rb"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = b"".join(rng.choice([b"eyJ", b"eyJ", b".", b" ", b"a" * 7, b"b" * 10, b".eyJ" + b"c" * 10, token[:24]]) for _ in range(rng.randrange(14)))
+        assert [m.span(1) for m in jwt.compiled().finditer(text)] == [m.span() for m in plain.finditer(text)], text
 
 
 def test_more_rules_add_spans_only():
