@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ann, pacing, prefixes, search, tiles
-from tessera.plans.catalogue import ORACLE_SQL, query, table
+from tessera.operators import ann, chunking, pacing, prefixes, search, tiles
+from tessera.plans.catalogue import ORACLE_SQL, chunk_sql, query, table
 from tessera.session import shared_dir
+from tessera.sources import index_source
 from tessera.streaming import breaker
 
 # ---------------------------------------------------------------- nearest neighbours
@@ -92,3 +93,16 @@ def _breaker_stream(spark, d):
         arrived = spark.readStream.schema("key long, seq long, ts timestamp, failure boolean, slice int").parquet(f"{top}/log").drop("slice")
         breaker.start(arrived, f"{top}/stops", f"{top}/checkpoint").awaitTermination()
     return spark.read.schema(breaker.STOPPED).parquet(f"{top}/stops").select("key", "stop_at")
+
+
+# ---------------------------------------------------------------- the index as a transactional source
+
+
+@query("index_versions", chunk_sql("documents"))
+def _index_versions(spark, d):
+    """Chunks published in two versions; the second is what readers see."""
+    index_source.register(spark)
+    path, docs = shared_dir(spark), table(spark, d, "documents")
+    chunking.chunks(docs.filter("lang = 'en'")).write.format(index_source.NAME).mode("overwrite").save(path)
+    chunking.chunks(docs).write.format(index_source.NAME).mode("overwrite").save(path)
+    return spark.read.format(index_source.NAME).load(path)
