@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ann, chunking, pacing, prefixes, search, tiles
+from tessera.operators import ann, chunking, encoding, evaluation, latent, pacing, prefixes, search, tiles
 from tessera.plans.catalogue import ORACLE_SQL, chunk_sql, query, table
 from tessera.session import shared_dir
 from tessera.sources import index_source
@@ -39,6 +39,32 @@ def _ann_recall(spark, d):
     return ann.recall(_approximate(spark, d), search.search(index, _asked(spark, d)), index.count())
 
 
+# ---------------------------------------------------------------- a learned encoder
+
+#: Dimensions of the latent vectors.
+DIM = 48
+
+
+@query("latent_vectors")
+def _latent_vectors(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", encoding.encoder(latent.encode(latent.fit(docs, DIM)))(F.col("text")).alias("embedding"))
+
+
+@query("latent_recall")
+def _latent_recall(spark, d):
+    """Share of the documents that hold a benchmark item which are among its nearest, by the learned encoder and by the hashing one."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    expected = evaluation.anchor_containment(items.select(F.col("item_id").alias("anchor_id"), F.col("text").alias("anchor")), docs).select(F.col("anchor_id").alias("qid"), F.col("doc_id").alias("vec_id"))
+    out = []
+    for name, run in (("hashing", encoding.hashing), ("latent", latent.encode(latent.fit(docs, DIM)))):
+        encode = encoding.encoder(run)
+        hits = search.search(docs.select(F.col("doc_id").alias("vec_id"), encode(F.col("text")).alias("embedding")), items.select(F.col("item_id").alias("qid"), encode(F.col("text")).alias("embedding")), search.POOL)
+        found = expected.join(hits.select("qid", "vec_id", F.lit(1).alias("hit")), ["qid", "vec_id"], "left")
+        out.append(found.agg(F.count(F.lit(1)).alias("expected"), F.count("hit").alias("found")).select(F.lit(name).alias("encoder"), F.lit(search.POOL).alias("k"), "expected", "found"))
+    return out[0].unionByName(out[1])
+
+
 # ---------------------------------------------------------------- longest prefix
 
 # hosts of even pages and first folders of every third one say something about all urls of their scheme

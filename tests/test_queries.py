@@ -57,7 +57,7 @@ def same(got, want):
 
 # ---------------------------------------------------------------- queries without SQL, by value
 
-BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "ann_topk", "ann_recall"}
+BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "ann_topk", "ann_recall", "latent_vectors", "latent_recall"}
 #: On typed rows only: no table holds their markup.
 TYPED = {"xml_opinions", "process_opinion", "chapter_html", "contents_table", "question_subset"}
 
@@ -201,6 +201,35 @@ def test_approximate_search(spark, duck):
     assert r.probes <= r.cells_read <= r.cells
 
 
+def test_latent(spark, duck):
+    """The learned encoder's leading space is numpy's; recall is counted as by hand."""
+    from tessera.operators import latent
+
+    docs = duck.sql("select doc_id, text from documents order by doc_id").df()
+    model = latent.fit(spark.read.parquet(f"{DATA}/documents.parquet"), catalogue_scale.DIM)
+    a = np.zeros((len(docs), len(model.idf)))
+    for row, t in zip(a, docs.text, strict=True):
+        at, n = latent.counts(t)
+        row[at] = latent.weighted(at, n, model.idf)
+    s = np.linalg.svd(a, compute_uv=False)
+    assert np.allclose(model.values, s[: catalogue_scale.DIM], rtol=0.03)
+    # the whole space holds as much of the matrix as numpy's best does
+    assert np.square(a @ model.vectors).sum() > 0.99 * np.square(s[: catalogue_scale.DIM]).sum()
+    got = {r.doc_id: np.array(r.embedding) for r in rows_of(spark, "latent_vectors")}
+    want = latent.encode(model)(docs.text.tolist())
+    assert all(np.allclose(got[i], w, atol=1e-4) for i, w in zip(docs.doc_id, want, strict=True))
+    rows = {r.encoder: r for r in rows_of(spark, "latent_recall")}
+    items = duck.sql("select item_id, text from benchmark order by item_id").df()
+    held = duck.sql("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)").fetchall()
+    for name, run in (("hashing", hashing), ("latent", latent.encode(model))):
+        scores = np.round(run(items.text.tolist()).astype(float) @ run(docs.text.tolist()).astype(float).T, 6)
+        least = {q: np.sort(row)[::-1][19] for q, row in zip(items.item_id, scores, strict=True)}
+        at = {d: i for i, d in enumerate(docs.doc_id)}
+        sure = sum(scores[list(items.item_id).index(q), at[d]] > least[q] for q, d in held)
+        tied = sum(scores[list(items.item_id).index(q), at[d]] >= least[q] - 1e-6 for q, d in held)
+        assert rows[name].expected == len(held) and sure <= rows[name].found <= tied
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())

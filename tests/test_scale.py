@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import anchors, ann, pacing, prefixes, tiles
+from tessera.operators import anchors, ann, latent, pacing, prefixes, tiles
 from tessera.session import shared_dir
 from tessera.streaming import breaker
 
@@ -207,3 +207,45 @@ def test_breaker_stream_timer(spark):
     assert streamed(spark, busy, limit=3, idle_s=60)[-1] == [(1, 3)]
     after = [*quiet[:4], [(9, 9, at(710), False)]]
     assert streamed(spark, after, limit=3, idle_s=60)[-1] == [] and streamed(spark, after, limit=3)[-1] == [(1, 3)]
+
+
+# ---------------------------------------------------------------- the learned encoder
+
+
+def dense(texts, model_idf):
+    a = np.zeros((len(texts), len(model_idf)))
+    for row, t in zip(a, texts, strict=True):
+        at, n = latent.counts(t, len(model_idf))
+        if at:
+            row[at] = latent.weighted(at, n, model_idf)
+    return a
+
+
+def test_latent_equals_numpy(spark, monkeypatch):
+    """Singular values and vectors of a matrix with a clear spectrum, as numpy finds them; small blocks, odd texts."""
+    monkeypatch.setattr(latent, "BLOCK_FLOATS", 1)
+    rng = random.Random(2)
+    topics = [[f"t{k}w{i}" for i in range(30)] for k in range(6)]
+    texts = [" ".join(rng.choice(topics[k]) for _ in range(5 + 10 * (6 - k)) for _ in range(1)) + " shared" for k in range(6) for _ in range(40 - 6 * k)]
+    texts += [None, "", "...", texts[0], "Ünder ünder"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("weight", F.lit("clash")).repartition(5)
+    model = latent.fit(docs, 5, passes=30, buckets=512)
+    want_df = np.zeros(512)
+    for t in texts:
+        want_df[latent.counts(t, 512)[0]] += 1
+    total = sum(bool(latent.counts(t, 512)[0]) for t in texts)
+    assert total == len(texts) - 3 and np.allclose(model.idf, np.log((1 + total) / (1 + want_df)) + 1)
+    a = dense(texts, model.idf)
+    _, s, vt = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(model.values, s[:5], rtol=1e-6)
+    assert np.allclose(model.vectors.T @ model.vectors, np.eye(5), atol=1e-9)
+    assert np.allclose(np.abs(np.diag(vt[:5] @ model.vectors)), 1, atol=1e-4)
+    assert (model.vectors[np.abs(model.vectors).argmax(0), np.arange(5)] > 0).all()
+    got = latent.encode(model)(texts)
+    want = a @ model.vectors
+    norm = np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(got, want / np.where(norm == 0, 1, norm), atol=1e-5)
+    assert not got[-5:-2].any()
+    few = latent.fit(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string"), 5, buckets=64)
+    assert len(few.values) == 1
+    assert latent.fit(docs.limit(0), 5) is None
