@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import ann, chunking, encoding, evaluation, latent, pacing, prefixes, search, tiles
+from tessera.operators import ann, chunking, encoding, evaluation, latent, pacing, pages, prefixes, search, tiles
+from tessera.plans import derived
 from tessera.plans.catalogue import ORACLE_SQL, chunk_sql, query, table
 from tessera.session import shared_dir
 from tessera.sources import index_source
@@ -132,3 +133,12 @@ def _index_versions(spark, d):
     chunking.chunks(docs.filter("lang = 'en'")).write.format(index_source.NAME).mode("overwrite").save(path)
     chunking.chunks(docs).write.format(index_source.NAME).mode("overwrite").save(path)
     return spark.read.format(index_source.NAME).load(path)
+
+
+# ---------------------------------------------------------------- pages in rows of their own
+
+
+@query("clean_pages")
+def _clean_pages(spark, d):
+    """The pages of the derived documents, a row each, cleaned with what their documents' other pages say."""
+    return pages.clean_pages(pages.pages(derived.over(spark, d, "paged")))

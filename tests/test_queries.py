@@ -57,7 +57,7 @@ def same(got, want):
 
 # ---------------------------------------------------------------- queries without SQL, by value
 
-BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "ann_topk", "ann_recall", "latent_vectors", "latent_recall"}
+BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "ann_topk", "ann_recall", "latent_vectors", "latent_recall", "clean_pages"}
 #: On typed rows only: no table holds their markup.
 TYPED = {"xml_opinions", "process_opinion", "chapter_html", "contents_table", "question_subset"}
 
@@ -131,6 +131,15 @@ def test_clean_paged(spark):
     assert (got["p4"].lines, got["p4"].pages) == ([], 2)
 
 
+def test_clean_pages(spark):
+    """Pages in rows of their own come out as their documents in one row each."""
+    want = {r.source_id: r for r in catalogue.QUERIES["clean_paged"](spark, DATA).collect()}
+    got = collections.defaultdict(list)
+    for r in sorted(rows_of(spark, "clean_pages"), key=lambda r: r.page_no):
+        got[r.source_id].append(r)
+    assert {s: ([x for r in rs for x in r.lines], len(rs), sum(len(r.notes) for r in rs)) for s, rs in got.items()} == {s: (r.lines, r.pages, r.footnotes) for s, r in want.items()}
+
+
 def test_html(spark, duck):
     got = {r.page_id: r for r in rows_of(spark, "html_extract")}
     pages = duck.sql("select page_id, html from pages").fetchall()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import anchors, ann, latent, pacing, prefixes, tiles
+from tessera.operators import anchors, ann, latent, pacing, pages, prefixes, tiles
 from tessera.session import shared_dir
 from tessera.streaming import breaker
 
@@ -249,3 +249,37 @@ def test_latent_equals_numpy(spark, monkeypatch):
     few = latent.fit(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string"), 5, buckets=64)
     assert len(few.values) == 1
     assert latent.fit(docs.limit(0), 5) is None
+
+
+# ---------------------------------------------------------------- pages in rows of their own
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_pages_in_rows(spark, partitions):
+    """As the documents in one row each: running heads, margin numbers, and notes whose numbers go on over pages and ranges."""
+    rng = random.Random(partitions)
+
+    def page(i):
+        lines = [f"No. 22 Page {i}" if rng.random() < 0.8 else "", *(rng.choice(["", "words of a line that is hy-", "more words", "_____", f"{rng.randrange(1, 9)} note text", f" {rng.randrange(1, 5)}", "12"]) for _ in range(rng.randrange(9))), f"  {i}" if rng.random() < 0.5 else "end"]
+        return "\n".join(lines)
+
+    docs = [(f"d{k}", "\f".join(page(i) for i in range(rng.randrange(1, 30)))) for k in range(14)]
+    docs += [("hot", "\f".join(f"body {'abcdefg'[n % 7] * n}\n{n} a note\nmore {'hijk'[n % 4] * n}" for n in range(1, 101))), ("margins", "\f".join("\n".join(f" {i}   line {i}" for i in range(1, 9)) for _ in range(3))), ("null", None), ("blank", "\n\f \n"), ("one", "x")]
+    df = spark.createDataFrame(docs, "source_id string, text string")
+    table = pages.pages(df.fillna("", "text")).withColumn("lines", F.lit("clash")).repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted(pages.clean_pages(table).collect(), key=lambda r: (r.source_id, r.page_no))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {r.source_id: r for r in pages.clean(df).collect()}
+    assert {r.source_id for r in got} == set(want)
+    for source, w in want.items():
+        mine = [r for r in got if r.source_id == source]
+        assert [x for r in mine for x in r.lines] == w.lines, source
+        assert [n for r in mine for n in r.notes] == list(range(1, w.footnotes + 1))
+        assert [r.page_no for r in mine] == list(range(w.pages))
+    assert want["hot"].footnotes == 99
