@@ -119,6 +119,7 @@ SELECT doc_id, doc_id || '_' || chunk_index AS chunk_id, chunk_index, chunk_tota
 query("chunk_full", chunk_sql("documents"))(lambda spark, d: chunking.chunks(table(spark, d, "documents")))
 query("chunk_sections", chunk_sql(values("headed")))(lambda spark, d: chunking.chunks(frame(spark, "headed")))
 query("flagship_retrieve")(flagship.retrieve)
+query("flagship_scores")(flagship.scores)
 
 
 @query("chunks_by_source", _CHUNKS + "SELECT source, CAST(count(*) AS BIGINT) AS chunks, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM c JOIN documents USING (doc_id) GROUP BY source")

@@ -57,7 +57,7 @@ def same(got, want):
 
 # ---------------------------------------------------------------- queries without SQL, by value
 
-BY_VALUE = {"flagship_retrieve", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "ann_topk", "ann_recall", "latent_vectors", "latent_recall", "clean_pages"}
+BY_VALUE = {"flagship_retrieve", "flagship_scores", "answer_questions", "clean_paged", "html_extract", "html_unhandled", "ann_topk", "ann_recall", "latent_vectors", "latent_recall", "clean_pages"}
 #: On typed rows only: no table holds their markup.
 TYPED = {"xml_opinions", "process_opinion", "chapter_html", "contents_table", "question_subset"}
 
@@ -108,6 +108,33 @@ def test_flagship(spark, brute):
             assert r.window_text == "\n".join(texts[c.doc_id, i] for i in range(c.chunk_index - 1, c.chunk_index + 2) if (c.doc_id, i) in texts)
 
 
+def test_flagship_scores(spark, duck, brute):
+    """The scores of the search itself, against the whole ranking by numpy."""
+    ids, chunks, _ = brute
+    items = dict(duck.sql("select item_id, text from benchmark").fetchall())
+    held = collections.defaultdict(set)
+    for q, d in duck.sql("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)").fetchall():
+        held[q].add(d)
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+    scores = np.round(unit(hashing([items[i] for i in ids]).astype(float)) @ unit(hashing(chunks.text.tolist()).astype(float)).T, 9)
+    texts = {(r.doc_id, r.chunk_index): r.text for r in chunks.itertuples()}
+    got = {r.qid: r for r in rows_of(spark, "flagship_scores")}
+    assert sorted(got) == sorted(held)
+    for q, r in got.items():
+        order = np.lexsort((chunks.chunk_index, chunks.doc_id, -scores[ids.index(q)]))[:20]
+        pool = [(chunks.doc_id[i], chunks.chunk_index[i]) for i in order]
+        docs = [d for d, _ in pool]
+        assert r.ranked == docs[:8] and r.expected == sorted(held[q])
+        assert [r[f"recall_{k}"] for k in (1, 3, 5, 8, 10)] == [round(len(held[q] & set(docs[:k])) / len(held[q]), 6) for k in (1, 3, 5, 8, 10)]
+        assert r.first_rank == next((i for i, d in enumerate(docs, 1) if d in held[q]), None)
+        assert (r.hit, r.found) == (bool(held[q] & set(docs[:8])), sorted(held[q] & set(docs[:8])))
+        assert r.off_target == [d for d in docs[:8] if d not in held[q]]
+        assert r.anchors_in_chunk == any(items[q] in texts[c] for c in pool[:8])
+        assert r.anchors_in_window == any(items[q] in texts.get((d, i + j), "") for d, i in pool[:8] for j in (-1, 0, 1))
+        assert (r.anchors, r.missing_anchors) == (1, [] if r.anchors_in_window else [items[q]])
+        assert r.crowding == max(collections.Counter(docs[:8]).values())
+
+
 def test_answer_questions(spark, brute):
     ids, chunks, scores = brute
     got = {r.qid: r for r in rows_of(spark, "answer_questions")}
