@@ -43,7 +43,8 @@ class ChangedIndex(RuntimeError):
     """Another job has published a version since this one began."""
 
 
-def _files(path: str) -> tuple[fs.FileSystem, str]:
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and the folder in it, in tasks as on the driver."""
     if path.startswith("file:"):
         path = "/" + path[len("file:") :].lstrip("/")
     system, root = fs.FileSystem.from_uri(path)
@@ -67,14 +68,14 @@ def _replace(system: fs.FileSystem, path: str, content: bytes) -> None:
 
 def current(path: str) -> dict | None:
     """The manifest in force: version, schema, files (name, rows, bounds); None before the first commit."""
-    system, root = _files(path)
+    system, root = filesystem(path)
     version = _read(system, f"{root}/{_POINTER}")
     return None if version is None else json.loads(_read(system, f"{root}/manifests/{version.decode()}.json"))
 
 
 def vacuum(path: str) -> int:
     """Delete data files and manifests that the version in force doesn't need; the number of files deleted. No job may be writing."""
-    system, root = _files(path)
+    system, root = filesystem(path)
     manifest = current(path)
     keep = {f["name"] for f in manifest["files"]} if manifest else set()
     gone = 0
@@ -116,7 +117,7 @@ class IndexWriter(DataSourceArrowWriter):
             raise ValueError("append: columns differ from those of the index")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, root = _files(self.path)
+        system, root = filesystem(self.path)
         task = TaskContext.get()
         name = f"data/{self.job}/part-{task.partitionId():06d}-{task.taskAttemptId()}.parquet"
         out, rows, bounds = None, 0, {}
@@ -136,7 +137,7 @@ class IndexWriter(DataSourceArrowWriter):
         return Written(name, rows, bounds)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, root = _files(self.path)
+        system, root = filesystem(self.path)
         manifest = current(self.path)
         if (manifest["version"] if manifest else None) != self.base:
             self.abort(messages)
@@ -148,7 +149,7 @@ class IndexWriter(DataSourceArrowWriter):
         _replace(system, f"{root}/{_POINTER}", self.job.encode())
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, root = _files(self.path)
+        system, root = filesystem(self.path)
         if system.get_file_info(f"{root}/data/{self.job}").type == fs.FileType.Directory:
             system.delete_dir(f"{root}/data/{self.job}")
 
@@ -190,7 +191,7 @@ class IndexReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None or partition.value is None:
             return
-        system, root = _files(self.path)
+        system, root = filesystem(self.path)
         schema = to_arrow_schema(self.schema)
         with system.open_input_file(f"{root}/{partition.value}") as f:
             for batch in pq.ParquetFile(f).iter_batches(batch_size=4_096, columns=schema.names):
