@@ -1,11 +1,16 @@
 """Token counts by a separator scan over flat token files.
 
 A flat file is nothing but token ids, little-endian uint16, documents ended by the
-end id and no index. ``write_flat`` stores each shard's stream as consecutive raw
-blocks of ``BLOCK_IDS`` ids; documents run across blocks. ``count`` finds the end
-ids of each block with one vectorised comparison; a prefix scan over the blocks'
-summaries (ids, end ids, place of the last end id) stitches the documents that
-cross blocks. ``flat_files`` reads the same bytes from plain files.
+end id and no index. ``write_flat`` writes one stream per task, cut into files of
+``FILE_IDS`` ids wherever a document stands; documents run across files and blocks.
+``flat_files`` reads files of that kind as raw blocks of ``BLOCK_IDS`` ids. ``count``
+finds the end ids of each block with one vectorised comparison; a prefix scan over the
+blocks' summaries (ids, end ids, place of the last end id) stitches the documents that
+cross blocks.
+
+Files are named by task and attempt; which attempt counts is known from a table of the
+documents' ids in order, which Spark commits. What a lost attempt has written is a
+stream that no id belongs to.
 
 The end id must not occur in a text's own ids, so it lies above the vocabulary
 (65535; a text may hold the string of the vocabulary's own end token, which then
@@ -20,61 +25,65 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import tokens
 from tessera.llm.common import saved, scratch_dir, text_blocks
+from tessera.sources.index_source import filesystem
 
-#: Ids in a block.
-BLOCK_IDS = 1 << 19
+#: Ids in a block, blocks in a file of a stream.
+BLOCK_IDS, FILE_BLOCKS = 1 << 19, 16
 END_ID = 65535
 
 
-def _blocks(path: str, end: int, block: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs_of, null_of, number, shard, n = [], [], [], 0, 0, 0
-
-        def row(ids: np.ndarray) -> pa.RecordBatch:
-            nonlocal number, docs_of, null_of
-            docs = np.concatenate(docs_of) if docs_of else np.zeros(0, np.int64)
-            null = np.concatenate(null_of) if null_of else np.zeros(0, bool)
-            out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([number], pa.int32()), pa.array([ids.astype("<u2").tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), pa.array(docs, pa.int64(), mask=null))], ["shard", "block", "data", "doc_ids"])
-            docs_of, null_of, number = [], [], number + 1
-            return out
+def _streams(folder: str, path: str, end: int, size: int):
+    """Write a task's ids as flat files of ``size`` ids; yields shard, part, doc_ids: its documents in order."""
 
-        for batch in batches:
-            shard = batch.column(2)[0].as_py() if batch.num_rows else shard
-            key = batch.column(0)
-            null = key.is_null().to_numpy(zero_copy_only=False)
-            key = key.fill_null(0).to_numpy()
-            for lo, hi, data, docs in text_blocks(batch, limit=tokens.BLOCK_BYTES):
-                ids, _ = tokens.append_end(*tokens.encode_block(data, docs, path), end)
-                docs_of.append(key[lo:hi])
-                null_of.append(null[lo:hi])
-                held.append(ids)
-                n += len(ids)
-                if n >= block:
-                    joined = np.concatenate(held)
-                    for at in range(0, n - block + 1, block):
-                        yield row(joined[at : at + block])
-                    held = [joined[n - n % block :]]
-                    n %= block
-        if n or docs_of:
-            yield row(np.concatenate(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, part = TaskContext.get(), 0
+        shard = f"{task.partitionId():06d}-{task.taskAttemptId()}"
+        system, root = filesystem(folder)
+        files, out, room = 0, None, 0
+        try:
+            for batch in batches:
+                for lo, hi, data, docs in text_blocks(batch, limit=tokens.BLOCK_BYTES):
+                    ids, _ = tokens.append_end(*tokens.encode_block(data, docs, path), end)
+                    raw = memoryview(ids.astype("<u2")).cast("B")
+                    while len(raw):
+                        if not room:
+                            if out is not None:
+                                out.close()
+                            system.create_dir(root)
+                            out, files, room = system.open_output_stream(f"{root}/{shard}-{files:06d}.bin"), files + 1, 2 * size
+                        out.write(raw[:room])
+                        raw, room = raw[room:], max(0, room - len(raw))
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([part], pa.int32()), pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), batch.column(0).slice(lo, hi - lo))], ["shard", "part", "doc_ids"])
+                    part += 1
+        finally:
+            if out is not None:
+                out.close()
 
     return run
 
 
 def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int = END_ID, block: int = BLOCK_IDS) -> DataFrame:
-    """Write the ids of ``docs`` (doc_id, text); ``doc_ids`` lists the documents in order, without places.
+    """Write the ids of ``docs`` (doc_id, text) to flat files in ``folder``/ids; shard, part, doc_ids: the documents of each stream in order, without places.
 
-    A shard is an input partition in its own order, so nothing is shuffled.
+    A stream is an input partition in its own order, so nothing is shuffled.
     """
     if tokens.load(vocabulary).get_vocab_size() > end:
         raise ValueError("the end id is one of the vocabulary's")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.spark_partition_id().alias("shard")).mapInArrow(_blocks(vocabulary, end, block), "shard int, block int, data binary, doc_ids array<long>")
-    return saved(rows, folder)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_streams(f"{folder}/ids", vocabulary, end, block * FILE_BLOCKS), "shard string, part int, doc_ids array<long>")
+    return saved(rows, f"{folder}/documents")
+
+
+def streams(files: DataFrame) -> DataFrame:
+    """Blocks of :func:`flat_files` with the stream as their shard, numbered through its files."""
+    name = r"([0-9]+-[0-9]+)-([0-9]+)\.bin$"
+    place = F.regexp_extract("shard", name, 2).cast("int") * FILE_BLOCKS + F.col("block")
+    return files.select(F.regexp_extract("shard", name, 1).alias("shard"), place.alias("block"), "data")
 
 
 def _cut_files(block: int):
@@ -120,7 +129,11 @@ def count(blocks: DataFrame, end: int = END_ID) -> DataFrame:
 
 def op3(spark: SparkSession, docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Token counts of all documents, counted in flat files written from them."""
-    blocks = write_flat(docs, scratch_dir(spark), vocabulary or tokens.vocabulary_path())
-    over = "(partition by shard order by block rows between unbounded preceding and 1 preceding)"
-    names = blocks.selectExpr("shard", "block", "doc_ids", f"coalesce(sum(size(doc_ids)) over {over}, 0) as first").selectExpr("shard", "first", "posexplode(doc_ids) as (i, doc_id)").selectExpr("shard", "first + i as ordinal", "doc_id")
-    return count(blocks).join(names, ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal", "start", "ended")
+    folder = scratch_dir(spark)
+    written = write_flat(docs, folder, vocabulary or tokens.vocabulary_path())
+    if written.isEmpty():
+        return spark.createDataFrame([], "doc_id long, n_tokens long, shard string, ordinal long, start long, ended boolean")
+    over = "(partition by shard order by part rows between unbounded preceding and 1 preceding)"
+    names = written.selectExpr("shard", "doc_ids", f"coalesce(sum(size(doc_ids)) over {over}, 0) as first").selectExpr("shard", "first", "posexplode(doc_ids) as (i, doc_id)").selectExpr("shard", "first + i as ordinal", "doc_id")
+    counted = count(streams(flat_files(spark, f"{folder}/ids")))
+    return counted.join(names, ["shard", "ordinal"]).select("doc_id", "n_tokens", "shard", "ordinal", "start", "ended")

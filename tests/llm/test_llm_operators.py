@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import chat, decontaminate, exact_dedup, langid, near_dedup, packing, quality, queries, secret_scan, token_counts, token_files, tokens
+from tessera.llm import chat, common, decontaminate, exact_dedup, langid, near_dedup, packing, quality, queries, secret_scan, token_counts, token_files, tokens
 from tessera.llm.common import is_held_out
 
 DATA = "/root/testdata/sf0.001"
@@ -113,6 +114,24 @@ def test_flat_files_stitch_blocks(spark, tmp_path):
         assert [r.start for r in got] == np.cumsum([0, *(n + 1 for n in sizes)]).tolist()
 
 
+def test_flat_streams(spark, monkeypatch):
+    """Streams of many small files hold exactly the ids; a lost attempt's files don't matter; the plan reads the files."""
+    monkeypatch.setattr(token_counts, "FILE_BLOCKS", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").repartition(3)
+    folder = common.scratch_dir(spark)
+    written = token_counts.write_flat(docs, folder, tokens.vocabulary_path(), block=1000).collect()
+    files = sorted((Path(folder) / "ids").iterdir())
+    assert all(f.stat().st_size <= 4000 for f in files) and len(files) > 3 * 5
+    want = {r.doc_id: np.append(ids_of(r.text, 0)[:-1], token_counts.END_ID) for r in docs.collect()}
+    for shard in {r.shard for r in written}:
+        stream = np.concatenate([np.frombuffer(f.read_bytes(), "<u2") for f in files if f.name.startswith(f"{shard}-")])
+        assert np.array_equal(stream, np.concatenate([want[d] for r in sorted(r for r in written if r.shard == shard) for d in r.doc_ids]))
+    (Path(folder) / "ids" / "000000-999-000000.bin").write_bytes(files[0].read_bytes())
+    got = token_counts.count(token_counts.streams(token_counts.flat_files(spark, f"{folder}/ids", 1000)))
+    assert collections.Counter(r.n_tokens for r in got.filter("shard <> '000000-999'").collect()) == collections.Counter(len(x) - 1 for x in want.values())
+    assert "binaryFile" in token_counts.op3(spark, docs)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quality(spark, docs):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.op4(docs, labels).join(labels, "doc_id").toPandas()
