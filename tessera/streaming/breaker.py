@@ -13,14 +13,19 @@ sorted by (ts, seq) in one task, so the source's options bound what that holds
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tessera.operators.ingest import BREAKER_LIMIT
 
+# the worker that plans a stateful stream doesn't get the files that the session ships, so the processor travels whole
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STOPPED = "key long, stop_at long, stopped timestamp"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
