@@ -21,8 +21,10 @@ become one class. Then, over class representatives:
    ``i >= 3/7 (n_a + n_b)`` in common; c of a document's shingles are held by another
    component too, and i is at most the lesser c. A shingle is common if more than ``SMALL``
    of these documents hold it. A link either shares an uncommon shingle, which is
-   found by joining the prefixes of the uncommon ones (the rarest first), or lies
-   within the common ones, h of each, and then i is at most the lesser h. Pairs of that
+   found by joining the prefixes of the uncommon ones (the rarest first), with two bounds on
+   i: what is left of both sets from the shingle on, as at the first that they share all of i
+   still comes, and the bits in which the sets' signatures differ, which their symmetric
+   difference, 1/7 (n_a + n_b) at most, must cover. Or it lies within the common ones, h of each, and then i is at most the lesser h. Pairs of that
    kind are formed within buckets. They depend on nothing but the common shingles and n, so
    one document stands for all of its component with the same ones, and few pairs are
    within the bound.
@@ -53,6 +55,8 @@ SHINGLE_WORDS, BANDS, ROWS = 5, 48, 5
 PERCENT = 75
 #: Holders of a shingle up to which pairs are formed among all of them.
 SMALL = 128
+#: Columns of a set's signature, 64 bits each; they travel with every shingle of a prefix, and tell small sets apart.
+SIGNATURE = ("x0", "x1")
 
 _U = np.uint64
 
@@ -115,13 +119,24 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(sig, pa.binary()), lists], ["doc_id", "part", "n", "sig", "keys"])
 
 
+def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(documents, words of 64 bits): whether an odd number of shingles falls on each bit. Two of them differ in as many bits as the sets in elements at most."""
+    n, bits = len(offsets) - 1, 64 * len(SIGNATURE)
+    at = np.repeat(np.arange(n, dtype=np.int64) * bits, np.diff(offsets)) + (sets % _U(bits)).astype(np.int64)
+    odd = np.bincount(at, minlength=n * bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(n, len(SIGNATURE))
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, s."""
+    """id, text -> id, s, signature."""
     for batch in batches:
         for lo, hi, data, docs in text_blocks(batch):
             sets, off = shingle_sets(data, docs)
             lists = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["id", "s"])
+            for a in range(0, hi - lo, 2000):  # bounds the counts of bits
+                b = min(hi - lo, a + 2000)
+                sig = signatures(sets[off[a] : off[b]], off[a : b + 1] - off[a])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), lists.slice(a, b - a), *(pa.array(sig[:, i].copy()) for i in range(len(SIGNATURE)))], ["id", "s", *SIGNATURE])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
@@ -163,12 +178,14 @@ def _rest(sets: DataFrame, buckets: DataFrame, comps: DataFrame, folder: str) ->
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * PERCENT / 100) - F.col("h"))
     prefix = F.transform(F.slice("rare", 1, F.greatest(F.lit(0), F.size("rare") - needed + 1).cast("int")), lambda x: x["g"])
     told = told.select("id", "n", "c", "h", prefix.alias("prefix"), F.struct(F.xxhash64("core"), F.hash("core"), F.size("core")).alias("core"))
-    known = saved(nodes.join(told, "id"), f"{folder}/known")
+    known = saved(nodes.join(told, "id").join(sets.select("id", *SIGNATURE), "id"), f"{folder}/known")
 
-    # pairs with an uncommon shingle in common
-    rare = known.select("id", "comp", "n", "c", F.explode("prefix").alias("g"))
-    side = lambda x: rare.selectExpr("g", *(f"{k} as {k}_{x}" for k in ("id", "comp", "n", "c")))
-    rare = side("a").join(side("b"), "g").filter(f"id_a < id_b and comp_a <> comp_b and n_a <= {_most_shared('n_b', 'least(c_a, c_b)')}").selectExpr("id_a as a", "id_b as b").distinct()
+    # pairs with an uncommon shingle in common: at the first of these, what is left of both must do
+    rare = known.select("id", "comp", "n", "c", *SIGNATURE, F.posexplode("prefix").alias("p", "g"))
+    side = lambda x: rare.selectExpr("g", f"c - p as left_{x}", *(f"{k} as {k}_{x}" for k in ("id", "comp", "n", *SIGNATURE)))
+    apart = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in SIGNATURE)
+    enough = f"{100 + PERCENT} * least(left_a, left_b) >= {PERCENT} * (n_a + n_b) and {100 + PERCENT} * ({apart}) <= {100 - PERCENT} * (n_a + n_b)"
+    rare = side("a").join(side("b"), "g").filter(f"id_a < id_b and comp_a <> comp_b and {enough}").selectExpr("id_a as a", "id_b as b").distinct()
 
     # pairs that have only common shingles in common
     top, size = _most_shared("n", "h"), lambda n: f"cast(floor(ln({n}) * 100) as int)"
@@ -195,7 +212,7 @@ def link_components(docs: DataFrame, nodes: DataFrame, folder: str) -> DataFrame
     buckets = saved(rows.join(keys, ["key", "salt"]), f"{folder}/buckets")
     company = saved(buckets.groupBy("id").agg(F.sum("rows").alias("company")), f"{folder}/company")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(company.select("id"), "id", "left_semi")
-    sets = saved(texts.mapInArrow(_sets, "id long, s array<long>"), f"{folder}/sets")
+    sets = saved(texts.mapInArrow(_sets, "id long, s array<long>" + "".join(f", {x} long" for x in SIGNATURE)), f"{folder}/sets")
 
     leaders = buckets.join(company, "id").groupBy("key").agg(F.max(F.struct("company", F.col("id"))).alias("lead"), F.max("salt").alias("salts"))
     led = buckets.join(salted(leaders, F.col("salts") > 0).select("key", "salt", F.col("lead.id").alias("lead")), ["key", "salt"])
