@@ -8,7 +8,7 @@ from tessera.functions import citations as C
 from tessera.functions import text as T
 from tessera.operators import answers, chunking, evaluation, footnotes, ingest, markup, pages, scoring, search, windows
 from tessera.operators.encoding import encoder
-from tessera.plans import answering
+from tessera.plans import answering, flagship
 from tessera.plans import catalogue as base
 from tessera.plans.catalogue import query, table
 from tessera.plans.fixtures import frame, values
@@ -79,7 +79,7 @@ def _answer_questions(spark, d):
     """The whole chain over the documents: chunks, vectors, search for the benchmark items, blocks, prompt, answer, citation check."""
     encode, none = encoder(), F.lit(None).cast("string")
     chunks = base.saved_chunks(spark, d)
-    index = chunks.select((F.shiftleft("doc_id", 20) + F.col("chunk_index")).alias("vec_id"), F.col("doc_id").alias("source_id"), "chunk_index", "chunk_total", "text", "section", "footnote_numbers", encode(F.col("text")).alias("embedding"))
+    index = chunks.select(flagship.place_id(F.col("doc_id"), F.col("chunk_index")).alias("vec_id"), F.col("doc_id").alias("source_id"), "chunk_index", "chunk_total", "text", "section", "footnote_numbers", encode(F.col("text")).alias("embedding"))
     index = index.withColumns({"source_type": none, "title": F.concat(F.lit("Document "), F.col("source_id").cast("string")), "citation": none, "court_id": none, "date": none, "url": none})
     questions = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
     return answering.answer_questions(index, questions, encode)[0].select("qid", "answer", "degraded_category", "labels", "cited", "unknown", "malformed", "citations")

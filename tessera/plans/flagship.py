@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import chunking, encoding, evaluation, scoring, search, windows
@@ -28,12 +28,17 @@ def chunk_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return spark.read.parquet(sinks.rebuild_index(chunking.chunks(dealt(docs.select("doc_id", "text"))), f"{shared_dir(spark)}/chunks"))
 
 
+def place_id(doc_id: Column, chunk_index: Column) -> Column:
+    """doc_id and place in one number; raises where an id needs 44 bits or a document has 2^20 chunks, as numbers would meet."""
+    fits = (F.abs(doc_id) < F.lit(1 << 43)) & (chunk_index < 1 << 20)
+    return F.when(fits, F.shiftleft(doc_id, 20) + chunk_index).otherwise(F.raise_error(F.lit("no room for doc_id and chunk_index in one number")).cast("long"))
+
+
 def placed_hits(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
     """((qid, rank, vec_id, score, chunk_id, source_id, chunk_index, chunk_total) of every benchmark item's ``k`` nearest chunks, the chunks); equal scores rank by document and chunk."""
     encode = encoding.encoder()
     chunks = chunk_table(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    # doc_id and place in one number: chunk_index needs fewer than 2^20 values
-    own = chunks.withColumn("vec_id", F.shiftleft("doc_id", 20) + F.col("chunk_index"))
+    own = chunks.withColumn("vec_id", place_id(F.col("doc_id"), F.col("chunk_index")))
     index = own.select("vec_id", encode(F.col("text")).alias("embedding"))
     queries = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("qid"), encode(F.col("text")).alias("embedding"))
     hits = search.search(index, queries, k)

@@ -108,6 +108,18 @@ def test_flagship(spark, brute):
             assert r.window_text == "\n".join(texts[c.doc_id, i] for i in range(c.chunk_index - 1, c.chunk_index + 2) if (c.doc_id, i) in texts)
 
 
+def test_place_id(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.plans.flagship import place_id
+
+    ids = lambda *rows: [r[0] for r in spark.createDataFrame(list(rows), "d long, c int").select(place_id(F.col("d"), F.col("c"))).collect()]
+    assert ids((1, 2), (-1, 0), ((1 << 43) - 1, (1 << 20) - 1)) == [(1 << 20) + 2, -(1 << 20), (1 << 63) - 1]
+    for row in ((1 << 43, 0), (0, 1 << 20)):
+        with pytest.raises(Exception, match="no room"):
+            ids(row)
+
+
 def test_flagship_scores(spark, duck, brute):
     """The scores of the search itself, against the whole ranking by numpy."""
     ids, chunks, _ = brute
