@@ -486,7 +486,7 @@ def test_registry(spark):
     assert {n.split("_")[0] for n in queries.QUERIES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
     assert set(queries.QUERIES) <= names
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         want = con.execute(sql)
