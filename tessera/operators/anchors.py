@@ -31,7 +31,8 @@ BROADCAST_BYTES = 32 << 20
 _WHITE = r"[\s\p{Z}]"
 
 
-def _saved(df: DataFrame, path: str) -> DataFrame:
+def saved(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read back."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -62,28 +63,28 @@ def seeds(anchors: DataFrame, docs: DataFrame, folder: str) -> tuple[DataFrame,
     """((anchor_id, anchor, gram): the rarest gram of each anchor that has one, sizes of the grams); anchors in no document are gone."""
     inner = anchors.select("anchor_id", "anchor", inner_words(F.col("anchor")).alias("_w")).withColumn("size", F.least(F.size("_w"), F.lit(GRAM))).filter("size > 0")
     of_size = F.when(F.col("size") == 1, grams(F.col("_w"), 1)).when(F.col("size") == 2, grams(F.col("_w"), 2)).otherwise(grams(F.col("_w"), GRAM))
-    own = _saved(inner.select("anchor_id", "anchor", "size", F.explode(of_size).alias("gram")), f"{folder}/grams")
+    own = saved(inner.select("anchor_id", "anchor", "size", F.explode(of_size).alias("gram")), f"{folder}/grams")
     sizes = sorted(r[0] for r in own.select("size").distinct().collect())
     if not sizes:
         return None
-    wanted = _saved(own.select("gram").distinct(), f"{folder}/wanted")
+    wanted = saved(own.select("gram").distinct(), f"{folder}/wanted")
     seen = _all_grams(docs, sizes).join(wanted, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("documents"))
     # a gram that no document holds says that none contains the anchor
     counted = own.join(seen, "gram", "left").groupBy("anchor_id", "anchor").agg(F.min(F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), F.col("gram"))).alias("s"))
-    return _saved(counted.filter("s.documents > 0").select("anchor_id", "anchor", "s.gram"), f"{folder}/seeds"), sizes
+    return saved(counted.filter("s.documents > 0").select("anchor_id", "anchor", "s.gram"), f"{folder}/seeds"), sizes
 
 
 def _by_parts(anchors: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
     """anchor_id, doc_id of anchors without an inner word."""
     part = F.element_at(F.array_sort(F.transform(words(F.col("anchor")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-    short = _saved(anchors.select("anchor_id", "anchor", part.alias("part")).filter("part is not null"), f"{folder}/short")
+    short = saved(anchors.select("anchor_id", "anchor", part.alias("part")).filter("part is not null"), f"{folder}/short")
     vocabulary = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).distinct()
     window = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))
     n = F.least(F.length("part"), F.lit(CHARS))
     keyed = short.select("anchor_id", "part", n.alias("n"), F.substring("part", F.lit(1), n).alias("key"))
     pieces = F.concat(*(F.when(F.length("word") >= k, window(F.col("word"), k)).otherwise(F.array().cast("array<string>")) for k in range(1, CHARS + 1)))
     inside = vocabulary.select("word", F.explode(F.array_distinct(pieces)).alias("key")).join(keyed, "key").filter(F.contains("word", "part")).select("anchor_id", "word").distinct()
-    held = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(_saved(inside, f"{folder}/inside"), "word").select("anchor_id", "doc_id").distinct()
+    held = docs.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")).join(saved(inside, f"{folder}/inside"), "word").select("anchor_id", "doc_id").distinct()
     return held.join(docs.select("doc_id", "text"), "doc_id").join(short.select("anchor_id", "anchor"), "anchor_id").filter(F.contains("text", "anchor")).select("anchor_id", "doc_id")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.anchors import containment as anchor_containment
+from tessera.operators.anchors import saved
+from tessera.session import shared_dir
 
 def anchor_elsewhere(found: DataFrame, expected: DataFrame) -> DataFrame:
     """Anchors found in a document other than their own: (anchor_id, doc_id) of ``found`` without ``expected``."""
@@ -27,8 +29,10 @@ def validate(questions: DataFrame, documents: DataFrame, chunks: DataFrame) -> D
     have = documents.filter("text is not null")
     anchors = exp.select("id", "source_id", F.explode("anchors").alias("anchor"))
     own = anchors.join(have, "source_id").withColumn("inside", F.contains("text", "anchor"))
-    numbered = anchors.select("anchor").distinct().withColumn("anchor_id", F.monotonically_increasing_id())
-    names = have.select("source_id").distinct().withColumn("doc_id", F.monotonically_increasing_id())
+    # numbers by place change with the order of rows, so they are given once and read back
+    folder = shared_dir(questions.sparkSession)
+    numbered = saved(anchors.select("anchor").distinct().withColumn("anchor_id", F.monotonically_increasing_id()), f"{folder}/anchors")
+    names = saved(have.select("source_id").distinct().withColumn("doc_id", F.monotonically_increasing_id()), f"{folder}/names")
     found = anchor_containment(numbered, have.join(names, "source_id").select("doc_id", "text")).join(numbered, "anchor_id").join(names, "doc_id").select("anchor", F.col("source_id").alias("other"))
     other = anchors.withColumnRenamed("source_id", "own").join(found, "anchor").filter("own <> other").select("id", "own", "anchor", "other").distinct()
     whole = own.filter("inside").select("id", "source_id", "anchor").join(chunks.select("source_id", F.col("text").alias("piece")), "source_id").groupBy("id", "source_id", "anchor").agg(F.max(F.contains("piece", "anchor")).alias("any")).filter("not any")

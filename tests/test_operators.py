@@ -175,6 +175,25 @@ def test_containment(spark):
     assert got == {(10, 1), (10, 3), (11, 1), (15, 1), (15, 3)}
 
 
+def test_answer_key_numbers_hold(spark):
+    """Numbers of anchors and documents are the same wherever they are used, however rows are dealt when the checks run."""
+    texts = [f"word{i} and then number{i} stands here for once" for i in range(40)]
+    documents = spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "source_id string, text string")
+    asked = [(f"q{i}", [(f"d{(i + 1) % 40}", [texts[i][:20]])], []) for i in range(40)]
+    questions = spark.createDataFrame(asked, "id string, expected array<struct<source_id string, anchors array<string>>>, acceptable array<string>")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "5")
+        problems = evaluation.validate(questions, documents, documents)
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        got = {(r.id, r.detail) for r in problems.filter("problem = 'anchor_elsewhere'").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {(f"q{i}", f"{texts[i][:20]}@d{i}") for i in range(40)}
+
+
 def test_encoder(spark):
     v = encoding.hashing(["a b", "", "a b"])
     assert np.allclose(np.linalg.norm(v, axis=1), [1, 0, 1])
