@@ -1,8 +1,9 @@
 """Exact cosine top-k with metadata filters, caps, and the measures of a retrieval run.
 
-The index stays where it is: queries are shipped in blocks of bounded size, every
-partition keeps its own k best for each query by matrix products, and only those
-meet in a window. What is shuffled is k rows per query and partition.
+Few queries are shipped to the index, which stays where it is: every partition keeps its
+own k best for each query by matrix products of bounded size, and only those meet in a
+window. Beyond ``BLOCK_ROWS`` queries or ``BLOCK_FLOATS`` numbers, tiles of queries meet
+tiles of the index (:mod:`tiles`), and no query passes through the driver.
 """
 
 from __future__ import annotations
@@ -12,70 +13,59 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import tiles
+
 # Depths of the measures.
 TOP_K, POOL, CUTOFFS, CAPS = 8, 20, (1, 3, 5, 8, 10), (1, 2, 3)
-#: Numbers in a block of queries.
-BLOCK_FLOATS = 4_000_000
+#: Queries that are shipped at most, numbers in them, rows of the index scored at once.
+BLOCK_ROWS, BLOCK_FLOATS, ROWS = 1_024, 1 << 20, 1_024
 
 
 def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_s = np.full((len(ids), k), -np.inf)
-        top_i = np.full((len(ids), k), np.iinfo(np.int64).max)
+        found = tiles.Best(len(ids), k)
         for batch in batches:
-            col = batch.column(1)
-            ok = col.is_valid().to_numpy(zero_copy_only=False)
-            keys = batch.column(0).to_numpy(zero_copy_only=False)[ok]
-            if not len(keys):
-                continue
-            flat = col.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False).astype(float)
-            v = flat.reshape(len(keys), -1)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.round(matrix @ (v / np.where(norm == 0, 1, norm)).T, 9)
-            least = top_s[:, -1]
-            if s.shape[1] > k:  # ties with the k-th stay in
-                least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k])
-            for q in range(len(ids)):
-                at = np.flatnonzero(s[q] >= least[q])
-                if len(at):
-                    some_s, some_i = np.concatenate([top_s[q], s[q, at]]), np.concatenate([top_i[q], keys[at]])
-                    order = np.lexsort((some_i, -some_s))[:k]
-                    top_s[q], top_i[q] = some_s[order], some_i[order]
-        use = np.isfinite(top_s)
-        q = np.broadcast_to(ids[:, None], top_s.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(q[use]), pa.array(top_i[use]), pa.array(top_s[use])], ["qid", "vec_id", "score"])
+            for i in range(0, batch.num_rows, ROWS):
+                keys, col = batch.column(0).slice(i, ROWS), batch.column(1).slice(i, ROWS)
+                ok = pc.fill_null(pc.equal(pc.list_value_length(col), matrix.shape[1]), False)
+                keys = keys.filter(ok).to_numpy(zero_copy_only=False)
+                if len(keys):
+                    v = col.filter(ok).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(keys), -1)
+                    norm = np.linalg.norm(v, axis=1, keepdims=True)
+                    found.add(matrix @ (v / np.where(norm == 0, 1, norm)).T, keys)
+        yield pa.RecordBatch.from_arrays(found.rows(ids), ["qid", "vec_id", "score"])
 
     return run
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.toLocalIterator():
-        v = np.array(r[1], float)
-        ids.append(r[0])
-        rows.append(v / (np.linalg.norm(v) or 1))
-        if len(rows) * len(v) >= BLOCK_FLOATS:
-            yield np.array(ids), np.stack(rows)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.stack(rows)
+def _shipped(queries: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """(ids, unit vectors) of the queries; None if they are too many or of several lengths."""
+    some = queries.limit(BLOCK_ROWS + 1).toArrow()
+    n = pc.list_value_length(some.column(1)).unique()
+    if some.num_rows > BLOCK_ROWS or len(n) != 1 or not 0 < some.num_rows * n[0].as_py() <= BLOCK_FLOATS:
+        return None
+    v = pc.list_flatten(some.column(1)).to_numpy().astype(float).reshape(some.num_rows, -1)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return some.column(0).to_numpy(), v / np.where(norm == 0, 1, norm)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, where: Column | None = None) -> DataFrame:
-    """qid, rank, vec_id, score (rounded to 9 places): the k nearest of ``index`` (vec_id, embedding).
+    """qid, rank, vec_id, score (rounded to 9 places): the k nearest of ``index`` (vec_id, embedding) for each of ``queries`` (qid, embedding).
 
-    ``queries``: (qid, embedding), read block by block. Ties go to the smaller vec_id. Null vectors are skipped.
+    Ties go to the smaller vec_id. Null vectors are skipped, as are those of another length than the query's.
     """
-    kept = index.filter(where) if where is not None else index
-    kept = kept.select("vec_id", "embedding")
-    parts = [kept.mapInArrow(_best(ids, m, k), "qid long, vec_id long, score double") for ids, m in _query_blocks(queries.filter("embedding is not null"))]
-    if not parts:
-        return index.sparkSession.createDataFrame([], "qid long, rank int, vec_id long, score double")
+    kept = (index.filter(where) if where is not None else index).select("vec_id", "embedding")
+    asked = queries.select("qid", "embedding").filter("qid is not null and embedding is not null")
+    shipped = _shipped(asked)
+    if shipped is None:
+        return tiles.knn_join(kept, asked, k)
+    near = kept.filter("vec_id is not null").mapInArrow(_best(*shipped, k), "qid long, vec_id long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    return reduce(DataFrame.unionAll, parts).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "vec_id", "score")
 
 
 def metadata_filter(source_type: str | None = None, tag: str | None = None) -> Column | None:

@@ -3,8 +3,9 @@
 Both sides are packed into tiles of bounded size, one row each. Index tiles are dealt to
 ``across`` groups, query tiles to ``down`` groups; a query tile goes to every group of
 index tiles and the other way round, so each pair of tiles meets once, in one of
-across x down grid cells, and no task holds more than a pair at a time. Each pair gives k
-rows per query; they are merged per query and group first, then per query.
+across x down grid cells. A task holds one cell at a time, about ``SIDES`` tiles of either
+side, and scores it in blocks, keeping the k best of each query; what leaves a cell is k
+rows per query, and those are merged per query.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
 
-#: Numbers in a tile of either side, and pairs of tiles for a grid cell at most.
-TILE_FLOATS, PAIRS = 1 << 18, 256
+#: Numbers and rows in a tile of either side at most, tiles of the index and of the queries in a grid cell, their pairs.
+TILE_FLOATS, TILE_ROWS, SIDES = 1 << 16, 1 << 10, (64, 32)
+PAIRS = SIDES[0] * SIDES[1]
 _TILE = "tile long, n int, dim int, ids binary, vectors binary"
 
 
@@ -40,11 +42,11 @@ def packed(vectors: DataFrame, floats: int = TILE_FLOATS) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(some)], pa.int32()), pa.array([dim], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.astype("<f8").tobytes()], pa.binary())], ["tile", "n", "dim", "ids", "vectors"])
 
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), strict=True):
-                x = np.asarray(v, float)
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = v.values.to_numpy(zero_copy_only=False)
                 some = held.setdefault(len(x), [])
                 some.append((i, x))
-                if len(some) * max(len(x), 1) >= floats:
+                if len(some) * max(len(x), 1) >= floats or len(some) >= TILE_ROWS:
                     yield tile(len(x), held.pop(len(x)))
                     number += 1
         for dim, some in held.items():
@@ -67,26 +69,67 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return q[use], c[use]
 
 
+class Best:
+    """The ``k`` best scores and ids of each of ``n`` queries so far, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.scores, self.ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+
+    def add(self, s: np.ndarray, ids: np.ndarray) -> None:
+        """Unrounded scores (queries x ids); -inf and nan don't count."""
+        n, k = self.scores.shape
+        least = self.scores[:, -1]
+        if s.shape[1] > k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(np.where(np.isnan(s), -np.inf, s), -k, axis=1)[:, -k])
+        q, c = np.nonzero(s >= least[:, None] - 2e-9)  # what rounds to the k-th stays in
+        real = np.isfinite(s[q, c])
+        q, c = q[real], c[real]
+        if not len(q):
+            return
+        some, at = np.unique(q, return_inverse=True)
+        held, cols = np.nonzero(np.isfinite(self.scores[some]))
+        row = np.concatenate([at, held])
+        score, own = np.concatenate([np.round(s[q, c], 9), self.scores[some[held], cols]]), np.concatenate([ids[c], self.ids[some[held], cols]])
+        order = np.lexsort((own, -score, row))
+        row, score, own = row[order], score[order], own[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(len(some)))[row]
+        use = place < k
+        self.scores[some[row[use]], place[use]], self.ids[some[row[use]], place[use]] = score[use], own[use]
+
+    def rows(self, qids: np.ndarray) -> list[pa.Array]:
+        """qid, vec_id, score."""
+        use = np.isfinite(self.scores)
+        return [pa.array(np.broadcast_to(qids[:, None], use.shape)[use]), pa.array(self.ids[use]), pa.array(self.scores[use])]
+
+
 def _met(k: int, but_itself: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q, x = (np.frombuffer(r[c]).reshape(-1, r["dim"]) for c in ("queries", "vectors"))
-                qids, ids = (np.frombuffer(r[c], "<i8") for c in ("qids", "ids"))
-                s = np.round(q @ x.T, 9)
-                if but_itself:
-                    s[qids[:, None] == ids] = -np.inf
-                qi, ci = best(s, ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(qi), r["across"]), pa.int32()), pa.array(qids[qi]), pa.array(ids[ci]), pa.array(s[qi, ci])], ["across", "qid", "vec_id", "score"])
+    def side(t: pa.Table, ids: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+        dim = t.column("dim")[0].as_py()
+        own = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in t.column(ids)])
+        return own, np.concatenate([np.frombuffer(x.as_buffer(), "<f8") for x in t.column(vectors)]).reshape(len(own), dim)
+
+    def run(index: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
+        if index.num_rows and queries.num_rows:
+            (ids, x), (qids, q) = side(index, "ids", "vectors"), side(queries, "qids", "queries")
+            for i in range(0, len(q), TILE_ROWS):
+                asked, found = qids[i : i + TILE_ROWS], Best(len(q[i : i + TILE_ROWS]), k)
+                for j in range(0, len(x), TILE_ROWS):
+                    s = q[i : i + TILE_ROWS] @ x[j : j + TILE_ROWS].T
+                    if but_itself:
+                        s[asked[:, None] == ids[j : j + TILE_ROWS]] = -np.inf
+                    found.add(s, ids[j : j + TILE_ROWS])
+                out.append(pa.RecordBatch.from_arrays(found.rows(asked), ["qid", "vec_id", "score"]))
+        return pa.Table.from_batches(out, pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     return run
 
 
 def grid(index_tiles: int, query_tiles: int, tasks: int) -> tuple[int, int]:
-    """(across, down): groups of index tiles and of query tiles, enough for the tasks and for ``PAIRS`` a cell, the larger side cut finer."""
+    """(across, down): groups of index tiles and of query tiles, enough for the tasks and for ``SIDES`` a cell, the larger side cut finer."""
     cells = max(tasks, math.ceil(index_tiles * query_tiles / PAIRS))
-    across = min(index_tiles, max(1, math.ceil(math.sqrt(cells * index_tiles / max(query_tiles, 1)))))
-    return across, min(query_tiles, math.ceil(cells / across))
+    across = min(index_tiles, max(math.ceil(index_tiles / SIDES[0]), math.ceil(math.sqrt(cells * index_tiles / max(query_tiles, 1)))))
+    return across, min(query_tiles, max(math.ceil(query_tiles / SIDES[1]), math.ceil(cells / across)))
 
 
 def knn_join(index: DataFrame, queries: DataFrame, k: int, but_itself: bool = False) -> DataFrame:
@@ -108,8 +151,7 @@ def knn_join(index: DataFrame, queries: DataFrame, k: int, but_itself: bool = Fa
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = tiles.select("dim", "ids", "vectors", group(across).alias("across")).withColumn("down", every(down))
     right = asked.select("dim", F.col("ids").alias("qids"), F.col("vectors").alias("queries"), group(down).alias("down")).withColumn("across", every(across))
-    near = left.join(right, ["across", "down", "dim"]).mapInArrow(_met(k, but_itself), "across int, qid long, vec_id long, score double")
-    some = Window.partitionBy("qid", "across").orderBy(F.desc("score"), "vec_id")
+    keys = ("across", "down", "dim")
+    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_met(k, but_itself), "qid long, vec_id long, score double")
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    merged = near.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k)
-    return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "vec_id", "score")
+    return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "rank", "vec_id", "score")

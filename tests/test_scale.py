@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import anchors, ann, latent, pacing, pages, prefixes, tiles
+from tessera.operators import anchors, ann, latent, pacing, pages, prefixes, search, tiles
 from tessera.session import shared_dir
 from tessera.streaming import breaker
 
@@ -283,3 +283,39 @@ def test_pages_in_rows(spark, partitions):
         assert [n for r in mine for n in r.notes] == list(range(1, w.footnotes + 1))
         assert [r.page_no for r in mine] == list(range(w.pages))
     assert want["hot"].footnotes == 99
+
+
+def test_many_queries_meet_tiles(spark, monkeypatch):
+    """Beyond a block of queries none passes through the driver; no product is larger than a block of either side."""
+    monkeypatch.setattr(search, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(tiles, "TILE_ROWS", 16)
+    v = vectors(90)
+    rows = list(enumerate(v)) + [(100, None), (None, v[0]), (102, [1.0, 2.0]), (103, v[3])]
+    df = spark.createDataFrame(rows, VEC).repartition(3)
+    sizes = []
+    join = tiles.knn_join
+    monkeypatch.setattr(tiles, "knn_join", lambda *a, **k: sizes.append(1) or join(*a, **k))
+    for n in (5, 60):
+        queries = [(i, v[i]) for i in range(n)]
+        got = search.search(df, spark.createDataFrame(queries, "qid long, embedding array<float>"), 5).collect()
+        assert sorted((r.qid, r.rank, r.vec_id) for r in got) == [w[:3] for w in plain_knn(rows, queries, 5)]
+        assert len(sizes) == (n > 7)
+
+
+def test_best_takes_blocks(monkeypatch):
+    """Blocks of ids give the same as all at once; ties by id, -inf and nan never count."""
+    rng = np.random.default_rng(4)
+    s = np.round(rng.normal(size=(9, 200)), 1)
+    s[0, :50], s[1] = np.nan, -np.inf
+    ids = rng.permutation(200)
+    found = tiles.Best(9, 6)
+    for i in range(0, 200, 30):
+        found.add(s[:, i : i + 30], ids[i : i + 30])
+    for q in range(9):
+        want = sorted((-x, i) for x, i in zip(s[q], ids, strict=True) if np.isfinite(x))[:6]
+        assert [(-x, i) for x, i in zip(found.scores[q], found.ids[q], strict=True) if np.isfinite(x)] == want
+
+
+def test_packed_tiles_are_bounded(spark):
+    got = tiles.packed(spark.createDataFrame([(i, [1.0]) for i in range(3000)], VEC).coalesce(1)).select("n").collect()
+    assert max(r.n for r in got) == tiles.TILE_ROWS and sum(r.n for r in got) == 3000
