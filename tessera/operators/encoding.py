@@ -7,12 +7,15 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DIM = 384
+#: Texts and bytes of them that are worked on at once; a longer text is alone.
+ROWS, BYTES = 512, 1 << 20
 
 
 def hashing(texts: list[str], dim: int = DIM) -> np.ndarray:
@@ -32,11 +35,24 @@ def hashing(texts: list[str], dim: int = DIM) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of ``texts`` within ``ROWS`` and ``BYTES``, so that memory doesn't grow with an Arrow batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(texts):
+        most = (ends[i - 1] if i else 0) + BYTES
+        j = min(max(i + 1, int(np.searchsorted(ends, most, "right"))), i + ROWS, len(texts))
+        yield i, j - i
+        i = j
+
+
 def encoder(encode: Callable[[list[str]], np.ndarray] = hashing) -> Callable[[Column], Column]:
-    """A pandas UDF around ``encode``; the model is made once per worker by whatever ``encode`` holds."""
+    """An Arrow UDF around ``encode``, which gets bounded pieces of a batch; the model is made once per worker by whatever ``encode`` holds."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(list(encode(s.tolist())))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for i, n in pieces(texts):
+                v = np.asarray(encode(texts.slice(i, n).to_pylist()), np.float32)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * v.shape[1]), pa.array(v.ravel()))
 
-    return F.pandas_udf(run, T.ArrayType(T.FloatType()))
+    return F.arrow_udf(run, T.ArrayType(T.FloatType()))

@@ -4,6 +4,7 @@ import datetime
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -319,3 +320,44 @@ def test_best_takes_blocks(monkeypatch):
 def test_packed_tiles_are_bounded(spark):
     got = tiles.packed(spark.createDataFrame([(i, [1.0]) for i in range(3000)], VEC).coalesce(1)).select("n").collect()
     assert max(r.n for r in got) == tiles.TILE_ROWS and sum(r.n for r in got) == 3000
+
+
+def test_encoders_get_bounded_pieces(spark, monkeypatch):
+    """Neither rows nor bytes of a batch reach an encoder at once; the vectors are those of all texts together."""
+    from tessera.operators import encoding
+
+    texts = pa.array(["a" * n for n in (5, 5, 5, 40, 3)] + [None, ""] + ["x y"] * 20)
+    monkeypatch.setattr(encoding, "ROWS", 8)
+    monkeypatch.setattr(encoding, "BYTES", 12)
+    cut = list(encoding.pieces(texts))
+    assert [i for i, n in cut for i in range(i, i + n)] == list(range(len(texts)))
+    assert all(n == 1 or sum(len(t or "") for t in texts.slice(i, n).to_pylist()) <= 12 for i, n in cut) and max(n for _, n in cut) <= 8
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "i int, t string").coalesce(1)
+
+    def encode(some):
+        assert len(some) <= 512
+        return encoding.hashing(some)
+
+    monkeypatch.undo()
+    many = df.crossJoin(spark.range(60).select("id").coalesce(1)).coalesce(1)
+    got = many.select("t", encoding.encoder(encode)("t").alias("v")).collect()
+    assert len(got) == 27 * 60 and all(np.allclose(r.v, encoding.hashing([r.t])[0], atol=1e-6) for r in got[::7])
+
+
+def test_latent_sums_in_bounded_tasks(spark, monkeypatch):
+    """However many files the rows have, a pass runs in as many tasks as there are cores times ``TASKS``: each task's sum has the model's size."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} v{i % 5}") for i in range(200)], "doc_id long, text string").repartition(40)
+    seen = []
+    real = latent._added
+
+    def added(sparse, idf, g):
+        out, coalesced = real(sparse, idf, g), []
+        monkeypatch.setattr(type(sparse), "coalesce", lambda self, n, c=type(sparse).coalesce: coalesced.append(n) or c(self, n))
+        assert np.allclose(real(sparse, idf, g), out)
+        monkeypatch.undo()
+        seen.extend(coalesced)
+        return out
+
+    monkeypatch.setattr(latent, "_added", added)
+    latent.fit(docs, 3, passes=1, buckets=64)
+    assert seen and max(seen) == latent.TASKS * spark.sparkContext.defaultParallelism
