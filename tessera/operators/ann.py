@@ -29,8 +29,8 @@ from tessera.session import shared_dir
 
 #: Rows of the sample, queries of it that are tried, cells within bounds, components a code stands for, values of a code.
 SAMPLE_ROWS, TRIED, CELLS, GROUP, CODES = 16_384, 256, (4, 1_024), 4, 256
-#: Queries in a pack, rows of a cell scored at once.
-PACK, ROWS = 256, 4_096
+#: Queries in a pack, rows of a cell scored at once, rows that are assigned or probed for at once.
+PACK, ROWS, STEP = 256, 4_096, 1_024
 
 
 class Model(NamedTuple):
@@ -94,6 +94,13 @@ def fit(index: DataFrame, k: int = 8, least: float = 0.96) -> Model | None:
     return Model(centres, books, x.shape[1], probes_for(x, centres, k, least))
 
 
+def _steps(batches: Iterator[pa.RecordBatch], step: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``step`` rows at most."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def build(index: DataFrame, path: str, model: Model) -> str:
     """Write ``codes`` (cell, vec_id, code) and ``vectors`` (cell, vec_id, vector) of ``index`` (vec_id, embedding) under ``path``.
 
@@ -103,9 +110,7 @@ def build(index: DataFrame, path: str, model: Model) -> str:
     squares = np.square(books).sum(2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _steps(batches, STEP):
             x = _unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float))
             if x.shape[1] != dim:
                 raise ValueError(f"vectors of {x.shape[1]} components in an index of {dim}")
@@ -132,9 +137,7 @@ def _probed(queries: DataFrame, model: Model, probes: int) -> DataFrame:
     centres, dim = model.centres, model.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _steps(batches, max(1, ROWS // probes)):  # each query gives a row for each probed cell
             q = _unit(np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float))
             if q.shape[1] != dim:
                 raise ValueError(f"queries of {q.shape[1]} components for an index of {dim}")

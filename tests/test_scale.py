@@ -387,3 +387,25 @@ def test_running_heads_of_many_pages(spark):
     r = pages.clean(spark.createDataFrame([("x", text)], "source_id string, text string")).first()
     assert (r.running_heads, r.pages, len(r.lines)) == (["same foot #"], 4000, 4000)
     assert time.monotonic() - began < 20
+
+
+def test_probed_cells_leave_in_bounded_batches(monkeypatch):
+    """A batch of queries times its probed cells is never held at once."""
+    rng = np.random.default_rng(3)
+    model = ann.Model(ann._unit(rng.normal(size=(40, 8))), np.zeros((2, ann.CODES, ann.GROUP)), 8, 30)
+    ran = []
+
+    class Rows:
+        def filter(self, *_):
+            return self
+
+        select = filter
+
+        def mapInArrow(self, run, schema):
+            ran.append(run)
+
+    ann._probed(Rows(), model, 30)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700)), pa.array(rng.normal(size=(700, 8)).tolist())], ["qid", "embedding"])
+    got = list(ran[0](iter([batch])))
+    assert sum(b.num_rows for b in got) == 700 * 30 and max(b.num_rows for b in got) <= ann.ROWS
+    assert sorted({q for b in got for q in b.column(1).to_pylist()}) == list(range(700))
