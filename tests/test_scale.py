@@ -413,13 +413,8 @@ def test_probed_cells_leave_in_bounded_batches(monkeypatch):
 
 def test_pleading_paper_moves_no_lines(spark):
     """What pages say of pleading paper is shuffled as numbers, without their text."""
-    import re
-
     df = spark.createDataFrame([("a", 0, " 1  x\n 2  y\n"), ("a", 1, "\f 3  z\nw")], "source_id string, page_no int, shut string")
     got = pages._pleading(df)
     assert [tuple(r) for r in got.collect()] == [("a", True)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
-    windows = [x for x in plan.splitlines() if re.search(r"Window|Join|Aggregate", x)]
-    below = plan[plan.index("Window") :]
-    shuffled = next(x for x in below.splitlines()[1:] if "Project" in x)
-    assert windows and " AS own#" not in shuffled and " AS l#" not in shuffled
+    assert "own#" not in plan[: plan.index("Window")]  # parents of the window come first
