@@ -41,6 +41,8 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 SALTS = 32
 #: A key with more rows than this, and than one in ``HOT_SHARE`` of all, is very frequent; there are at most ``HOT_SHARE`` such keys.
 HOT_ROWS, HOT_SHARE = 256, 2_000
+#: Ids that are broadcast at most.
+IDS = 1 << 21
 
 
 def salted(keys: DataFrame, hot: Column) -> DataFrame:
@@ -60,6 +62,25 @@ def dealt(rows: DataFrame, keys: DataFrame, key: str | list[str], total: int, by
     return spread, salted(keys, F.col("rows") > limit)
 
 
+def dealt_ends(pairs: DataFrame, counts: DataFrame, ends: tuple[str, str], total: int, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, items) to be joined twice, on each end's id and salt: ``pairs`` with a salt for each of ``ends``, ``items`` (id, ...) with a column ``salt``.
+
+    As :func:`dealt`, with ``counts`` (second end, rows). Both joins move the items by the same id and salt, so one shuffle serves them.
+    """
+    a, b = ends
+    hot = counts.filter(F.col("rows") > max(HOT_ROWS, total // HOT_SHARE)).select(F.col(b).alias("_id"))
+    for end, by in ((a, b), (b, a)):
+        told = pairs.join(F.broadcast(hot), F.col(end) == F.col("_id"), "left")
+        pairs = told.withColumn(f"salt_{end}", F.when(F.col("_id").isNotNull(), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_id")
+    return pairs, salted(items.join(F.broadcast(hot), F.col("id") == F.col("_id"), "left"), F.col("_id").isNotNull()).drop("_id")
+
+
+def among(rows: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` (id, ...) whose id is among ``ids`` (or isn't: left_anti), where they lie if the ids are few enough to be broadcast."""
+    few = ids.limit(IDS + 1).count() <= IDS
+    return rows.join(F.broadcast(ids) if few else ids, "id", how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

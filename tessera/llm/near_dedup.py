@@ -16,7 +16,9 @@ become one class. Then, over class representatives:
 1. Each bucket's leader is its most central member, the one with the most company
    in all its buckets: in a group of edited copies that is the text they come from.
    Every document is compared with the leaders of its buckets, and components are formed.
-2. Documents of buckets that still span components are joined on their shingles. No pair is
+2. Of a bucket that still spans components, with ``LISTED`` documents at most, the pairs
+   between components that weren't compared yet are listed; sizes and signatures drop those that
+   can't be links. The documents of larger ones are joined on their shingles. No pair is
    dropped unless it can't be a link. With n shingles in a set, a link has
    ``i >= 3/7 (n_a + n_b)`` in common; c of a document's shingles are held by another
    component too, and i is at most the lesser c. A shingle is common if more than ``SMALL``
@@ -29,8 +31,8 @@ become one class. Then, over class representatives:
    one document stands for all of its component with the same ones, and few pairs are
    within the bound.
 
-All comparisons are exact, on full sets. Keys with many of all rows (buckets,
-leaders, shingles) are dealt out to several tasks.
+All comparisons are exact, on full sets, which move once for both sides of their pairs. Keys
+with many of all rows (buckets, leaders, shingles) are dealt out to several tasks.
 
 Defined results: null and empty texts, and texts of white space, have an empty set
 and link with nothing. Rows with null doc_id link with nothing and have a null
@@ -47,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, dealt, dropped, gram_hashes, lower_ascii, mix64, salted, saved, scratch_dir, text_blocks
+from tessera.llm.common import Words, among, dealt, dealt_ends, dropped, gram_hashes, lower_ascii, mix64, salted, saved, scratch_dir, text_blocks
 from tessera.llm.components import components
 
 SHINGLE_WORDS, BANDS, ROWS = 5, 48, 5
@@ -55,6 +57,8 @@ SHINGLE_WORDS, BANDS, ROWS = 5, 48, 5
 PERCENT = 75
 #: Holders of a shingle up to which pairs are formed among all of them.
 SMALL = 128
+#: Documents of a bucket up to which its pairs are listed.
+LISTED = 16
 #: Columns of a set's signature, 64 bits each; they travel with every shingle of a prefix, and tell small sets apart.
 SIGNATURE = ("x0", "x1")
 
@@ -128,7 +132,7 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, s, signature."""
+    """id, text -> id, n, s, signature."""
     for batch in batches:
         for lo, hi, data, docs in text_blocks(batch):
             sets, off = shingle_sets(data, docs)
@@ -136,16 +140,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a in range(0, hi - lo, 2000):  # bounds the counts of bits
                 b = min(hi - lo, a + 2000)
                 sig = signatures(sets[off[a] : off[b]], off[a : b + 1] - off[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), lists.slice(a, b - a), *(pa.array(sig[:, i].copy()) for i in range(len(SIGNATURE)))], ["id", "s", *SIGNATURE])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo + a, b - a), pa.array(np.diff(off[a : b + 1])), lists.slice(a, b - a), *(pa.array(sig[:, i].copy()) for i in range(len(SIGNATURE)))], ["id", "n", "s", *SIGNATURE])
 
 
 def verify(pairs: DataFrame, sets: DataFrame, folder: str, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough; ``b`` may stand in very many of them."""
     pairs = saved(pairs, f"{folder}_pairs")
     counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("rows"))
-    rows, leads = dealt(pairs, counts, "b", pairs.count(), "a")
-    leads = leads.select(F.col("b").alias("id"), "salt").join(sets, "id").select(F.col("id").alias("b"), "salt", F.col("s").alias("sb"))
-    joined = rows.join(leads, ["b", "salt"]).join(sets.selectExpr("id as a", "s as sa"), "a")
+    rows, spread = dealt_ends(pairs, counts, ("a", "b"), pairs.count(), sets.select("id", "s"))
+    joined = rows.withColumnsRenamed({"a": "id", "salt_a": "salt"}).join(spread, ["id", "salt"]).select(F.col("id").alias("a"), "b", "salt_b", F.col("s").alias("sa"))
+    joined = joined.withColumnsRenamed({"b": "id", "salt_b": "salt"}).join(spread, ["id", "salt"]).select("a", F.col("id").alias("b"), "sa", F.col("s").alias("sb"))
     both = joined.select("a", "b", (F.size("sa") + F.size("sb")).alias("total"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return saved(both.filter(F.lit(100).cast("long") * F.col("both") >= F.lit(percent) * (F.col("total") - F.col("both"))).select("a", "b"), f"{folder}_links")
 
@@ -155,15 +159,31 @@ def _most_shared(n: str, held: str) -> str:
     return f"((100 + {PERCENT}) * {held} div {PERCENT} - {n})"
 
 
-def _rest(sets: DataFrame, buckets: DataFrame, comps: DataFrame, folder: str) -> DataFrame:
-    """Pairs (a, b) of ``buckets`` (key, salt, id) in different components that can be links, apart from some that are sure not to be."""
+#: SQL: the signatures of a and b differ in no more bits than the sets of a link may in elements.
+_ALIKE = f"{100 + PERCENT} * ({' + '.join(f'bit_count({x}_a ^ {x}_b)' for x in SIGNATURE)}) <= {100 - PERCENT} * (n_a + n_b)"
+
+
+def _side(rows: DataFrame, x: str, key: str, *more: str) -> DataFrame:
+    """``rows`` as side ``x`` of pairs that agree in ``key``."""
+    return rows.selectExpr(key, *more, *(f"{k} as {k}_{x}" for k in ("id", "comp", "n", *SIGNATURE)))
+
+
+def _rest(sets: DataFrame, buckets: DataFrame, comps: DataFrame, seen: DataFrame, folder: str) -> DataFrame:
+    """Pairs (a, b) of ``buckets`` (key, salt, id) in different components that can be links, without those of ``seen`` (a, b) and some that are sure not to be."""
     own = buckets.join(comps, "id", "left").select("key", "salt", "id", F.coalesce("component", "id").alias("comp"))
-    spans = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salt").alias("salts")).filter("lo < hi")
-    mixed = own.join(salted(spans, F.col("salts") > 0).select("key", "salt"), ["key", "salt"])
-    nodes = saved(mixed.groupBy("id", "comp").agg(F.collect_list("key").alias("keys")), f"{folder}/mixed")
+    spans = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("salt").alias("salts"), F.count(F.lit(1)).alias("rows")).filter("lo < hi and rows > 2")  # a leader has been compared with one other
+    mixed = saved(own.join(salted(spans, F.col("salts") > 0).select("key", "salt", "rows"), ["key", "salt"]).select("key", "id", "comp", "rows"), f"{folder}/mixed")
+
+    # pairs of small buckets
+    few = mixed.filter(F.col("rows") <= LISTED).join(sets.select("id", "n", *SIGNATURE), "id")
+    listed = _side(few, "a", "key").join(_side(few, "b", "key"), "key").filter(f"id_a < id_b and comp_a <> comp_b and {100 + PERCENT} * least(n_a, n_b) >= {PERCENT} * (n_a + n_b) and {_ALIKE}")
+    listed = listed.selectExpr("id_a as a", "id_b as b").distinct().join(seen.selectExpr("least(a, b) as a", "greatest(a, b) as b"), ["a", "b"], "left_anti")
+    nodes = saved(mixed.filter(F.col("rows") > LISTED).groupBy("id", "comp").agg(F.collect_list("key").alias("keys")), f"{folder}/many")
+    if not nodes.limit(1).count():
+        return listed
 
     # what other components hold: c of a set's shingles; h of these are common, the others by rarity
-    each = saved(sets.join(nodes.select("id", "comp"), "id").select("id", "comp", F.size("s").alias("n"), F.explode("s").alias("g")), f"{folder}/shingles")
+    each = saved(sets.join(nodes.select("id", "comp"), "id").select("id", "comp", "n", F.explode("s").alias("g")), f"{folder}/shingles")
     held = each.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).filter("lo < hi").select("g", "rows")
     rows, holders = dealt(each, held, "g", each.count(), "id")
     shared = rows.join(holders, ["g", "salt"])
@@ -182,10 +202,8 @@ def _rest(sets: DataFrame, buckets: DataFrame, comps: DataFrame, folder: str) ->
 
     # pairs with an uncommon shingle in common: at the first of these, what is left of both must do
     rare = known.select("id", "comp", "n", "c", *SIGNATURE, F.posexplode("prefix").alias("p", "g"))
-    side = lambda x: rare.selectExpr("g", f"c - p as left_{x}", *(f"{k} as {k}_{x}" for k in ("id", "comp", "n", *SIGNATURE)))
-    apart = " + ".join(f"bit_count({x}_a ^ {x}_b)" for x in SIGNATURE)
-    enough = f"{100 + PERCENT} * least(left_a, left_b) >= {PERCENT} * (n_a + n_b) and {100 + PERCENT} * ({apart}) <= {100 - PERCENT} * (n_a + n_b)"
-    rare = side("a").join(side("b"), "g").filter(f"id_a < id_b and comp_a <> comp_b and {enough}").selectExpr("id_a as a", "id_b as b").distinct()
+    enough = f"{100 + PERCENT} * least(left_a, left_b) >= {PERCENT} * (n_a + n_b) and {_ALIKE}"
+    rare = _side(rare, "a", "g", "c - p as left_a").join(_side(rare, "b", "g", "c - p as left_b"), "g").filter(f"id_a < id_b and comp_a <> comp_b and {enough}").selectExpr("id_a as a", "id_b as b").distinct()
 
     # pairs that have only common shingles in common
     top, size = _most_shared("n", "h"), lambda n: f"cast(floor(ln({n}) * 100) as int)"
@@ -201,28 +219,30 @@ def _rest(sets: DataFrame, buckets: DataFrame, comps: DataFrame, folder: str) ->
     others, sizes = dealt(others, others.groupBy("key", "size").agg(rows), ["key", "size"], total, "id_b")
     odd = odd.join(sizes.drop("rows"), ["key", "size"])
     core = odd.join(others, ["key", "size", "salt"]).filter("comp_a <> comp_b and n_b <= top_a and n_a <= top_b").selectExpr("least(id_a, id_b) as a", "greatest(id_a, id_b) as b").distinct()
-    return rare.union(core).distinct()
+    return listed.union(rare).union(core).distinct()
 
 
 def link_components(docs: DataFrame, nodes: DataFrame, folder: str) -> DataFrame:
-    """(id, component) of the nodes (id, keys: band keys) that have a link; ``docs`` (doc_id, text) gives their full sets."""
+    """(id, component) of the nodes (id, keys: band keys; each once) that have a link; ``docs`` (doc_id, text) gives their full sets."""
     flat = nodes.select("id", F.explode("keys").alias("key"))
-    alike = flat.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key", "rows")
+    alike = flat.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     rows, keys = dealt(flat, alike, "key", BANDS * nodes.count(), "id")
     buckets = saved(rows.join(keys, ["key", "salt"]), f"{folder}/buckets")
     company = saved(buckets.groupBy("id").agg(F.sum("rows").alias("company")), f"{folder}/company")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).join(company.select("id"), "id", "left_semi")
-    sets = saved(texts.mapInArrow(_sets, "id long, s array<long>" + "".join(f", {x} long" for x in SIGNATURE)), f"{folder}/sets")
+    texts = among(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")), company.select("id"))
+    sets = saved(texts.mapInArrow(_sets, "id long, n long, s array<long>" + "".join(f", {x} long" for x in SIGNATURE)), f"{folder}/sets")
 
     leaders = buckets.join(company, "id").groupBy("key").agg(F.max(F.struct("company", F.col("id"))).alias("lead"), F.max("salt").alias("salts"))
     led = buckets.join(salted(leaders, F.col("salts") > 0).select("key", "salt", F.col("lead.id").alias("lead")), ["key", "salt"])
-    links = verify(led.filter("lead <> id").selectExpr("id as a", "lead as b").distinct(), sets, f"{folder}/leaders")
+    led_pairs = saved(led.filter("lead <> id").selectExpr("id as a", "lead as b").distinct(), f"{folder}/led")
+    links = verify(led_pairs, sets, f"{folder}/leaders")
     comps = saved(components(links, f"{folder}/c1"), f"{folder}/comps1")
 
-    last = verify(_rest(sets, buckets.select("key", "salt", "id"), comps, folder), sets, f"{folder}/rest")
+    pairs = saved(_rest(sets, buckets.select("key", "salt", "id"), comps, led_pairs, folder), f"{folder}/found")
+    last = verify(pairs, among(sets, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), f"{folder}/rest")
     if last.limit(1).count():
         comps = saved(components(comps.selectExpr("id as a", "component as b").union(last), f"{folder}/c2"), f"{folder}/comps2")
-    dropped(docs.sparkSession, *(f"{folder}/{name}" for name in ("buckets", "company", "sets", "leaders_pairs", "leaders_links", "c1", "mixed", "shingles", "known", "common", "rest_pairs", "rest_links", "c2")))
+    dropped(docs.sparkSession, *(f"{folder}/{name}" for name in ("buckets", "company", "sets", "led", "leaders_pairs", "leaders_links", "c1", "mixed", "many", "shingles", "known", "common", "found", "rest_pairs", "rest_links", "c2")))
     return comps
 
 
@@ -235,8 +255,13 @@ def groups(docs: DataFrame) -> DataFrame:
     local = real.groupBy("sig", "part").agg(F.min("doc_id").alias("m"))
     classes = local.join(local.groupBy("sig").agg(F.min("m").alias("class_id")), "sig").select("sig", "part", "class_id")
     own = saved(base.select("doc_id", "part", "n", "sig").join(classes, ["sig", "part"], "left").select("doc_id", "n", "sig", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id")), f"{folder}/classes")
-    others = own.filter("doc_id <> class_id").select("doc_id").distinct()
-    nodes = real.join(others, "doc_id", "left_anti").select(F.col("doc_id").alias("id"), "keys")
+    others = own.filter("doc_id <> class_id").selectExpr("doc_id as id", "sig").distinct()
+    nodes = real.select(F.col("doc_id").alias("id"), "sig", "keys")
+    if own.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        nodes = nodes.join(others, ["id", "sig"], "left_anti").dropDuplicates(["id", "sig"])
+    else:
+        nodes = among(nodes, others.select("id"), "left_anti")
+    nodes = nodes.select("id", "keys")
     comps = link_components(docs, nodes, folder)
     # an id that stands on rows of several classes joins them
     joined = own.filter("doc_id <> class_id").select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))

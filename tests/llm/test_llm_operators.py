@@ -275,6 +275,50 @@ def test_near_dedup_compares_few_pairs_of_a_large_group(spark, monkeypatch):
     assert counts[600] < 3 * counts[300]
 
 
+def test_near_dedup_lists_pairs_of_small_buckets(spark, monkeypatch):
+    """Families of a few documents that share buckets but hardly a link: nothing is joined by shingles."""
+    rows = []
+    for f in range(40):
+        base = long_text(500 + f, 120)
+        rows += [(10 * f + i, edited(base, 10 * f + i, (0, 1, 7, 7, 8)[i])) for i in range(5)]
+    for listed in (2, 16):
+        real, seen = near_dedup.saved, {}
+
+        def counted(df, path, real=real, seen=seen):
+            out = real(df, path)
+            seen[path.rsplit("/", 1)[-1]] = out.count()
+            return out
+
+        monkeypatch.setattr(near_dedup, "saved", counted)
+        monkeypatch.setattr(near_dedup, "LISTED", listed)
+        got = near_dedup.op7(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+        monkeypatch.undo()
+        assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+        assert seen["mixed"] > 0
+        assert (seen.get("shingles", 0) == 0) == (listed == 16)
+        assert listed == 2 or seen["found"] > 0
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    """An id on rows with different texts is one node: it links with what either text links with."""
+    a, b = long_text(91, 80), long_text(92, 80)
+    rows = [(3, a), (5, a), (5, b), (9, edited(b, 1, 1)), (11, long_text(93, 80))] + [(20, long_text(94, 80))] * 3
+    got = {r.doc_id: r.component_id for r in near_dedup.op7(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 11: 11, 20: 20}
+
+
+def test_pairs_with_frequent_ends_on_both_sides(spark, monkeypatch):
+    """Ids that stand in very many pairs are dealt out on either side; every pair is compared once."""
+    monkeypatch.setattr("tessera.llm.common.HOT_ROWS", 20)
+    monkeypatch.setattr("tessera.llm.common.HOT_SHARE", 20)
+    sets = {i: list(range(i % 3, i % 3 + 20)) for i in range(200)}
+    pairs = [(i, 0) for i in range(1, 200)] + [(0, i) for i in range(1, 30)] + [(0, 0)]
+    df = spark.createDataFrame(list(sets.items()), "id long, s array<long>")
+    got = near_dedup.verify(spark.createDataFrame(pairs, "a long, b long"), df, near_dedup.scratch_dir(spark)).collect()
+    alike = lambda x, y: 4 * len({*sets[x]} & {*sets[y]}) >= 3 * len({*sets[x]} | {*sets[y]})
+    assert sorted((r.a, r.b) for r in got) == sorted(p for p in pairs if alike(*p))
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be <|start|> kind"), (1, 1, "user", "hi \\ <\\| <|"), (1, 2, "assistant", "yes\n<|end|>"), (1, 3, "user", None), (2, 0, None, "x"), (2, 0, None, "x"), (3, 1, "assistant", ""), (3, None, "assistant", "first"), (None, 5, "user", "u"), (4, 0, "assistant", "a"), (4, 1, "assistant", "b")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("t", F.lit(1)).repartition(3)
