@@ -22,12 +22,27 @@ def cutoffs_with(k: int, cutoffs: tuple[int, ...] = search.CUTOFFS) -> list[int]
     return sorted({*cutoffs, k})
 
 
+def anchors_held(hits: DataFrame, chunks: DataFrame, anchors: DataFrame, width: int = windows.WIDTH) -> DataFrame:
+    """qid, source_id, neighbor, position, anchor: what anchors each chunk in the windows of a question's hits contains.
+
+    The anchors go to the chunks, so a text moves once, whatever number of hits, questions or anchors looks at it.
+    """
+    sought = windows.neighbors(hits, width).select("qid", "source_id", "neighbor").distinct().join(anchors.select("qid", "position", "anchor").filter("anchor is not null").distinct(), "qid")
+    texts = chunks.select("source_id", F.col("chunk_index").alias("neighbor"), "text")
+    return sought.join(texts, ["source_id", "neighbor"]).filter(F.contains("text", "anchor")).select("qid", "source_id", "neighbor", "position", "anchor")
+
+
+def anchors_shown(hits: DataFrame, held: DataFrame, anchors: DataFrame, width: int = windows.WIDTH) -> DataFrame:
+    """qid, position, anchor, in_chunk, in_window of ``hits``, with what their chunks contain (``held``)."""
+    own = windows.neighbors(hits, width).select("qid", "source_id", "neighbor", (F.col("neighbor") == F.col("chunk_index")).alias("in_chunk"))
+    found = own.join(held, ["qid", "source_id", "neighbor"]).select("qid", "position", "anchor", "in_chunk", F.lit(True).alias("in_window"))
+    every = anchors.select("qid", "position", "anchor", F.lit(False).alias("in_chunk"), F.lit(False).alias("in_window"))
+    return every.union(found).groupBy("qid", "position", "anchor").agg(F.max("in_chunk").alias("in_chunk"), F.max("in_window").alias("in_window"))
+
+
 def anchors_found(hits: DataFrame, chunks: DataFrame, anchors: DataFrame, width: int = windows.WIDTH) -> DataFrame:
     """qid, position, anchor, in_chunk, in_window: whether a hit's own text, or its neighbour window, contains the anchor."""
-    texts = chunks.select("source_id", F.col("chunk_index").alias("neighbor"), "text")
-    shown = windows.neighbors(hits, width).join(texts, ["source_id", "neighbor"]).select("qid", (F.col("neighbor") == F.col("chunk_index")).alias("own"), "text")
-    has = F.coalesce(F.contains("text", "anchor"), F.lit(False))
-    return anchors.join(shown, "qid", "left").groupBy("qid", "position", "anchor").agg(F.max(has & F.col("own")).alias("in_chunk"), F.max(has).alias("in_window")).select("qid", "position", "anchor", F.coalesce("in_chunk", F.lit(False)).alias("in_chunk"), "in_window")
+    return anchors_shown(hits, anchors_held(hits, chunks, anchors, width), anchors, width)
 
 
 def _as_sources(hits: DataFrame) -> DataFrame:
@@ -79,11 +94,12 @@ def score_questions(hits: DataFrame, chunks: DataFrame, expected: DataFrame, anc
 def capped_scores(hits: DataFrame, chunks: DataFrame, expected: DataFrame, anchors: DataFrame, k: int = search.TOP_K, caps: tuple[int, ...] = search.CAPS) -> DataFrame:
     """qid, cap (0: none), recall, anchors_in_chunk, anchors_in_window of the first ``k`` under a cap on hits of one document."""
     keys = expected.select("qid", F.col("source_id").alias("source")).distinct()
+    held = anchors_held(hits, chunks, anchors)
 
     def one(cap: int) -> DataFrame:
         pool = _as_sources(hits)
         own = search.capped(pool, cap, k) if cap else pool.filter(F.col("rank") <= k)
-        found = _counts(anchors_found(own.drop("source"), chunks, anchors)).select("qid", "anchors_in_chunk", "anchors_in_window")
+        found = _counts(anchors_shown(own.drop("source"), held, anchors)).select("qid", "anchors_in_chunk", "anchors_in_window")
         return search.recall_curve(own, keys, (k,)).join(found, "qid", "left").select("qid", F.lit(cap).alias("cap"), "recall", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("anchors_in_chunk", "anchors_in_window")))
 
     return reduce(DataFrame.unionByName, map(one, (0, *caps)))

@@ -418,3 +418,32 @@ def test_pleading_paper_moves_no_lines(spark):
     assert [tuple(r) for r in got.collect()] == [("a", True)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "own#" not in plan[: plan.index("Window")]  # parents of the window come first
+
+
+def test_anchors_move_no_text_by_question(spark):
+    """Texts are shuffled once, to meet the anchors that are sought in them; nothing with a text is dealt out by question."""
+    from tessera.operators import scoring
+
+    texts = [(s, i, f"text {s} {i} holds w{s}x{i}") for s in range(4) for i in range(5)]
+    chunks = spark.createDataFrame([*texts, (4, 0, None)], "source_id long, chunk_index int, text string")
+    hits = spark.createDataFrame([(q, r, (q + r) % 5, r % 5 if (q + r) % 5 < 4 else 0, 5 if (q + r) % 5 < 4 else 1) for q in range(6) for r in range(1, 4)], "qid long, rank int, source_id long, chunk_index int, chunk_total int")
+    anchors = [(q, p, a) for q in range(7) for p, a in enumerate(("w1x1", f"w{q}x2", "nowhere", None))] + [(0, 0, "w1x1"), (1, None, "text")]
+    keys = spark.createDataFrame(anchors, "qid long, position int, anchor string")
+    at, want = {(s, i): t for s, i, t in texts}, set()
+    for q, p, a in anchors:
+        own = [(h.source_id, h.chunk_index) for h in hits.collect() if h.qid == q]
+        has = lambda *c, a=a: a is not None and a in at.get(c, "")
+        want.add((q, p, a, any(has(*c) for c in own), any(has(s, i + d) for s, i in own for d in (-1, 0, 1))))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = scoring.anchors_found(hits, chunks, keys)
+        plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        got = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == len(want)
+    assert set(got) == want
+    moved = [x for x in plan.split("\n\n") if ") Exchange" in x and "text#" in x]
+    assert len(moved) == 1
+    assert "source_id" in moved[0].split("Arguments:")[1]
